@@ -14,6 +14,7 @@ once it has ``segment_tokens`` ids.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -105,31 +106,45 @@ class Codes:
 
 
 class LibraryEncoder:
-    """Whole texts through the tokenizers library, each distinct chunk of text once.
+    """Whole texts through the tokenizers library, each distinct word once.
 
     Words never reach across white space, so a text's ids are those of its
-    white-space separated chunks in order.  New chunks of a batch go through the
-    library together, with a special token between them to part the result.
+    white-space separated chunks in order.  A chunk of plain Latin letters, digits
+    and punctuation is cut further where the tokenizer cuts it.  New pieces of a
+    batch go through the library together, with a special token between them to
+    part the result.
     """
 
-    KEEP, CHARS = 350_000, 48
+    CHUNKS, PIECES, CHARS = 250_000, 400_000, 48
+    _PLAIN = re.compile(r"[A-Za-z0-9À-ÖØ-öø-ÿ!-&(-;=-@\[-`{-~]+")
+    _PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:;=-@\[-`{-~]+")
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         special = {i: t.content for i, t in self.library.get_added_tokens_decoder().items()}
         self.mark_id, self.mark = next(iter(special.items()))
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text, its ids as little-endian unsigned 32-bit integers."""
         split = [chunks(t) for t in texts]
-        fresh = {c for cs in split for c in cs if c not in self.known}
-        made = self._through(sorted(fresh))
-        for c, ids in made.items():
-            if len(self.known) < self.KEEP and len(c) <= self.CHARS:
-                self.known[c] = ids
-        both = self.known if fresh <= self.known.keys() else self.known | made
-        return [b"".join([both[c] for c in cs]) for cs in split]
+        fresh = set().union(*split) - self.known.keys()
+        if not fresh:
+            return [b"".join([self.known[c] for c in cs]) for cs in split]
+        cut = {c: self._PIECES.findall(c.lower()) if self._PLAIN.fullmatch(c) else [c] for c in fresh}
+        wanted = {p for ps in cut.values() for p in ps}
+        made = {p: self.pieces[p] for p in wanted if p in self.pieces}
+        new = self._through(sorted(wanted - made.keys()))
+        for p, ids in new.items():
+            if len(self.pieces) < self.PIECES and len(p) <= self.CHARS:
+                self.pieces[p] = ids
+        made |= new
+        both = self.known
+        encoded = {c: b"".join([made[p] for p in ps]) for c, ps in cut.items()}
+        if len(both) + len(encoded) <= self.CHUNKS:
+            both.update((c, ids) for c, ids in encoded.items() if len(c) <= self.CHARS)
+        return [b"".join([both[c] if c in both else encoded[c] for c in cs]) for cs in split]
 
     def _through(self, fresh: list[str]) -> dict[str, bytes]:
         plain = [c for c in fresh if "<|" not in c]
