@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weftline.llm import bpe, dac
+from weftline.llm import bpe, dac, language, licences, mixing, pii, quality
 from weftline.llm.common import documents
 
 
@@ -16,20 +17,49 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(documents(spark, sf_dir))
+
+
 def op3_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.round_trip(documents(spark, sf_dir), tokenizer_path())
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), tokenizer_path())
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(documents(spark, sf_dir).select("doc_id", "source"))
+    return mixed.select("doc_id", "source", F.round("mix_rate", 9).alias("mix_rate"), "mix_copy", "mix_key")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_licences": op2_licences,
         "op3_dac": op3_dac,
+        "op6_quality": op6_quality,
         "op7_bpe": op7_bpe,
+        "op8_language": op8_language,
+        "op9_mixing": op9_mixing,
+        "op10_pii": op10_pii,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_licences": licences.scan_sql(),
+        "op9_mixing": mixing.mix_sql(),
+    }
