@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, dac, language, licences, mixing, pii, quality
+from weftline.llm import bpe, dac, language, licences, mixing, neardup, pii, quality
 from weftline.llm.common import documents
 
 
@@ -25,6 +25,10 @@ def op3_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.round_trip(documents(spark, sf_dir), tokenizer_path())
 
 
+def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(documents(spark, sf_dir))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -50,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_licences": op2_licences,
         "op3_dac": op3_dac,
+        "op4_neardup": op4_neardup,
         "op6_quality": op6_quality,
         "op7_bpe": op7_bpe,
         "op8_language": op8_language,
