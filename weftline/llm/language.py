@@ -106,7 +106,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                 for g, n in zip(grams.tolist(), counts.tolist(), strict=True):
                     into[g] = into.get(g, 0) + n
         for name, into in sums.items():
-            yield pd.DataFrame({"lang": name, "gram": list(into), "n": list(into.values())})
+            yield pd.DataFrame({"lang": pd.Series([name] * len(into), dtype=object), "gram": list(into), "n": list(into.values())})
 
     counted = some.select(lang.alias("lang"), F.col(text_col).cast("string").alias("text")).mapInPandas(count, "lang string, gram long, n long")
     summed = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, dac, language, licences, mixing, neardup, pii, quality
+from weftline.llm import bpe, dac, imi, language, licences, mixing, neardup, pii, quality
 from weftline.llm.common import documents
 
 
@@ -29,6 +29,10 @@ def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(documents(spark, sf_dir))
 
 
+def op5_imi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imi.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_licences": op2_licences,
         "op3_dac": op3_dac,
         "op4_neardup": op4_neardup,
+        "op5_imi": op5_imi,
         "op6_quality": op6_quality,
         "op7_bpe": op7_bpe,
         "op8_language": op8_language,
