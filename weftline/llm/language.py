@@ -133,6 +133,19 @@ def predict(df: DataFrame, profiles: dict[str, list[int]], length: int = PROFILE
     return map_text(df, id_col, text_col, f"{_typed(df, id_col)}, lang_pred string, score double", make)
 
 
+def predict_rows(df: DataFrame, profiles: dict[str, list[int]], length: int = PROFILE, text_col: str = "text") -> DataFrame:
+    """All columns of ``df`` and ``lang_pred``, by the same rules as :func:`predict`."""
+    shared = df.sparkSession.sparkContext.broadcast(profiles)
+
+    @F.pandas_udf("string")
+    def guess(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = Profiles(shared.value, length)
+        for part in texts:
+            yield pd.Series([model.predict(None if t is None or t is pd.NA or t != t else t)[0] for t in part], dtype=object)
+
+    return df.withColumn("lang_pred", guess(F.col(text_col).cast("string")))
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     return id_remainder(id_col, 3) == 1
 

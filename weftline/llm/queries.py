@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, dac, imi, language, licences, mixing, neardup, pii, quality
+from weftline.llm import bpe, chroma, dac, imi, language, licences, mixing, neardup, pii, quality
 from weftline.llm.common import documents
 
 
@@ -17,6 +17,12 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the tables hold no audio: the UTF-8 bytes of each text are taken as its recording, 8-bit PCM
+    media = documents(spark, sf_dir).select("doc_id", F.col("text").cast("binary").alias("media"))
+    return chroma.report(media, F.col("doc_id") % 100 == 0)
+
+
 def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(documents(spark, sf_dir))
 
@@ -56,6 +62,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chroma": op1_chroma,
         "op2_licences": op2_licences,
         "op3_dac": op3_dac,
         "op4_neardup": op4_neardup,
