@@ -11,11 +11,14 @@ and with the limit t = k (ln k + 2) over the total weight hardly more than t dar
 are looked at, whatever the length of the document.
 
 Coordinates are banded into bucket keys.  Only distinct texts are compared: in
-each bucket all members with two of them, the smallest id and the least hash;
-pairs of at least the asked similarity, checked on the texts, are links.  Where
-members of a bucket are then still in different classes, each member outside the
-first class is compared with all members of other classes, so no pair that
-shares a bucket stays undecided.
+each bucket all members with a few pivots among them, the smallest id and some
+chosen by hashes; pairs of at least the asked similarity, checked on the texts,
+are links.  Where members of a bucket are then still in different classes, each
+member outside the first class is compared with the members of other classes.
+One less the weighted Jaccard similarity is a metric, so two members whose
+similarities to one pivot differ by more than 1 - similarity can't be alike: such
+pairs are decided without their texts, and no pair that shares a bucket stays
+undecided.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ from weftline.llm.graphs import components
 from weftline.llm.hashing import mix, shingles, weighted_jaccard
 
 BANDS, ROWS, WORDS, SIMILARITY = 20, 6, 5, 0.8
+PIVOTS = 5
 WIDEST = 1024
 
 _CDF: dict[float, np.ndarray] = {}
@@ -122,23 +126,23 @@ def signed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     return map_text(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)), "id", text_col, "id long, digest binary, keys array<long>", make)
 
 
-def _checked(pairs: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
-    """The pairs (a, b) whose texts have at least the similarity."""
+def _compared(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(a, b, j): the weighted Jaccard similarity of the texts of each pair."""
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, kept = None, None
         for batch in batches:
-            ok = []
+            out = []
             a, b = batch.column(2), batch.column(3)
             for row in range(batch.num_rows):
                 text = b[row].as_py()
                 if text != last:  # the join leaves equal b together
                     last, kept = text, shingles(text, words)
-                ok.append(weighted_jaccard(shingles(a[row].as_py(), words), kept) >= similarity)
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                out.append(weighted_jaccard(shingles(a[row].as_py(), words), kept))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["a", "b", "j"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, j double")
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -155,32 +159,41 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     # only texts that occur again need the join; all others stand for themselves
     members = written(sign.join(copies.select("digest", "rep"), "digest", "left").select("id", F.coalesce("rep", "id").alias("rep"), "keys"), "members", base)
     keyed = members.where(F.col("id") == F.col("rep")).select("rep", "keys", F.explode("keys").alias("key"))
-    heads = keyed.groupBy("key").agg(F.min("rep").alias("head"), F.min_by("rep", F.xxhash64("key", "rep")).alias("other"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    pivots = [f"p{i}" for i in range(PIVOTS)]
+    chosen = [F.min("rep").alias("p0"), *[F.min_by("rep", F.xxhash64(F.lit(i), "rep")).alias(f"p{i}") for i in range(1, PIVOTS)]]
+    heads = keyed.groupBy("key").agg(*chosen, F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     bucketed = written(keyed.join(heads, "key"), "bucketed", base)
     wanted = bucketed.select(F.col("rep").alias("id")).distinct()
     source = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = written(source.join(wanted, "id", "left_semi"), "texts", base)
 
-    def pairs_of(x: str, y: str, rows: DataFrame) -> DataFrame:
-        return rows.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-
-    first = pairs_of("rep", "head", bucketed).union(pairs_of("rep", "other", bucketed)).distinct()
-    links = written(_checked(first, texts, similarity, words), "links", base)
+    ends = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    to_pivots = bucketed.select("rep", F.explode(F.array_distinct(F.array(*pivots))).alias("p")).where(F.col("rep") != F.col("p"))
+    first = to_pivots.select(*ends("rep", "p")).distinct()
+    known = written(_compared(first, texts, words), "known", base)
+    links = known.where(F.col("j") >= similarity).select("a", "b")
     roots = components(links, f"{base}/first")
 
-    # what is still undecided: members outside the class of their bucket's head, against the other classes there
+    # what is still undecided: members outside the class of their bucket's first pivot, against the other classes there
     root_of = lambda col, name: roots.select(F.col("node").alias(col), F.col("root").alias(name))
-    open_ = bucketed.where(F.col("n") > 2).join(root_of("rep", "own"), "rep", "left").join(root_of("head", "lead"), "head", "left")
-    open_ = open_.select("key", "keys", "rep", "head", "other", F.coalesce("own", "rep").alias("own"), F.coalesce("lead", "head").alias("lead"))
-    outside = open_.where((F.col("own") != F.col("lead")) & (F.col("rep") != F.col("other")))
-    split = written(outside, "outside", base)
-    unsettled = open_.join(split.select("key").distinct(), "key", "left_semi")
-    those = unsettled.where((F.col("rep") != F.col("head")) & (F.col("rep") != F.col("other"))).select("key", F.col("keys").alias("keys_y"), F.col("rep").alias("y"), F.col("own").alias("own_y"), (F.col("own") != F.col("lead")).alias("out_y"))
-    found = split.select("key", F.col("keys").alias("keys_x"), F.col("rep").alias("x"), F.col("own").alias("own_x")).join(those, "key")
+    is_pivot = F.array_contains(F.array(*pivots), F.col("rep"))  # compared with all already
+    open_ = bucketed.where((F.col("n") > 2) & ~is_pivot).join(root_of("rep", "own"), "rep", "left").join(root_of("p0", "lead"), "p0", "left")
+    open_ = open_.select("key", "keys", "rep", *pivots, F.coalesce("own", "rep").alias("own"), (F.coalesce("own", "rep") != F.coalesce("lead", "p0")).alias("outside"))
+    open_ = written(open_, "open", base)
+    unsettled = open_.join(open_.where("outside").select("key").distinct(), "key", "left_semi")
+    pairs = unsettled.select("key", "rep", F.posexplode(F.array(*pivots)).alias("i", "p")).select("key", "rep", "i", *ends("rep", "p"))
+    near = pairs.join(known, ["a", "b"]).groupBy("key", "rep").agg(*[F.max(F.when(F.col("i") == i, F.col("j"))).alias(f"j{i}") for i in range(PIVOTS)])
+    width = 1 - similarity + 1e-9
+    placed = written(unsettled.drop(*pivots).join(near, ["key", "rep"]).withColumn("bin", F.floor(F.col("j0") / width)), "placed", base)
+    side = lambda s: placed.select("key", *[F.col(c).alias(f"{c}_{s}") for c in placed.columns if c != "key"])
+    x, y = side("x").where("outside_x"), side("y").withColumn("bin_x", F.explode(F.array(F.col("bin_y") - 1, F.col("bin_y"), F.col("bin_y") + 1)))
+    apart = [F.abs(F.col(f"j{i}_x") - F.col(f"j{i}_y")) <= width for i in range(PIVOTS)]
     once = F.element_at(F.array_intersect("keys_x", "keys_y"), 1) == F.col("key")  # in the first bucket that they share
-    found = found.where((F.col("own_x") != F.col("own_y")) & (~F.col("out_y") | (F.col("x") < F.col("y"))) & once)
-    second = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = written(_checked(second, texts, similarity, words), "more", base)
+    found = x.join(y, ["key", "bin_x"]).where((F.col("own_x") != F.col("own_y")) & (~F.col("outside_y") | (F.col("rep_x") < F.col("rep_y"))))
+    for condition in [*apart, once]:
+        found = found.where(condition)
+    second = found.select(*ends("rep_x", "rep_y")).distinct()
+    more = written(_compared(second, texts, words), "more", base).where(F.col("j") >= similarity).select("a", "b")
 
     joined = links.unionByName(more)
     roots = written(components(joined, f"{base}/second"), "roots", base)
