@@ -129,22 +129,30 @@ class LibraryEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text, its ids as little-endian unsigned 32-bit integers."""
         split = [chunks(t) for t in texts]
-        fresh = set().union(*split) - self.known.keys()
-        if not fresh:
-            return [b"".join([self.known[c] for c in cs]) for cs in split]
+        table, fresh = {}, []  # of this batch: small, and looked into once for each chunk
+        for c in set().union(*split):
+            got = self.known.get(c)
+            if got is None:
+                fresh.append(c)
+            else:
+                table[c] = got
         cut = {c: self._PIECES.findall(c.lower()) if self._PLAIN.fullmatch(c) else [c] for c in fresh}
-        wanted = {p for ps in cut.values() for p in ps}
-        made = {p: self.pieces[p] for p in wanted if p in self.pieces}
-        new = self._through(sorted(wanted - made.keys()))
-        for p, ids in new.items():
+        made, new = {}, []
+        for p in {p for ps in cut.values() for p in ps}:
+            got = self.pieces.get(p)
+            if got is None:
+                new.append(p)
+            else:
+                made[p] = got
+        for p, ids in self._through(new).items():
+            made[p] = ids
             if len(self.pieces) < self.PIECES and len(p) <= self.CHARS:
                 self.pieces[p] = ids
-        made |= new
-        both = self.known
-        encoded = {c: b"".join([made[p] for p in ps]) for c, ps in cut.items()}
-        if len(both) + len(encoded) <= self.CHUNKS:
-            both.update((c, ids) for c, ids in encoded.items() if len(c) <= self.CHARS)
-        return [b"".join([both[c] if c in both else encoded[c] for c in cs]) for cs in split]
+        for c, ps in cut.items():
+            table[c] = ids = made[ps[0]] if len(ps) == 1 else b"".join([made[p] for p in ps])
+            if len(self.known) < self.CHUNKS and len(c) <= self.CHARS:
+                self.known[c] = ids
+        return [b"".join([table[c] for c in cs]) for cs in split]
 
     def _through(self, fresh: list[str]) -> dict[str, bytes]:
         plain = [c for c in fresh if "<|" not in c]
@@ -197,8 +205,8 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str
 
         size = 0
         for frame in frames:
-            for at in range(0, len(frame), 256):
-                piece = frame.iloc[at : at + 256]
+            for at in range(0, len(frame), 512):
+                piece = frame.iloc[at : at + 512]
                 for i, codes in zip(piece["id"], encoder.encode(piece["text"].tolist()), strict=True):
                     ids.append(None if pd.isna(i) else int(i))
                     counts.append(len(codes) // 4 + 1)
