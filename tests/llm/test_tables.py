@@ -151,6 +151,21 @@ def test_mixing(spark):
     assert abs(rate.count() - 30030) < 1500  # a rate of 1001 is drawn in parts
 
 
+def test_mixing_query_moves_whole_documents(spark):
+    """The rows behind the result are documents, as often and in the order as it lists them."""
+    from weftline.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out = queries.op9_mixing(spark, sf)
+    listed = [(r["doc_id"], r["mix_copy"], r["mix_key"]) for r in out.collect()]
+    assert [k for _, _, k in listed] == sorted(k for _, _, k in listed)
+    table = spark.read.parquet(*out.inputFiles())
+    assert table.columns == [*docs.columns, "mix_rate", "mix_copy", "mix_key"]
+    assert rows(table.select("doc_id", "mix_copy", "mix_key")) == sorted(listed, key=str)
+    assert table.select(docs.columns).exceptAll(docs.join(table.select("doc_id"), "doc_id").select(docs.columns)).count() == 0
+
+
 def brute_spans(t):
     def luhn(d):
         return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import bpe, chroma, dac, imi, language, licences, mixing, neardup, pii, quality
-from weftline.llm.common import documents
+from weftline.llm.common import documents, written
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -52,8 +52,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(documents(spark, sf_dir).select("doc_id", "source"))
-    return mixed.select("doc_id", "source", F.round("mix_rate", 9).alias("mix_rate"), "mix_copy", "mix_key")
+    # whole documents are repeated, shuffled and written; the result lists that table by the columns of mix_sql()
+    mixed = written(mixing.mix(documents(spark, sf_dir)), "mixed")
+    listed = mixed.select("doc_id", "source", F.round("mix_rate", 9).alias("mix_rate"), "mix_copy", "mix_key")
+    return listed.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "mix_key").sortWithinPartitions("mix_key")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
