@@ -219,6 +219,16 @@ def test_contexts_find_unseen_identifiers(spark):
     assert got[100] == "email_context:16:24" and got[102] == got[100] and got[101] == ""
 
 
+def test_contexts_hold_beside_other_identifiers(spark):
+    """An unseen id directly after another identifier, after a number, or before an identifier is found."""
+    data = [(i, f"contact user{i}@mail.example.com +1 (555) 010-{1000 + i} soon") for i in range(20)]
+    data += [(20 + i, f"unit {i} other{i}@mail.example.com") for i in range(20)]
+    data += [(40 + i, f"from 10.0.0.{i} mine{i}@mail.example.com 10.1.1.{i}") for i in range(20)]
+    data += [(100, "contact someone@mail.example.com AB-12 soon"), (101, "unit 4 AB12"), (102, "from 10.2.2.2 AB77 10.3.3.3"), (103, f"contact {'long' * 20}@mail.example.com AB-13 now")]
+    got = {r["doc_id"]: r["spans"].split(",") for r in pii.report(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert "phone_context:33:38" in got[100] and "email_context:7:11" in got[101] and "email_context:14:18" in got[102] and "phone_context:106:111" in got[103]
+
+
 def test_pii_stays_in_the_jvm(spark):
     df = spark.createDataFrame([(1, "a@b.c")], "doc_id long, text string")
     plan = pii.occurrences(df)._jdf.queryExecution().executedPlan().toString()

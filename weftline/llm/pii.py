@@ -2,7 +2,8 @@
 
 Everything here is DataFrame expressions.  Base entities are found by regular
 expressions.  They are the seeds: the words around them are lexical patterns
-(two words before; one word before and one after).  Tokens that hold a digit or
+(two words before; one word before and one after), other base entities being one
+filler.  Tokens that hold a digit or
 "@" and stand in the same patterns are candidate instances.  Patterns and
 instances form a graph, counted over the whole table, and are scored in turns:
 
@@ -134,9 +135,19 @@ def replaced(text: Column, spans: Column, by) -> Column:
     return F.when(F.size(spans) > 0, F.aggregate(merged(spans), start, step, finish)).otherwise(text)
 
 
+REACH = 60  # characters of context on either side, a run of fillers counting as one
+WIDE = 10 * REACH  # characters of the masked text that are looked at for them
+
+
 def _patterns(left: Column, right: Column) -> Column:
-    """The two patterns of a place from the text before and after it: words lower-cased, digits as 0, fillers as one."""
-    low = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), "[0-9]", "0"), f"{FILLER}+", FILLER)
+    """The two patterns of a place from the masked text before and after it: words lower-cased, digits as 0, fillers as one.
+
+    Fillers that touch the place belong to spans that overlap or adjoin it, and are passed over.
+    """
+    short = lambda c, touching: F.regexp_replace(F.regexp_replace(c, touching, ""), f"{FILLER}+", FILLER)
+    left = F.right(short(left, f"(?<!{FILLER}){FILLER}+$"), F.lit(REACH))
+    right = F.left(short(right, f"^{FILLER}+"), F.lit(REACH))
+    low = lambda c: F.regexp_replace(F.lower(c), "[0-9]", "0")
     before = low(F.regexp_extract(left, r"(\S+\s+\S+)\s*$", 1))
     near = low(F.regexp_extract(left, r"(\S+)\s*$", 1))
     after = low(F.regexp_extract(right, r"^\s*(\S+)", 1))
@@ -145,24 +156,25 @@ def _patterns(left: Column, right: Column) -> Column:
     return F.array_compact(F.array(one, two))
 
 
-REACH = 60  # characters of context on either side
-
-
-def _seed(text: Column, s: Column) -> Column:
-    left = F.substring(text, F.greatest(s["start"] - REACH + 1, F.lit(1)).cast("int"), F.least(s["start"], F.lit(REACH)).cast("int"))
-    right = F.substring(text, (s["end"] + 1).cast("int"), F.lit(REACH))
+def _seed(masked: Column, s: Column) -> Column:
+    left = F.substring(masked, F.greatest(s["start"] - WIDE + 1, F.lit(1)).cast("int"), F.least(s["start"], F.lit(WIDE)).cast("int"))
+    right = F.substring(masked, (s["end"] + 1).cast("int"), F.lit(WIDE))
     return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value"), _patterns(left, right).alias("patterns"))
 
 
 def _candidates(masked: Column) -> Column:
-    """Tokens with a digit or "@" outside base spans; their contexts come from the gaps and tokens next to them."""
+    """Tokens with a digit or "@" outside base spans.
+
+    Their contexts come from the gaps and tokens next to them: two tokens back, which is two words at least.
+    """
 
     def token(pairs: Column, starts: Column):
         def one(p: Column, i: Column) -> Column:
             start = F.get(starts, i)
-            left = F.right(F.concat(F.coalesce(F.get(pairs, i - 1)["match"], F.lit("")), p["gap"]), F.lit(REACH))
+            before = [F.get(pairs, i - 2)["match"], F.get(pairs, i - 1)["gap"], F.get(pairs, i - 1)["match"], p["gap"]]
+            left = F.right(F.concat(*[F.coalesce(F.right(c, F.lit(WIDE)), F.lit("")) for c in before]), F.lit(WIDE))
             following = F.get(pairs, i + 1)
-            right = F.left(F.concat(F.left(following["gap"], F.lit(REACH)), F.coalesce(F.left(following["match"], F.lit(REACH)), F.lit(""))), F.lit(REACH))
+            right = F.left(F.concat(F.left(following["gap"], F.lit(WIDE)), F.coalesce(F.left(following["match"], F.lit(WIDE)), F.lit(""))), F.lit(WIDE))
             return F.struct(F.lit("").alias("kind"), start.alias("start"), (start + F.length(p["match"])).alias("end"), F.lower(p["match"]).alias("value"), _patterns(left, right).alias("patterns"))
 
         return one
@@ -176,8 +188,8 @@ def occurrences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("id", "text", base_spans(F.col("text")).alias("base"), F.xxhash64("id", "text").alias("row_key"))
     masked = replaced(F.col("text"), F.col("base"), lambda s: F.repeat(F.lit(FILLER), (s["end"] - s["start"]).cast("int")))
-    rows = rows.select("id", "text", "base", "row_key", masked.alias("masked"))
-    seeds = F.transform("base", lambda s: _seed(F.col("text"), s))
+    rows = rows.select("id", "base", "row_key", masked.alias("masked"))
+    seeds = F.transform("base", lambda s: _seed(F.col("masked"), s))
     return rows.select("id", "row_key", "base", F.concat(seeds, _candidates(F.col("masked"))).alias("seen"))
 
 
