@@ -28,6 +28,23 @@ def test_wide_and_long(spark):
     assert rows(uniqkv(first, "id", "k", "v", order="name")) == [(1, "a", 5, 6), (2, "c", 7, 0)]
 
 
+def test_wide_by_null_and_many_keys(spark):
+    """Values under a null key are kept, as the key None; more keys than a pivot may have are refused, none is left out."""
+    long = spark.createDataFrame([(1, "a", "p", 5), (1, "b", None, 6), (1, "c", None, 1), (2, "d", "None", 7), (2, "e", "q", 2)], "id long, name string, k string, v long")
+    got = uniqkv(long, "id", "k", "v", order="name")
+    assert sorted(got.columns) == ["None", "id", "name", "p", "q"]
+    assert rows(got.select("id", "name", "None", "p", "q")) == [(1, "a", 7, 5, 0), (2, "d", 7, 0, 2)]
+    texts = uniqkv(long.withColumn("v", F.col("name")), "id", "k", "v", order="name")
+    assert rows(texts.select("id", "None")) == [(1, "c"), (2, "d")]
+    spark.conf.set("spark.sql.pivotMaxValues", 3)
+    try:
+        with pytest.raises(ValueError, match="more than 3 keys"):
+            uniqkv(long, "id", "k", "v")
+        assert uniqkv(long.where("k <> 'q'"), "id", "k", "v").count() == 2
+    finally:
+        spark.conf.unset("spark.sql.pivotMaxValues")
+
+
 OLD = [(1, "a", 1), (2, "b", 1), (3, "c", 1), (4, "d", 2)]
 NEW = [(2, "B", 9), (3, "c", 9), (5, "e", 1)]
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,13 +84,23 @@ def h4v(df: DataFrame, key: str, value: str, id: str | None = None, columns: lis
 
 @register_transform("uniqkv")
 def uniqkv(df: DataFrame, uniq: str, key: str, value: str, order: str | None = None, columns: list | None = None) -> DataFrame:
-    """The first row of each ``uniq``, with a column for each key."""
+    """The first row of each ``uniq``, with a column for each key; null is the key ``None``.
+
+    Keys that are not given are found first; more than Spark's own pivot allows are refused.
+    """
     rest = [c for c in df.columns if c not in (uniq, key, value)]
     first = [(F.min_by(c, order) if order else F.first(c)).alias(c) for c in rest]
-    names = columns or [r[0] for r in df.select(key).distinct().orderBy(key).limit(10_000).collect()]  # a table has few columns
-    cell = lambda n: F.when(F.col(key) == n, F.col(value))
+    most = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+    names = columns or [r[0] for r in df.select(key).distinct().orderBy(key).limit(most + 1).collect()]
+    if not columns and len(names) > most:
+        raise ValueError(f"more than {most} keys in {key}; name the columns or raise spark.sql.pivotMaxValues")
+    labels: dict[str, list] = {}
+    for n in names:
+        labels.setdefault(str(n), []).append(n)
+    hit = lambda ns: reduce(or_, [F.col(key).eqNullSafe(n) for n in ns])
+    cell = lambda ns: F.when(hit(ns), F.col(value))
     number = is_number(df.schema[value].dataType)
-    cells = [(F.coalesce(F.sum(cell(n)), F.lit(0)) if number else F.max_by(value, F.when(F.col(key) == n, F.col(order))) if order else F.last(cell(n), ignorenulls=True)).alias(str(n)) for n in names]
+    cells = [(F.coalesce(F.sum(cell(ns)), F.lit(0)) if number else F.max_by(value, F.when(hit(ns), F.col(order))) if order else F.last(cell(ns), ignorenulls=True)).alias(label) for label, ns in labels.items()]
     return df.groupBy(uniq).agg(*first, *cells)
 
 
