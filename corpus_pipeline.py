@@ -18,9 +18,12 @@ from weftline.llm.queries import tokenizer_path
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; texts without letters, and null texts, go.
 
-    The language column becomes the prediction.
+    The language column becomes the prediction; where nothing can be learned, it stays as it is.
     """
     profiles = language.fit(docs)
+    if not any(profiles.values()):  # any profile will do to tell texts with letters
+        found = language.predict_rows(docs, {"any": [0]})
+        return found.where(F.col("lang_pred") != "und").select(*docs.columns)
     # predictions stay with their rows: no join by an id that may repeat
     found = language.predict_rows(docs, profiles)
     return found.where(F.col("lang_pred") != "und").withColumn("lang", F.col("lang_pred")).select(*docs.columns)

@@ -263,6 +263,24 @@ def test_pipeline_keeps_clean_rows_and_takes_odd_ones(spark):
     assert docs.count() > 0
 
 
+def test_pipeline_without_labels_keeps_clean_rows(spark):
+    texts = [(1, "a clean text", None), (2, None, None), (3, "### 12", None), (4, "another one", None)]
+    docs = spark.createDataFrame([(i, t, lang, "s", 1) for i, t, lang in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(corpus_pipeline.STAGES)["language"]
+    assert rows(stage(spark, docs, "").select("doc_id", "lang")) == [(1, None), (4, None)]
+    letterless = docs.withColumn("lang", F.when(F.col("doc_id") == 3, "en"))
+    assert rows(stage(spark, letterless, "").select("doc_id")) == [(1,), (4,)]
+
+
+def test_null_and_clashing_ids_are_compared_by_text(spark):
+    words = [f"w{i}" for i in range(200)]
+    near = " ".join([*words[:-1], "x"])
+    data = [(None, "a b c"), (None, "a b c"), (None, "d e f"), (None, None), (None, None), (5, "a b c"), (7, "first of two"), (7, "second of the two"), (7, "first of two"), (9, " ".join(words)), (None, near), (9, "g h i"), (10, "second of the two")]
+    kept = neardup.deduplicated(spark.createDataFrame(data, "doc_id long, text string"))
+    want = [(None, "d e f"), (None, None), (None, None), (5, "a b c"), (7, "first of two"), (7, "second of the two"), (9, " ".join(words)), (9, "g h i")]
+    assert rows(kept) == sorted(want, key=str)
+
+
 def test_sql_of_the_queries(spark):
     from weftline.llm import queries
 

@@ -188,14 +188,20 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
-    """The rows and columns of ``df``, one document of each class: the one with the smallest id.
+    """The rows and columns of ``df``, one document of each class: the one with the smallest id, null last.
 
-    Rows that repeat an id are one document, of which one row stays.  Rows with a
-    null id all stay.
+    Rows are told apart by id and text: those that repeat both are one document,
+    of which one row stays, and those that share an id, or have none, are compared
+    by their texts.  Rows with neither id nor text all stay.
     """
-    found = classes(df, id_col, text_col, **parameters).where(F.col(id_col) == F.col("class_id")).groupBy(F.col(id_col).alias("neardup_id")).agg(F.count(F.lit(1)).alias("neardup_rows"))
-    found = written(found, "kept")
-    kept = df.join(found, F.col(id_col).cast("long") == F.col("neardup_id"))
+    base, key, none = shared_folder(df.sparkSession), "neardup_key", F.col(id_col).isNull() & F.col(text_col).isNull()
+    keyed = df.where(~none).withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col)))
+    keys = written(keyed.groupBy(key).agg(F.min(id_col).alias("neardup_id"), F.count(F.lit(1)).alias("neardup_rows")), "keys", base)
+    repeated, texts = keys.where(F.col("neardup_rows") > 1).select(key), keyed.select(key, text_col)
+    single = texts.join(repeated, key, "left_anti").unionByName(texts.join(repeated, key, "left_semi").dropDuplicates([key]))
+    found = classes(single, key, text_col, **parameters).join(keys, key)
+    first = found.groupBy("class_id").agg(F.min(F.struct(F.col("neardup_id").isNull().alias("last"), "neardup_id", key, "neardup_rows")).alias("first"))
+    kept = keyed.join(written(first.select(f"first.{key}", "first.neardup_rows"), "kept", base), key)
     once = kept.where(F.col("neardup_rows") == 1)
-    again = kept.where(F.col("neardup_rows") > 1).dropDuplicates([id_col])
-    return once.unionByName(again).select(*df.columns).unionByName(df.where(F.col(id_col).isNull()))
+    again = kept.where(F.col("neardup_rows") > 1).dropDuplicates([id_col, text_col])
+    return once.unionByName(again).select(*df.columns).unionByName(df.where(none))
