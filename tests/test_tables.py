@@ -133,3 +133,15 @@ def test_filters_and_columns_reach_the_scan(spark):
     plan = QUERIES["filter_ops"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "o_orderstatus" in plan and "GreaterThanOrEqual(o_totalprice,1000.0)" in plan and "o_custkey" not in plan
     assert F is not None
+
+
+def test_textline_names_every_segment_and_console_tells_the_rest(spark, tmp_path, capsys):
+    (tmp_path / "wide").write_text("a b\n" + " ".join(f"x{i}" for i in range(20)) + "\n")
+    catalog = Catalog(spark, [{"name": "t", "driver": "textline", "path": str(tmp_path), "sep": " "}, {"name": "c", "driver": "console", "rows": 2}])
+    got = catalog.read("t.wide")
+    assert got.columns == [*[f"seg{i}" for i in range(20)], "line"]
+    assert sorted(str(r["seg19"]) for r in got.collect()) == ["None", "x19"]
+    from weftline.sinks import stores
+
+    stores.write(catalog, "c.out", spark.range(5), "insert", [], [], lambda df: F.lit(True))
+    assert "3 more rows are not shown" in capsys.readouterr().out

@@ -63,7 +63,10 @@ def write(catalog, name: str, df: DataFrame, mode: str, keys: list[str], neutral
     options = catalog.databases.get(db, {"driver": "console" if db == "stdio" or table.startswith("&") else "memory"})
     driver = options.get("driver", "memory")
     if table in ("&1", "&2") or driver in ("console", "stdio"):
-        df.show(int(options.get("rows", 1000)), truncate=False)
+        most = int(options.get("rows", 1000))
+        df.show(most, truncate=False)
+        if (left := df.count() - most) > 0:
+            print(f"{left} more rows are not shown")
         return {"mode": mode}
     if driver == "memory":
         before = catalog.memory.get(name)

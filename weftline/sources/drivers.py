@@ -66,7 +66,9 @@ def read_textline(spark: SparkSession, options: dict, table: str) -> DataFrame:
     from weftline.lang.values import Value, literal
 
     parts = call("textline::split", [Value(F.col("line"), lines.schema["line"].dataType), literal(options["sep"])]).col
-    return lines.select(*[F.get(parts, i).alias(f"seg{i}") for i in range(int(options.get("segments", 16)))], "line")
+    # at least 16 columns; more if a line has more segments, which takes a pass over the file
+    most = int(options["segments"]) if "segments" in options else max(16, lines.agg(F.max(F.size(parts))).first()[0] or 0)
+    return lines.select(*[F.get(parts, i).alias(f"seg{i}") for i in range(most)], "line")
 
 
 def _jdbc(spark: SparkSession, options: dict):
