@@ -73,6 +73,47 @@ def test_near_duplicates_are_the_brute_force_classes(spark):
     assert {r["doc_id"]: r["class_id"] for r in got} == {i: u.root(i) for i in sets}
 
 
+def test_near_duplicates_lose_no_link(spark):
+    """Of all pairs of at least the similarity, found by counting shared runs, at least 0.99 are in one class."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text is not null")
+    texts = sorted({(r["text"], r["doc_id"]) for r in docs.select("doc_id", "text").collect()})
+    sets = [shingles(t) for t, _ in texts]
+    names = np.concatenate([h for h, _ in sets])
+    own = np.repeat(np.arange(len(sets)), [len(h) for h, _ in sets])
+    order = np.argsort(names, kind="stable")
+    names, own = names[order], own[order]
+    shared: dict[tuple[int, int], int] = {}
+    ends = np.flatnonzero(np.diff(names)) + 1
+    for group in np.split(own, ends):
+        for k, a in enumerate(group):
+            for b in group[k + 1 :]:
+                shared[int(a), int(b)] = shared.get((int(a), int(b)), 0) + 1
+    close = [(a, b) for (a, b), n in shared.items() if n >= 0.5 * min(len(sets[a][0]), len(sets[b][0])) and texts[a][0] != texts[b][0]]
+    true = [(texts[a][1], texts[b][1]) for a, b in close if weighted_jaccard(sets[a], sets[b]) >= 0.8]
+    class_of = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs).collect()}
+    assert len(true) > 100 and sum(class_of[a] == class_of[b] for a, b in true) >= 0.99 * len(true)
+
+
+def test_near_duplicates_of_a_large_split_group(spark):
+    """Copies of one text with ever more words changed: classes are those of brute force, and few pairs are compared."""
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for k in range(260):
+        words = list(base)
+        for at in rng.choice(150, k % 9, replace=False):
+            words[at] = f"x{k // 2}_{at}"
+        texts.append(" ".join(words))
+    sets, u = [shingles(t) for t in texts], Union()
+    for i in range(len(texts)):
+        u.root(i)
+        for j in range(i):
+            if weighted_jaccard(sets[i], sets[j]) >= 0.8:
+                u.join(i, j)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in neardup.classes(df).collect()} == {i: u.root(i) for i in range(len(texts))}
+
+
 def test_near_duplicate_chain_and_edges(spark):
     """A chain whose ends are not alike is one class, however the buckets' heads fall."""
     base = [f"w{i}" for i in range(200)]

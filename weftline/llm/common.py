@@ -16,6 +16,10 @@ _SPLIT = re.compile(f"[{WHITE}]+")
 _CONTROL = re.compile("[\x1c-\x1f]")
 
 
+#: So many texts of a batch are Python objects at a time.
+SLICE = 256
+
+
 def chunks(text: str) -> list[str]:
     """The white-space separated chunks of a text, by Unicode White_Space only."""
     if _CONTROL.search(text):  # str.split() also breaks at these four
@@ -27,6 +31,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that are no columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def id_remainder(id_col: str, mod: int) -> Column:
     """crc32 of the id as decimal text, modulo ``mod``; a null id counts as the empty text."""
     text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
@@ -44,9 +60,9 @@ def map_text(df: DataFrame, id_col: str, text_col: str, schema: str, make: Calla
         fn = make()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(ids), 1024):
-                part = texts.slice(at, 1024).to_pylist()
-                rows = [fn(i, t) for i, t in zip(ids[at : at + 1024], part, strict=True)]
+            for at in range(0, len(ids), SLICE):
+                part = texts.slice(at, SLICE).to_pylist()
+                rows = [fn(i, t) for i, t in zip(ids[at : at + SLICE], part, strict=True)]
                 yield record_batch(rows, names, types)
 
     out = df.sparkSession.createDataFrame([], schema).schema

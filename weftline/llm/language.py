@@ -13,11 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.llm.bpe import _typed
-from weftline.llm.common import id_remainder, map_text
+from weftline.llm.common import SLICE, id_remainder, map_text
 
 PROFILE = 400
 #: Learned from about so many rows of each language, chosen by a hash of the id; all if there are fewer.
@@ -133,17 +135,25 @@ def predict(df: DataFrame, profiles: dict[str, list[int]], length: int = PROFILE
     return map_text(df, id_col, text_col, f"{_typed(df, id_col)}, lang_pred string, score double", make)
 
 
-def predict_rows(df: DataFrame, profiles: dict[str, list[int]], length: int = PROFILE, text_col: str = "text") -> DataFrame:
-    """All columns of ``df`` and ``lang_pred``, by the same rules as :func:`predict`."""
+def predict_rows(df: DataFrame, profiles: dict[str, list[int]], length: int = PROFILE, text_col: str = "text", into: str = "lang_pred") -> DataFrame:
+    """All columns of ``df`` and the prediction in the column ``into``, by the same rules as :func:`predict`.
+
+    Rows go through as the Arrow columns they are; only some texts at a time are Python objects.
+    """
+    if into in df.columns:
+        raise ValueError(f"there is a column {into}")
     shared = df.sparkSession.sparkContext.broadcast(profiles)
+    texts = df.columns.index(text_col)
 
-    @F.pandas_udf("string")
-    def guess(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Profiles(shared.value, length)
-        for part in texts:
-            yield pd.Series([model.predict(None if t is None or t is pd.NA or t != t else t)[0] for t in part], dtype=object)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                found = [model.predict(text)[0] for text in part.column(texts).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string())], names=[*part.schema.names, into])
 
-    return df.withColumn("lang_pred", guess(F.col(text_col).cast("string")))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(into, T.StringType())]))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
