@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import bpe, language, mixing, neardup, pii
-from weftline.llm.common import documents, shared_folder, written
+from weftline.llm.common import documents, fresh, shared_folder, written
 from weftline.llm.queries import tokenizer_path
 
 
@@ -21,12 +21,11 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     The language column becomes the prediction; where nothing can be learned, it stays as it is.
     """
     profiles = language.fit(docs)
-    if not any(profiles.values()):  # any profile will do to tell texts with letters
-        found = language.predict_rows(docs, {"any": [0]})
-        return found.where(F.col("lang_pred") != "und").select(*docs.columns)
-    # predictions stay with their rows: no join by an id that may repeat
-    found = language.predict_rows(docs, profiles)
-    return found.where(F.col("lang_pred") != "und").withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    learned = any(profiles.values())
+    (into,) = fresh(docs, "lang_pred")
+    # predictions stay with their rows: no join by an id that may repeat; any profile tells texts with letters
+    found = language.predict_rows(docs, profiles if learned else {"any": [0]}, into=into).where(F.col(into) != "und")
+    return (found.withColumn("lang", F.col(into)) if learned else found).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
