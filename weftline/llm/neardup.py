@@ -206,7 +206,8 @@ def _undecided(bucketed: DataFrame, roots: DataFrame, sets: DataFrame, similarit
     held = roots.select(F.col("node").alias("rep"), F.col("root").alias("own"))
     owned = bucketed.where(F.col("n") > 2).join(held, "rep", "left").select("key", "rep", F.coalesce("own", "rep").alias("own"))
     sizes = owned.groupBy("key", "own").agg(F.count(F.lit(1)).alias("n"))
-    leads = sizes.groupBy("key").agg(F.max_by("own", F.struct("n", -F.col("own"))).alias("lead"), F.count(F.lit(1)).alias("classes")).where(F.col("classes") > 1)
+    # written, so that Spark can split the join where a bucket is large
+    leads = written(sizes.groupBy("key").agg(F.max_by("own", F.struct("n", -F.col("own"))).alias("lead"), F.count(F.lit(1)).alias("classes")).where(F.col("classes") > 1), "leads", base)
     members = owned.join(leads, "key").groupBy("rep").agg(F.first("own").alias("own"), F.max(F.col("own") != F.col("lead")).alias("out"))
     runs = written(_runs(sets.withColumnRenamed("id", "rep").join(members, "rep")), "runs", base)
 
@@ -244,9 +245,10 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     sign = written(signed(df, id_col, text_col, words, bands, rows).where(F.col("id").isNotNull()), "signed", base)
     members = written(_represented(sign), "members", base)
     keyed = members.select("rep", F.explode("keys").alias("key"))
-    heads = keyed.groupBy("key").agg(F.min("rep").alias("head"), F.min_by("rep", F.xxhash64("key", "rep")).alias("other"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    first = keyed.groupBy("key").agg(F.min("rep").alias("head"), F.min_by("rep", F.xxhash64("key", "rep")).alias("other"), F.count(F.lit(1)).alias("n"))
+    heads = written(first.where(F.col("n") > 1), "heads", base)
     bucketed = written(keyed.join(heads, "key"), "bucketed", base)
-    wanted = bucketed.select(F.col("rep").alias("id")).distinct()
+    wanted = bucketed.select(F.col("rep").alias("id")).distinct().hint("merge")  # grows with the table: the same plan at every size
     source = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sets = written(_sets(source.join(wanted, "id", "left_semi"), words), "sets", base)
 
