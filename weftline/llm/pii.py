@@ -1,10 +1,12 @@
 """Personal data: base patterns, and contexts bootstrapped from what they find.
 
 Everything here is DataFrame expressions.  Base entities are found by regular
-expressions.  They are the seeds: the words around them are lexical patterns
-(two words before; one word before and one after), other base entities being one
-filler.  Tokens that hold a digit or
-"@" and stand in the same patterns are candidate instances.  Patterns and
+expressions.  They are the seeds, and so are tokens that look like keys (long runs
+of letters and digits that change often, the kind ``secret``).  What stands around
+them are lexical patterns: two words before; one word before and one after; a
+label and a separator before; and for long tokens the way they begin.  Other base
+entities are one filler there.  Tokens that hold a digit, "@" or many capitals and
+stand in the same patterns are candidate instances.  Patterns and
 instances form a graph, counted over the whole table, and are scored in turns:
 
 * a pattern's confidence for a kind is the mean score of the distinct instances
@@ -13,7 +15,8 @@ instances form a graph, counted over the whole table, and are scored in turns:
   of at least ``confident``; seeds keep the score 1.
 
 After the last turn, candidates that stand in a confident pattern and reach
-``accept`` are spans of the kind ``<kind>_context``.
+``accept`` are spans of the kind ``<kind>_context``.  A key is a seed by its looks
+only, so it becomes a span, of the kind ``secret``, by the same test.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import shared_folder, written
+from weftline.llm.common import fresh, shared_folder, written
 
 KINDS = ("email", "ip", "card", "phone")
 SPAN = "struct<kind:string,start:long,end:long,value:string>"
@@ -35,8 +38,14 @@ EMAIL = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@{_HOST}++(?=\.{_HOST})[A-Za-z0-9.-]*?(
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}(?![0-9])(?![ -][0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-TOKEN = r"(?<!\S)(?=\S*[0-9@])\S+"
-FILLER = "￼"
+_PART = r"""[^\s"'=:<>(),;\[\]{}|\uFDD0-\uFDEF]"""
+TOKEN = rf"(?<!{_PART})(?={_PART}*?[0-9@]|[A-Z]{{12}}){_PART}+(?<![.!?])"
+FILLER = "\uFDD0"
+SECRET = "secret"
+#: Characters of a word of a pattern at most; so many characters beside a place hold two of them.
+WORD, WIDE = 64, 160
+#: Characters of the pieces that a text is cut from.
+CHUNK = 1024
 
 
 #: Matches are walked in blocks of so many, for arrays to grow in little pieces.
@@ -102,131 +111,143 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def merged(spans: Column) -> Column:
-    """Spans by start, those that overlap made one: array of (start, end).
+def _cut(chunks: Column, start: Column, end: Column) -> Column:
+    """The characters from start to end of a text that lies in chunks of CHUNK; takes time for these and one chunk."""
+    i, j = F.floor(start / CHUNK).cast("int"), F.floor(end / CHUNK).cast("int")
+    first, last = (start - i * CHUNK).cast("int"), (end - j * CHUNK).cast("int")
+    here = F.substring(F.get(chunks, i), first + 1, (end - start).cast("int"))
+    over = F.concat(F.substring(F.get(chunks, i), first + 1, F.lit(CHUNK)), F.array_join(F.slice(chunks, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.coalesce(F.substring(F.get(chunks, j), F.lit(1), last), F.lit("")))
+    return F.coalesce(F.when(i == j, here).otherwise(over), F.lit(""))
 
-    A span is merged away if one before it reaches its end, and reaches back to
-    where the ones before it end; so spans come out apart, and together they
-    cover the same places.
-    """
-    ordered = F.array_sort(F.array_distinct(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))))
-
-    def step(acc: Column, s: Column) -> Column:
-        from_ = F.greatest(s["start"], acc["end"])
-        new = F.struct(from_.alias("start"), s["end"].alias("end"))
-        return F.struct(F.greatest(acc["end"], s["end"]).alias("end"), F.when(s["end"] > acc["end"], F.array_append(acc["all"], new)).otherwise(acc["all"]).alias("all"))
 
-    start = F.struct(F.lit(0).cast("long").alias("end"), F.array().cast("array<struct<start:long,end:long>>").alias("all"))
-    return F.aggregate(ordered, start, step)["all"]
+def _chunks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
 
 
-def replaced(text: Column, spans: Column, by) -> Column:
-    """The text with each merged span replaced by ``by(span)``."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+def _covered(text: Column, spans: Column, by: Column) -> Column:
+    """The text with every character within the spans replaced by the character ``by``; spans ascend and don't overlap."""
 
-    def step(acc: Column, s: Column) -> Column:
-        before = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(before, by(s))).alias("out"))
+    def made(chunks: Column) -> Column:
+        end = lambda i: F.coalesce(F.get(spans, i)["end"], F.lit(0).cast("long"))
+        parts = F.transform(spans, lambda s, i: F.concat(_cut(chunks, end(i - 1), s["start"]), F.repeat(by, (s["end"] - s["start"]).cast("int"))))
+        return F.concat(F.array_join(parts, ""), _cut(chunks, end(F.size(spans) - 1), F.length(text).cast("long")))
 
-    def finish(acc: Column) -> Column:
-        rest = F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))
-        return F.concat(F.array_join(acc["out"], ""), rest)
+    return F.when(F.size(spans) > 0, _let(_chunks(text), made)).otherwise(text)
 
-    return F.when(F.size(spans) > 0, F.aggregate(merged(spans), start, step, finish)).otherwise(text)
 
+def covered(text: Column, spans: Column, by: Column) -> Column:
+    """:func:`_covered` for base spans, which overlap between kinds only: one kind after the other, as places stay."""
+    for kind in KINDS:
+        own = F.filter(spans, lambda s: s["kind"] == kind)  # noqa: B023  used at once
+        text = _let(text, lambda t, own=own: _let(own, lambda some: _covered(t, some, by)))
+    return text
 
-REACH = 60  # characters of context on either side, a run of fillers counting as one
-WIDE = 10 * REACH  # characters of the masked text that are looked at for them
 
+def _patterns(left: Column, value: Column, right: Column) -> Column:
+    """The patterns of a place from the covered text before and after it.
 
-def _patterns(left: Column, right: Column) -> Column:
-    """The two patterns of a place from the masked text before and after it: words lower-cased, digits as 0, fillers as one.
-
-    Fillers that touch the place belong to spans that overlap or adjoin it, and are passed over.
+    Two words before; one word before and one after; a label before a separator;
+    and how a long value is spelled: its first four letters and its length.  Words
+    are lower-cased, with digits as 0 and covered identifiers as one filler; a word
+    of more than WORD characters makes no pattern.  Fillers that touch the place
+    belong to spans that adjoin it, and are passed over.
     """
     short = lambda c, touching: F.regexp_replace(F.regexp_replace(c, touching, ""), f"{FILLER}+", FILLER)
-    left = F.right(short(left, f"(?<!{FILLER}){FILLER}+$"), F.lit(REACH))
-    right = F.left(short(right, f"^{FILLER}+"), F.lit(REACH))
+    left, right = short(left, f"(?<!{FILLER}){FILLER}+$"), short(right, f"^{FILLER}+")
     low = lambda c: F.regexp_replace(F.lower(c), "[0-9]", "0")
-    before = low(F.regexp_extract(left, r"(\S+\s+\S+)\s*$", 1))
-    near = low(F.regexp_extract(left, r"(\S+)\s*$", 1))
-    after = low(F.regexp_extract(right, r"^\s*(\S+)", 1))
+    word = rf"(?<!\S)\S{{1,{WORD}}}"
+    before = low(F.regexp_extract(left, rf"({word}\s+\S{{1,{WORD}}})\s*$", 1))
+    near = low(F.regexp_extract(left, rf"({word})\s*$", 1))
+    after = low(F.regexp_extract(right, rf"^\s*(\S{{1,{WORD}}})(?!\S)", 1))
+    label = low(F.regexp_extract(left, rf"(?<![\p{{L}}_-])([\p{{L}}_-]{{2,{WORD}}})[\"']?\s{{0,8}}[:=]\s{{0,8}}[\"'(\[]?$", 1))
+    start = F.regexp_extract(value, r"^([A-Za-z]{4})[A-Za-z0-9_-]{8,}$", 1)
     one = F.when(before != "", F.concat(F.regexp_replace(before, r"\s+", " "), F.lit(" _")))
     two = F.when((near != "") & (after != ""), F.concat(near, F.lit(" _ "), after))
-    return F.array_compact(F.array(one, two))
+    three = F.when(label != "", F.concat(F.lit("label "), label))
+    four = F.when(start != "", F.concat(F.lit("spelled "), start, F.lit(" "), F.length(value).cast("string")))
+    return F.array_compact(F.array(one, two, three, four))
 
 
-def _seed(masked: Column, s: Column) -> Column:
-    left = F.substring(masked, F.greatest(s["start"] - WIDE + 1, F.lit(1)).cast("int"), F.least(s["start"], F.lit(WIDE)).cast("int"))
-    right = F.substring(masked, (s["end"] + 1).cast("int"), F.lit(WIDE))
-    return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value"), _patterns(left, right).alias("patterns"))
+def _seen(chunks: Column, kind: Column, start: Column, end: Column, value: Column) -> Column:
+    left = _cut(chunks, F.greatest(start - WIDE, F.lit(0).cast("long")), start)
+    return F.struct(kind.alias("kind"), start.alias("start"), end.alias("end"), F.lower(value).alias("value"), _patterns(left, value, _cut(chunks, end, end + WIDE)).alias("patterns"))
 
 
-def _candidates(masked: Column) -> Column:
-    """Tokens with a digit or "@" outside base spans.
+def _is_secret(value: Column) -> Column:
+    """A long run of letters and digits that change often, as keys and tokens have it; no UUID."""
+    return F.regexp_like(value, F.lit("^[A-Za-z0-9_-]{16,}$")) & (F.regexp_count(value, F.lit("[A-Za-z](?=[0-9])")) >= 2) & ~F.regexp_like(value, F.lit("^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"))
 
-    Their contexts come from the gaps and tokens next to them: two tokens back, which is two words at least.
-    """
 
-    def token(pairs: Column, starts: Column):
-        def one(p: Column, i: Column) -> Column:
-            start = F.get(starts, i)
-            before = [F.get(pairs, i - 2)["match"], F.get(pairs, i - 1)["gap"], F.get(pairs, i - 1)["match"], p["gap"]]
-            left = F.right(F.concat(*[F.coalesce(F.right(c, F.lit(WIDE)), F.lit("")) for c in before]), F.lit(WIDE))
-            following = F.get(pairs, i + 1)
-            right = F.left(F.concat(F.left(following["gap"], F.lit(WIDE)), F.coalesce(F.left(following["match"], F.lit(WIDE)), F.lit(""))), F.lit(WIDE))
-            return F.struct(F.lit("").alias("kind"), start.alias("start"), (start + F.length(p["match"])).alias("end"), F.lower(p["match"]).alias("value"), _patterns(left, right).alias("patterns"))
+def _found(text: Column, base: Column) -> Column:
+    """Seeds and candidates of a text: its base spans, and the tokens outside them that hold a digit, "@" or many capitals."""
 
-        return one
+    def tokens(covered_text: Column, chunks: Column) -> Column:
+        def one(p: Column, start: Column) -> Column:
+            return F.struct(start.alias("start"), (start + F.length(p["match"])).alias("end"), p["match"].alias("value"))
 
-    found = _let(_pairs(masked, TOKEN), lambda pairs: _let(_starts(pairs), lambda starts: F.filter(F.transform(pairs, token(pairs, starts)), lambda s: s["value"].isNotNull() & ~F.contains(s["value"], F.lit(FILLER)))))
-    return F.when(F.regexp_like(masked, F.lit("[0-9@]")), found).otherwise(F.array().cast(f"array<{SEEN}>"))
+        every = _let(_pairs(covered_text, TOKEN), lambda pairs: F.zip_with(pairs, _starts(pairs), one))
+        own = F.filter(every, lambda t: t["value"].isNotNull())
+        return F.transform(own, lambda t: _seen(chunks, F.when(_is_secret(t["value"]), SECRET).otherwise(""), t["start"], t["end"], t["value"]))
+
+    def both(covered_text: Column) -> Column:
+        return _let(_chunks(covered_text), lambda chunks: F.concat(F.transform(base, lambda s: _seen(chunks, s["kind"], s["start"], s["end"], s["value"])), tokens(covered_text, chunks)))
+
+    return F.when(F.regexp_like(text, F.lit("[0-9@]|[A-Z]{12}")), _let(covered(text, base, F.lit(FILLER)), both)).otherwise(F.array().cast(f"array<{SEEN}>"))
+
+
+def _keyed(df: DataFrame, id_col: str, text_col: str, key: str, check: str) -> DataFrame:
+    """Two hashes of id and text, 128 bits together, that tell rows apart."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return df.withColumns({key: F.xxhash64(F.col(id_col), text), check: F.xxhash64(F.lit(1), text, F.col(id_col))})
 
 
 def occurrences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, row_key, base, seen): for each row its base spans, and all seeds and candidates with their patterns."""
+    """(id, row_key, row_check, base, seen): for each row its base spans, and all seeds and candidates with their patterns."""
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("id", "text", base_spans(F.col("text")).alias("base"), F.xxhash64("id", "text").alias("row_key"))
-    masked = replaced(F.col("text"), F.col("base"), lambda s: F.repeat(F.lit(FILLER), (s["end"] - s["start"]).cast("int")))
-    rows = rows.select("id", "base", "row_key", masked.alias("masked"))
-    seeds = F.transform("base", lambda s: _seed(F.col("masked"), s))
-    return rows.select("id", "row_key", "base", F.concat(seeds, _candidates(F.col("masked"))).alias("seen"))
+    rows = _keyed(rows, "id", "text", "row_key", "row_check").withColumn("base", base_spans(F.col("text")))
+    return rows.select("id", "row_key", "row_check", "base", _found(F.col("text"), F.col("base")).alias("seen"))
 
 
 def scored(found: DataFrame, turns: int = 2, support: int = 3, confident: float = 0.6, accept: float = 0.8, base: str | None = None) -> DataFrame:
     """(kind, pattern, value) of the candidates that the graph accepts."""
+    base = base or shared_folder(found.sparkSession)
     each = found.select(F.explode("seen").alias("s")).select("s.kind", "s.value", F.explode("s.patterns").alias("pattern"))
-    edges = written(each.groupBy("pattern", "value").agg(F.max("kind").alias("seed")), "edges", base)
-    # patterns that no seed has seen can't gain score through candidates alone in the first turn; later turns reach them
-    sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    scores = edges.where(F.col("seed") != "").select("value", F.col("seed").alias("kind")).distinct().withColumn("score", F.lit(1.0))
-    seeds = scores
+    all_edges = written(each.groupBy("pattern", "value").agg(F.max("kind").alias("seed")), "edges", base)
+    # a pattern with fewer instances than the support never counts
+    sizes = written(all_edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support), "sizes", base)
+    edges = written(all_edges.join(sizes, "pattern"), "graph", base)
+    seeds = edges.where(F.col("seed") != "").select("value", F.col("seed").alias("kind")).distinct().withColumn("score", F.lit(1.0))
+    asked = edges.where(F.col("seed").isin("", SECRET))
+    scores = seeds
     for turn in range(turns):
-        carried = edges.join(scores, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("sum"))
-        strong = carried.join(sizes, "pattern").where(F.col("sum") >= support).select("pattern", "kind", F.least(F.col("sum") / F.col("n"), F.lit(0.999)).alias("confidence")).where(F.col("confidence") >= confident)
+        carried = edges.join(scores, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), F.max("n").alias("n"))
+        strong = carried.where(F.col("sum") >= support).select("pattern", "kind", F.least(F.col("sum") / F.col("n"), F.lit(0.999)).alias("confidence")).where(F.col("confidence") >= confident)
         strong = written(strong, f"patterns{turn}", base)
-        reached = edges.where(F.col("seed") == "").join(strong, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
+        reached = asked.join(strong, "pattern").where(F.col("seed").isin("", F.col("kind"))).groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"), F.max("seed").alias("seed"))
         reached = written(reached, f"instances{turn}", base)
-        scores = seeds.unionByName(reached)
+        scores = seeds.unionByName(reached.where(F.col("seed") == "").drop("seed"))
     good = reached.where(F.col("score") >= accept).select("value", "kind")
-    return edges.where(F.col("seed") == "").join(strong, "pattern").join(good, ["value", "kind"]).select("kind", "pattern", "value").distinct()
+    return written(asked.join(strong, "pattern").join(good, ["value", "kind"]).select("kind", "pattern", "value").distinct(), "accepted", base)
 
 
 def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", turns: int = 2, support: int = 3, confident: float = 0.6, accept: float = 0.8) -> DataFrame:
-    """(id, row_key, base, learned): base spans and spans found by context, for each row.
+    """(id, row_key, row_check, base, learned): base spans and spans found by context, for each row.
 
     A null text counts as empty and has no spans.  Rows with the same id and text
-    have the same ``row_key`` and the same spans; an empty table gives an empty
-    table.  Whole texts are searched.
+    have the same keys and the same spans; an empty table gives an empty
+    table.  Whole texts are searched, in time that grows with their length and the spans in them.
     """
     base = shared_folder(df.sparkSession)
     found = written(occurrences(df, id_col, text_col), "occurrences", base)
     good = scored(found, turns, support, confident, accept, base)
-    candidates = found.select("row_key", F.explode("seen").alias("s")).where(F.col("s.kind") == "").select("row_key", "s.start", "s.end", "s.value", F.explode("s.patterns").alias("pattern"))
-    hits = candidates.join(good, ["pattern", "value"]).select("row_key", F.struct(F.concat("kind", F.lit("_context")).alias("kind"), "start", "end", "value").alias("span")).distinct()
-    learned = hits.groupBy("row_key").agg(F.array_sort(F.collect_list("span")).alias("learned"))
+    keys = ["row_key", "row_check"]
+    asked = found.select(*keys, F.explode("seen").alias("s")).where(F.col("s.kind").isin("", SECRET))
+    candidates = asked.select(*keys, F.col("s.kind").alias("own"), "s.start", "s.end", "s.value", F.explode("s.patterns").alias("pattern"))
+    kind = F.when(F.col("own") == F.col("kind"), F.col("kind")).otherwise(F.concat("kind", F.lit("_context")))
+    hits = candidates.join(good, ["pattern", "value"]).select(*keys, F.struct(kind.alias("kind"), "start", "end", "value").alias("span")).distinct()
+    learned = hits.groupBy(*keys).agg(F.array_sort(F.collect_list("span")).alias("learned"))
     none = F.array().cast(f"array<{SPAN}>")
-    return found.select("id", "row_key", "base").join(learned, "row_key", "left").select(F.col("id").alias(id_col), "row_key", "base", F.coalesce("learned", none).alias("learned"))
+    return found.select("id", *keys, "base").join(learned, keys, "left").select(F.col("id").alias(id_col), *keys, "base", F.coalesce("learned", none).alias("learned"))
 
 
 def _listed(spans: Column) -> Column:
@@ -240,19 +261,31 @@ def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     def count(kind: str) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select(id_col, *map(count, KINDS), F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.concat("base", "learned")).alias("spans"))
+    more = [F.size("learned").cast("long").alias("n_learned"), F.size(F.concat("base", "learned")).cast("long").alias("n_spans")]
+    return found.select(id_col, *map(count, KINDS), *more, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.concat("base", "learned")).alias("spans"))
+
+
+def _unused(text: Column) -> Column:
+    """The first of the 32 noncharacters that the text doesn't hold; the first of all if it holds them all."""
+    marks = [F.lit(chr(0xFDD0 + i)) for i in range(32)]
+    return F.when(~F.contains(text, marks[0]), marks[0]).otherwise(F.coalesce(*[F.when(~F.contains(text, m), m) for m in marks[1:]], marks[0]))
 
 
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[removed]") -> DataFrame:
-    """The same rows and columns, every span of their texts replaced by ``mask``.
+    """The same rows and columns, every run of characters within spans of their texts replaced by ``mask``.
 
     Rows without spans keep their text as it is, null included.
     """
-    key = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    learned = detect(df, id_col, text_col).where(F.size("learned") > 0).select(F.col("row_key").alias("pii_row_key"), F.col("learned").alias("pii_learned")).dropDuplicates(["pii_row_key"])
-    none = F.array().cast(f"array<{SPAN}>")
-    rows = df.withColumn("pii_row_key", key).join(learned, "pii_row_key", "left")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    spans = F.concat(base_spans(text), F.coalesce("pii_learned", none))
-    clean = rows.withColumn("pii_spans", spans).withColumn(text_col, F.when(F.size("pii_spans") > 0, replaced(text, F.col("pii_spans"), lambda s: F.lit(mask))).otherwise(F.col(text_col)))
-    return clean.select(*df.columns)
+    key, check, spans, learned = fresh(df, "row_key", "row_check", "spans", "learned")
+    found = detect(df, id_col, text_col).where(F.size("learned") > 0).select(F.col("row_key").alias(key), F.col("row_check").alias(check), F.col("learned").alias(learned)).dropDuplicates([key, check])
+    rows = _keyed(df, id_col, text_col, key, check).join(found, [key, check], "left")
+    places = F.array_sort(F.array_distinct(F.transform(learned, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))))
+    places = F.coalesce(places, F.array().cast("array<struct<start:long,end:long>>"))
+    text = F.col(text_col).cast("string")
+    rows = rows.withColumn(spans, base_spans(F.coalesce(text, F.lit("")))).withColumn(learned, places)
+
+    def clean(mark: Column) -> Column:
+        both = _covered(covered(text, F.col(spans), mark), F.col(learned), mark)
+        return F.regexp_replace(both, F.concat(mark, F.lit("+")), F.lit(mask))
+
+    return rows.withColumn(text_col, F.when(F.size(spans) + F.size(learned) > 0, _let(_unused(text), clean)).otherwise(F.col(text_col))).select(*df.columns)
