@@ -11,7 +11,7 @@ and with the limit t = k (ln k + 2) over the total weight hardly more than t dar
 are looked at, whatever the length of the document.
 
 Coordinates are banded into bucket keys.  Only distinct texts are compared: in
-each bucket all members with two of them, the smallest id and the least hash;
+each bucket all members with two of them, the one with the most company and the least hash;
 pairs of at least the asked similarity, checked on the texts, are links.
 
 A bucket whose members are then in several classes is open: a member outside its
@@ -207,7 +207,7 @@ def _undecided(bucketed: DataFrame, roots: DataFrame, sets: DataFrame, similarit
     owned = bucketed.where(F.col("n") > 2).join(held, "rep", "left").select("key", "rep", F.coalesce("own", "rep").alias("own"))
     sizes = owned.groupBy("key", "own").agg(F.count(F.lit(1)).alias("n"))
     # written, so that Spark can split the join where a bucket is large
-    leads = written(sizes.groupBy("key").agg(F.max_by("own", F.struct("n", -F.col("own"))).alias("lead"), F.count(F.lit(1)).alias("classes")).where(F.col("classes") > 1), "leads", base)
+    leads = written(sizes.groupBy("key").agg(F.max(F.struct("n", "own")).alias("most"), F.count(F.lit(1)).alias("classes")).where(F.col("classes") > 1).select("key", F.col("most.own").alias("lead")), "leads", base)
     members = owned.join(leads, "key").groupBy("rep").agg(F.first("own").alias("own"), F.max(F.col("own") != F.col("lead")).alias("out"))
     runs = written(_runs(sets.withColumnRenamed("id", "rep").join(members, "rep")), "runs", base)
 
@@ -245,9 +245,14 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     sign = written(signed(df, id_col, text_col, words, bands, rows).where(F.col("id").isNotNull()), "signed", base)
     members = written(_represented(sign), "members", base)
     keyed = members.select("rep", F.explode("keys").alias("key"))
-    first = keyed.groupBy("key").agg(F.min("rep").alias("head"), F.min_by("rep", F.xxhash64("key", "rep")).alias("other"), F.count(F.lit(1)).alias("n"))
+    first = keyed.groupBy("key").agg(F.min_by("rep", F.xxhash64("key", "rep")).alias("other"), F.count(F.lit(1)).alias("n"))
     heads = written(first.where(F.col("n") > 1), "heads", base)
-    bucketed = written(keyed.join(heads, "key"), "bucketed", base)
+    shared = written(keyed.join(heads, "key"), "shared", base)
+    # the head of a bucket is the member with the most company in all its buckets: of copies with changes, the one they come from
+    company = shared.groupBy("rep").agg(F.sum("n").alias("company"))
+    ranked = shared.where(F.col("n") > 2).join(company, "rep").groupBy("key").agg(F.max(F.struct("company", "rep")).alias("best"))
+    central = written(ranked.select("key", F.col("best.rep").alias("head")), "central", base)
+    bucketed = written(shared.join(central, "key", "left").withColumn("head", F.coalesce("head", "other")), "bucketed", base)
     wanted = bucketed.select(F.col("rep").alias("id")).distinct().hint("merge")  # grows with the table: the same plan at every size
     source = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sets = written(_sets(source.join(wanted, "id", "left_semi"), words), "sets", base)
