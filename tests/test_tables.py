@@ -28,6 +28,11 @@ def test_wide_and_long(spark):
     assert rows(uniqkv(first, "id", "k", "v", order="name")) == [(1, "a", 5, 6), (2, "c", 7, 0)]
 
 
+def test_repeated_keys_lose_no_row(spark):
+    long = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "a", 3), (1, "b", 4)], "id long, k string, v long").coalesce(1)
+    assert rows(h4v(long, "k", "v", "id")) == [(1, 1, 2), (1, 3, 4)]
+
+
 def test_wide_by_null_and_many_keys(spark):
     """Values under a null key are kept, as the key None; more keys than a pivot may have are refused, none is left out."""
     long = spark.createDataFrame([(1, "a", "p", 5), (1, "b", None, 6), (1, "c", None, 1), (2, "d", "None", 7), (2, "e", "q", 2)], "id long, name string, k string, v long")
@@ -108,6 +113,12 @@ def test_asof(spark):
     assert rows(asof_join(left, right, ["k"], "t", "t", ["v"], strict=False))[0] == (1, "u", 5, 50)
 
 
+def test_asof_ties_go_to_the_largest(spark):
+    left = spark.createDataFrame([(1, "u", 5)], "id long, k string, t long")
+    right = spark.createDataFrame([("u", 4, 1, 70), ("u", 4, 3, 60), ("u", 4, 2, 80)], "k string, t long, n long, v long")
+    assert rows(asof_join(left, right, ["k"], "t", "t", ["v"], ties=["n"])) == [(1, "u", 5, 60)]
+
+
 def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
     source, out = tmp_path / "in", tmp_path / "out"
     first = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")

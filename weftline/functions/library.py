@@ -502,6 +502,17 @@ def _count(s: Column, x: Column) -> Column:
     return ((F.length(s) - F.length(F.replace(s, x, F.lit("")))) / F.length(x)).cast("long")
 
 
+def _tabbed(s: Column, size: int) -> Column:
+    """Blanks up to the next multiple of ``size`` in place of each tab, counted from the start of its line."""
+    parts = F.split(s, "\t", -1)
+
+    def step(acc: Column, part: Column) -> Column:
+        at = F.length(F.substring_index(F.concat(acc, part), "\n", -1))
+        return F.concat(acc, part, F.repeat(F.lit(" "), F.lit(size) - at % size))
+
+    return F.concat(F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), F.lit(""), step), F.element_at(parts, -1))
+
+
 @register_function("string")
 def string(method: str, v: Value, *args: Value) -> Value:
     if method == "join":
@@ -525,7 +536,7 @@ def string(method: str, v: Value, *args: Value) -> Value:
         "strip": lambda: F.btrim(s, t[0]) if t else F.trim(s), "lstrip": lambda: F.ltrim(s, t[0]) if t else F.ltrim(s), "rstrip": lambda: F.rtrim(s, t[0]) if t else F.rtrim(s),
         "ljust": lambda: F.concat(s, F.repeat(fill, F.greatest(width() - F.length(s), F.lit(0)))), "rjust": lambda: F.concat(F.repeat(fill, F.greatest(width() - F.length(s), F.lit(0))), s),
         "zfill": lambda: F.when(F.regexp_like(s, F.lit("^[+-]")), F.concat(F.substring(s, 1, 1), F.repeat(F.lit("0"), F.greatest(width() - F.length(s), F.lit(0))), F.substring(s, F.lit(2), F.length(s)))).otherwise(F.concat(F.repeat(F.lit("0"), F.greatest(width() - F.length(s), F.lit(0))), s)),
-        "expandtabs": lambda: F.replace(s, F.lit("\t"), F.lit(" " * 8)), "replace": lambda: F.replace(s, t[0], t[1]), "translate": lambda: F.translate(s, constant(a[0]), constant(a[1])),
+        "expandtabs": lambda: _tabbed(s, int(constant(a[0])) if a else 8), "replace": lambda: F.replace(s, t[0], t[1]), "translate": lambda: F.translate(s, constant(a[0]), constant(a[1])),
         "removeprefix": lambda: F.when(F.startswith(s, t[0]), F.substring(s, F.length(t[0]) + 1, F.length(s))).otherwise(s), "removesuffix": lambda: F.when(F.endswith(s, t[0]), F.substring(s, F.lit(1), F.length(s) - F.length(t[0]))).otherwise(s),
         "format": lambda: F.format_string(re.sub(r"\{[^}]*\}", "%s", constant(v)), *t),
     }
@@ -535,16 +546,22 @@ def string(method: str, v: Value, *args: Value) -> Value:
         pad = F.greatest(width() - F.length(s), F.lit(0))
         left = (pad / 2).cast("int") + (pad.bitwiseAND(width()).bitwiseAND(F.lit(1)))
         return Value(F.concat(F.repeat(fill, left), s, F.repeat(fill, pad - left)), STRING)
-    numbers = {"find": lambda: F.locate(constant(a[0]), s) - 1, "index": lambda: F.locate(constant(a[0]), s) - 1, "count": lambda: _count(s, t[0]), "rfind": lambda: F.when(F.contains(s, t[0]), F.length(s) - F.length(t[0]) - F.call_function("locate", F.reverse(t[0]), F.reverse(s)) + 1).otherwise(-1)}
+    start = int(constant(a[1])) + 1 if len(a) > 1 else 1
+    numbers = {"find": lambda: F.locate(constant(a[0]), s, start) - 1, "index": lambda: F.locate(constant(a[0]), s, start) - 1, "count": lambda: _count(s, t[0]), "rfind": lambda: F.when(F.contains(s, t[0]), F.length(s) - F.length(t[0]) - F.call_function("locate", F.reverse(t[0]), F.reverse(s)) + 1).otherwise(-1)}
     numbers["rindex"] = numbers["rfind"]
     if method in numbers:
         return Value(numbers[method]().cast("long"), LONG)
     if method in ("startswith", "endswith", "contains"):
         return Value({"startswith": F.startswith, "endswith": F.endswith, "contains": F.contains}[method](s, t[0]), BOOL)
-    if method == "split":
-        return Value(F.split(s, _quoted(t[0]), -1) if t else F.filter(F.split(s, r"\s+"), lambda x: x != ""), T.ArrayType(STRING))
-    if method == "rsplit":
-        return Value(F.split(s, _quoted(t[0]), -1), T.ArrayType(STRING))
+    if method in ("split", "rsplit"):
+        most = int(constant(a[1])) if len(a) > 1 else -1
+        if not t or a[0].type == NULL:
+            words = F.split(F.trim(s), r"\s+", most + 1 if most >= 0 and method == "split" else -1)
+            return Value(F.filter(words, lambda x: x != ""), T.ArrayType(STRING))
+        if method == "split" or most < 0:
+            return Value(F.split(s, _quoted(t[0]), most + 1 if most >= 0 else -1), T.ArrayType(STRING))
+        back = F.split(F.reverse(s), _quoted(F.reverse(t[0])), most + 1)
+        return Value(F.transform(F.reverse(back), lambda x: F.reverse(x)), T.ArrayType(STRING))
     if method == "splitlines":
         return Value(F.split(F.regexp_replace(s, r"\r?\n$", ""), r"\r?\n"), T.ArrayType(STRING))
     if method in ("partition", "rpartition"):
@@ -681,6 +698,9 @@ def re_(method: str, pattern: Value, s: Value, *args: Value) -> Value:
         return Value(F.when(F.regexp_like(c, F.lit(full)), F.regexp_extract(c, full, group)), STRING)
     if method in ("findall", "finditer"):
         groups = len(re.findall(r"(?<!\\)\((?!\?)", p))
+        if groups > 1:  # each match is the list of its groups
+            each = F.arrays_zip(*[F.regexp_extract_all(c, F.lit(p), F.lit(g)).alias(f"g{g}") for g in range(1, groups + 1)])
+            return Value(F.transform(each, lambda m: F.array(*[m[f"g{g}"] for g in range(1, groups + 1)])), T.ArrayType(T.ArrayType(STRING)))
         return Value(F.regexp_extract_all(c, F.lit(p), F.lit(1 if groups else 0)), T.ArrayType(STRING))
     if method == "split":
         return Value(F.split(c, p, -1), T.ArrayType(STRING))
@@ -712,7 +732,9 @@ def random_(method: str = "", *args: Value) -> Value:
         return Value(F.get(col, (F.rand() * F.size(col)).cast("int")), kind)
     if method == "choices":
         col, kind = _of(args[0])
-        return Value(F.slice(F.shuffle(col), 1, casts.to_int(args[1]).col.cast("int")), T.ArrayType(kind))
+        n = casts.to_int(args[1]).col if len(args) > 1 else F.lit(1)
+        drawn = F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(n, F.lit(1)).cast("long")), lambda _: F.get(col, (F.rand() * F.size(col)).cast("int")))
+        return Value(F.when((n > 0) & (F.size(col) > 0), drawn).otherwise(F.array().cast(T.ArrayType(kind))), T.ArrayType(kind))
     if method == "seed":
         return null()
     raise ValueError(f"unknown method random::{method}")
@@ -733,12 +755,24 @@ def objectid(*args: Value) -> Value:
 
 @register_function("snowflakeid")
 def snowflake(epoch: Value | None = None, datacenter: Value | None = None, worker: Value | None = None) -> Value:
-    """Milliseconds since the epoch over 22 bits that number the rows of this plan's partitions."""
+    """Milliseconds since the epoch, then 5 bits of datacenter and 5 of worker, then 12 bits that count rows.
+
+    Without datacenter and worker these ten bits are the partition's number.  Every
+    4096 rows of a partition count as one millisecond, and partitions that share the
+    ten bits lie 2**20 milliseconds apart, so no two rows of a plan have one id.
+    """
     since = int(constant(epoch)) if epoch is not None else 0
     row = F.monotonically_increasing_id()
-    low = (F.shiftright(row, 33).bitwiseAND(F.lit(0x3FF)) * 4096 + row.bitwiseAND(F.lit(0xFFF))).cast("long")
-    later = F.shiftright(row.bitwiseAND(F.lit(0x1FFFFFFFF)), 12)  # every 4096 rows of a partition count as one millisecond
-    return Value(F.shiftleft(F.unix_millis(F.current_timestamp()) - since + later, 22) + low, LONG)
+    part, within = F.shiftright(row, 33), row.bitwiseAND(F.lit(0x1FFFFFFFF))
+    if datacenter is None and worker is None:
+        place, block = part % 1024, F.floor(part / 1024)
+    else:
+        given = [int(constant(v)) if v is not None else 0 for v in (datacenter, worker)]
+        if not all(0 <= g < 32 for g in given):
+            raise ValueError("datacenter and worker are from 0 to 31")
+        place, block = F.lit(given[0] * 32 + given[1]), part
+    time = F.unix_millis(F.current_timestamp()) - since + block * (1 << 20) + F.shiftright(within, 12)
+    return Value(F.shiftleft(time.cast("long"), 22) + place.cast("long") * 4096 + within.bitwiseAND(F.lit(0xFFF)), LONG)
 
 
 @register_function("struct")

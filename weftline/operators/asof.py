@@ -6,16 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, values: list[str], strict: bool = True) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, values: list[str], strict: bool = True, ties: list[str] | None = None) -> DataFrame:
     """Both tables in one order of time within ``by``; each left row takes the values of the last right row before it.
 
+    Of right rows at one time the one with the largest ``ties`` is the last; without
+    them, the one with the largest values.
+
     One shuffle of the union, no pairs: work grows with the rows, whatever the
     number of earlier rows of a key.
     """
     marked_left = left.withColumns({"__t": F.col(left_time), "__side": F.lit(0 if strict else 1), "__row": F.struct(*left.columns), "__hit": F.lit(None).cast(right.select(F.struct(*values).alias("x")).schema["x"].dataType)})
-    marked_right = right.withColumns({"__t": F.col(right_time), "__side": F.lit(1 if strict else 0), "__hit": F.struct(*values)}).withColumn("__row", F.lit(None).cast(marked_left.schema["__row"].dataType))
-    cols = [*by, "__t", "__side", "__row", "__hit"]
+    marked_right = right.withColumns({"__t": F.col(right_time), "__side": F.lit(1 if strict else 0), "__hit": F.struct(*values), "__tie": F.struct(*(ties or values))}).withColumn("__row", F.lit(None).cast(marked_left.schema["__row"].dataType))
+    marked_left = marked_left.withColumn("__tie", F.lit(None).cast(marked_right.schema["__tie"].dataType))
+    cols = [*by, "__t", "__side", "__tie", "__row", "__hit"]
     both = marked_left.select(*cols).unionByName(marked_right.select(*cols))
-    w = Window.partitionBy(*by).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*by).orderBy("__t", "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("__last", F.last("__hit", ignorenulls=True).over(w)).where(F.col("__row").isNotNull())
     return found.select("__row.*", *[F.col(f"__last.{v}").alias(f"asof_{v}") for v in values])

@@ -50,7 +50,12 @@ def _cell(df: DataFrame, value: str | None, order: str | None) -> Column:
         return F.count(F.lit(1))
     if is_number(df.schema[value].dataType):
         return F.sum(value)
-    return F.max_by(value, order) if order else F.last(value)
+    return F.max_by(value, order)
+
+
+def _arriving(df: DataFrame, order: str | None) -> tuple[DataFrame, str]:
+    """The table and the column of its order: the given one, or the rows' order of arrival."""
+    return (df, order) if order else (df.withColumn("__arrival", F.monotonically_increasing_id()), "__arrival")
 
 
 def _filled(df: DataFrame, names: list[str]) -> DataFrame:
@@ -63,6 +68,7 @@ def v2h(df: DataFrame, hkey: str, vkey: str, value: str | None = None, columns:
 
     Given columns save the pass that finds them.
     """
+    df, order = _arriving(df, order)
     out = df.groupBy(vkey).pivot(hkey, columns).agg(_cell(df, value, order)) if columns else df.groupBy(vkey).pivot(hkey).agg(_cell(df, value, order))
     return _filled(out, [c for c in out.columns if c != vkey])
 
@@ -71,13 +77,13 @@ def v2h(df: DataFrame, hkey: str, vkey: str, value: str | None = None, columns:
 def h4v(df: DataFrame, key: str, value: str, id: str | None = None, columns: list | None = None, order: str | None = None) -> DataFrame:  # noqa: A002
     """Rows of (key, value) to wide rows; a new row starts where the id changes or a key comes again.
 
-    With ``order``, a row's n-th coming of a key is the n-th wide row of its id, which
-    is the same where keys come in turn; without it each id makes one row.
+    A row's n-th coming of a key, by ``order`` or else in order of arrival, is the n-th wide
+    row of its id, which is the same where keys come in turn; no row is lost.
     """
-    keep = [c for c in df.columns if c not in (key, value)] if id is None else [id]
-    if order is not None:
-        df = df.withColumn("__turn", F.row_number().over(Window.partitionBy(*[c for c in keep if c != order], key).orderBy(order)))
-        keep = [c for c in keep if c != order] + ["__turn"]
+    keep = [c for c in df.columns if c not in (key, value, order)] if id is None else [id]
+    df, order = _arriving(df, order)
+    df = df.withColumn("__turn", F.row_number().over(Window.partitionBy(*keep, key).orderBy(order)))
+    keep = [*keep, "__turn"]
     pivot = df.groupBy(*keep).pivot(key, columns) if columns else df.groupBy(*keep).pivot(key)
     return pivot.agg(F.first(value, ignorenulls=True)).drop("__turn")
 

@@ -36,10 +36,32 @@ class Guard(Value):
 
 @dataclass(frozen=True)
 class Item(Value):
-    """A value of a loop that may say to skip the element or to stop before it."""
+    """A value of a loop that may say to skip the element, or to stop: before it, or after it where ``last`` holds."""
 
     skip: Column | None = None
     stop: Column | None = None
+    last: Column | None = None
+
+
+@dataclass(frozen=True)
+class Matched(Value):
+    """The only match of a lookup, its columns beside the row's own: reading a field reads a column, and no more."""
+
+    prefix: str = ""
+
+    def _row(self) -> Column:
+        kind = self.type.elementType
+        return F.when(F.col(f"{self.prefix}hit"), F.struct(*[F.col(f"`{self.prefix}__{n}`").alias(n) for n in kind.names]))
+
+    def field(self, name: str) -> Value:
+        kind = self.type.elementType
+        return Value(F.col(f"`{self.prefix}__{name}`"), kind[name].dataType).plain() if name in kind.names else null()
+
+    def one(self) -> Value:
+        return Value(self._row(), self.type.elementType)
+
+    def plain(self) -> Value:
+        return self
 
 
 @dataclass
@@ -159,6 +181,9 @@ class Compiler:
                 return self.load(x, scope)
             name, _, as_ = head.partition("|")
             if name.startswith("#"):
+                if name in ("#continue", "#break"):  # with a value that is kept
+                    kept = self(x[1], scope) if len(x) > 1 else null()
+                    return Item(kept.one().col, kept.one().type, skip=F.lit(len(x) == 1) if name == "#continue" else None, stop=F.lit(True) if name == "#break" else None, last=F.lit(len(x) > 1) if name == "#break" else None)
                 fn = getattr(self, "do_" + name[1:], None)
                 if fn is None:
                     raise ValueError(f"unknown directive {name}")
@@ -205,11 +230,11 @@ class Compiler:
         every = [v for _, v in branches] + [other]
         kind = common([v.one().type for v in every])
         out, marks = F.lit(None).cast(kind) if other.type == NULL else other.one().col.cast(kind), {}
-        for mark in ("skip", "stop"):
+        for mark in ("skip", "stop", "last"):
             marks[mark] = getattr(other, mark, None)
         for cond, v in reversed(branches):
             out = F.when(cond, F.lit(None).cast(kind) if v.type == NULL else v.one().col.cast(kind)).otherwise(out)
-            for mark in ("skip", "stop"):
+            for mark in ("skip", "stop", "last"):
                 mine, rest = getattr(v, mark, None), marks[mark]
                 if mine is not None or rest is not None:
                     marks[mark] = F.when(cond, F.lit(False) if mine is None else mine).otherwise(F.lit(False) if rest is None else rest)
@@ -361,13 +386,14 @@ class Compiler:
 
         def one(e: Column, i: Column) -> Column:
             made = self(items[2], [*scope, entry(e, i)])
-            skip, stop = getattr(made, "skip", None), getattr(made, "stop", None)
-            return F.struct(made.one().col.cast(out).alias("v"), (F.lit(False) if skip is None else skip).alias("skip"), (F.lit(False) if stop is None else stop).alias("stop"))
+            marks = {mark: getattr(made, mark, None) for mark in ("skip", "stop", "last")}
+            return F.struct(made.one().col.cast(out).alias("v"), *[(F.lit(False) if c is None else c).alias(mark) for mark, c in marks.items()])
 
         each = F.transform(v.col, one)
         if getattr(probe, "stop", None) is not None:
             at = F.array_position(F.transform(each, lambda s: s["stop"]), True)
-            each = F.when(at > 0, F.slice(each, F.lit(1), (at - 1).cast("int"))).otherwise(each)
+            kept = at - F.when(F.get(each, (at - 1).cast("int"))["last"], 0).otherwise(1)
+            each = F.when(at > 0, F.slice(each, F.lit(1), kept.cast("int"))).otherwise(each)
         if getattr(probe, "skip", None) is not None:
             each = F.filter(each, lambda s: ~s["skip"])
         return self.returned(Value(F.transform(each, lambda s: s["v"]), T.ArrayType(out)), ret, scope)
@@ -495,8 +521,10 @@ class Compiler:
                     join(keyed)
                 self._joined[tag] = Value(F.col(col), kind)
             elif name in self.unique:
-                join(keyed)
-                self._joined[tag] = Value(F.when(F.col(col).isNotNull(), F.array(col)), T.ArrayType(kind), rows=True, single=True)
+                flat = [F.col(f"`{n}`").cast(kind[n].dataType).alias(f"{col}__{n}") for n in kind.names]
+                join(right.select(*[c.alias(o) for c, o in zip(own, on, strict=True)], *flat, F.lit(True).alias(f"{col}hit")))
+                made = Matched(F.lit(None), T.ArrayType(kind), rows=True, single=True, prefix=col)
+                self._joined[tag] = replace(made, col=F.when(F.col(f"{col}hit"), F.array(made._row())))
             else:
                 order = F.array_sort(F.collect_list(F.struct(F.col("__o"), F.col(col))))
                 grouped = keyed.withColumn("__o", F.monotonically_increasing_id()).groupBy(*on).agg(F.transform(order, lambda s: s[col]).alias(col))
@@ -511,13 +539,14 @@ class Compiler:
         if residual is None:
             return found
         kind = found.type.elementType
-        return replace(found, col=F.filter(found.col, lambda r: truthy(self(residual, [*scope, Value(r, kind)]))))
+        kept = F.filter(found.col, lambda r: truthy(self(residual, [*scope, Value(r, kind)])))
+        return Value(kept, found.type, found.rows, found.single)
 
     def lookup_each(self, key: Value, keyed: DataFrame, on: list[str], col: str, kind) -> Value:
         """A list of keys: the matches of each, one after the other."""
-        rid = f"{col}_row"
-        self.df = self.df.withColumn(rid, F.uuid())
-        exploded = self.df.select(rid, F.posexplode(key.col).alias("__p", "__e"))
+        rid = f"{col}_list"  # each different list is looked up once
+        self.df = self.df.withColumn(rid, key.col)
+        exploded = self.df.select(rid).where(F.size(rid) > 0).distinct().select(rid, F.posexplode(rid).alias("__p", "__e"))
         order = F.array_sort(F.collect_list(F.struct(F.col("__p"), F.col("__o"), F.col(col))))
         found = exploded.join(keyed.withColumn("__o", F.monotonically_increasing_id()), F.col("__e") == F.col(on[0])).groupBy(rid).agg(F.transform(order, lambda s: s[col]).alias(col))
         self.df = self.df.join(found, rid, "left").drop(rid)

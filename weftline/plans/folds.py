@@ -72,13 +72,21 @@ def window_column(w: Windowed, arrival: Column) -> Value:
         made = Value(getattr(F, kind)(v.col, n).over(part.orderBy(*orders)), v.type)
     else:
         out = w.step(_context(v, Value(F.lit(None).cast(v.type), v.type))).one().type
-        values = F.collect_list(F.struct(v.col.alias("v"))).over(frame)
-        made = Value(F.aggregate(values, F.lit(None).cast(out), lambda acc, x: w.step(_context(Value(x["v"], v.type), Value(acc, out))).one().col.cast(out)), out)
+        order = w.order[0][0].one() if w.order else literal(None)
+        rows = F.collect_list(F.struct(v.col.alias("v"), order.col.alias("o"))).over(frame)
+        values = F.transform(rows, lambda x, i: F.struct(x["v"].alias("v"), x["o"].alias("o"), i.cast("long").alias("i")))
+
+        def step(acc: Column, x: Column) -> Column:
+            return w.step(_context(Value(x["v"], v.type), Value(acc, out), Value(x["i"], LONG), Value(x["o"], order.type))).one().col.cast(out)
+
+        made = Value(F.aggregate(values, F.lit(None).cast(out), step), out)
     return w.ret(made)
 
 
-def _context(value: Value, state: Value) -> Value:
-    return struct({"value": value, "state": state, "context": literal({"current_index": 0})})
+def _context(value: Value, state: Value, index: Value | None = None, order: Value | None = None) -> Value:
+    """What a window's step sees: the row's value, the state so far, the row's place and its order's value."""
+    row = {"current_index": index or literal(0), "current_value": value, "order_value": order or literal(None)}
+    return struct({"value": value, "state": state, "context": struct(row)})
 
 
 def with_arrival(df: DataFrame, column: str | None) -> DataFrame:

@@ -77,12 +77,20 @@ class Job:
     def source(self) -> DataFrame:
         """The input with its source filters; the catalogue may bind some of them as view arguments."""
         given = self.config["input"]
+        if isinstance(given, list):  # literal rows
+            rows = [r if isinstance(r, dict) else {"value": r} for r in given]
+            names = list(dict.fromkeys(n for r in rows for n in r))
+            df = self.spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], names) if rows else self.spark.range(0).select()
+            return self._filtered(df, configs.querys(self.config.get("querys", {}), self.arguments))
         tests = configs.querys(self.config.get("querys", {}), self.arguments)
         if given.lstrip("<& .").startswith("=@"):
             name, _, _ = given.lstrip("<& .=@").partition("::")
             df = self.catalog.function(name)(self.spark, tests)
         else:
             df, tests = self.catalog.read_filtered(parse_table(given)[0], tests)
+        return self._filtered(df, tests)
+
+    def _filtered(self, df: DataFrame, tests: dict) -> DataFrame:
         constants = self.compiler(df)
         for key, test in tests.items():
             df = df.where(source_filter(df, key, test, lambda e: constants(e, [])))

@@ -120,7 +120,7 @@ job("lookup_array_key", "SELECT n_nationkey::BIGINT AS n_nationkey, (SELECT r_na
 def asof_latest_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     bought, clicked = events.where("event_type = 'purchase'"), events.where("event_type = 'click'")
-    return asof_join(bought.select("event_id", "user_id", "ts"), clicked, ["user_id"], "ts", "ts", ["event_id", "value"]).select("event_id", "asof_event_id", "asof_value")
+    return asof_join(bought.select("event_id", "user_id", "ts"), clicked, ["user_id"], "ts", "ts", ["event_id", "value"], ties=["event_id"]).select("event_id", "asof_event_id", "asof_value")
 
 
 # --- folds -------------------------------------------------------------------------------------------
@@ -488,3 +488,32 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["flagship"] = "SELECT n_name AS nation, count(*) AS n_lines, round(sum(l_extendedprice), 2) AS sales, max(l_shipdate) AS last_shipped FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"
+
+
+# --- wrong answers of before, told by SQL ---------------------------------------------------------
+
+job("re_groups", "SELECT o_orderkey, regexp_extract(o_orderpriority, '(\\d)-(\\w)', 1) || '|' || regexp_extract(o_orderpriority, '(\\d)-(\\w)', 2) AS parts FROM orders", "orders", {"o_orderkey": "$.o_orderkey", "parts": ["@join", ["@re::findall", r"(\d)-(\w)", "$.o_orderpriority", ":$.:0"], "|"]})
+job("str_splits", "SELECT p_partkey, split_part(p_type, ' ', 1) AS head, nullif(substr(p_type, length(split_part(p_type, ' ', 1)) + 2), '') AS rest FROM part", "part", {"p_partkey": "$.p_partkey", "head": ["@string::split", "$.p_type", " ", 1, ":$.:0"], "rest": ["@string::split", "$.p_type", " ", 1, ":$.:1"]})
+job("loop_marks", "SELECT n_nationkey::BIGINT AS n_nationkey, CASE WHEN n_regionkey = 2 THEN '0,1,7,3' ELSE '0,1,2,3' END AS marks FROM nation", "nation", {"n_nationkey": "$.n_nationkey", "marks": ["@join", ["#foreach", ["@range", 4], ["#if", ["@and", ["@eq", "$._value_", 2], ["@eq", "$$.n_regionkey", 2]], ["#continue", 7], "$._value_"]], ","]})
+_win("win_index", f"(row_number() {_OVER} - 1) * 100 + event_id", ["@add", ["@mul", "$.context.current_index", 100], "$.value"], value="$.event_id")
+
+
+@query("literal_rows", "SELECT * FROM (VALUES (1::BIGINT, 'x'), (5::BIGINT, NULL)) v(a, b)")
+def literal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Job.from_config(spark, {"input": [{"a": 1, "b": "x"}, {"a": 5}, {"a": -3}], "querys": {"a": {">": 0}}, "schema": {"a": "$.a", "b": "$.b"}}).plan()
+
+
+@query("pivot_h4v_repeats", "SELECT id, f, o FROM (SELECT o_custkey AS id, turn, max(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) AS f, max(CASE WHEN o_orderstatus = 'O' THEN o_orderkey END) AS o FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS turn FROM orders WHERE o_orderstatus IN ('F', 'O')) GROUP BY ALL)")
+def pivot_h4v_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.operators.shape import h4v
+
+    long = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus IN ('F', 'O')").select(F.col("o_custkey").alias("id"), "o_orderstatus", "o_orderkey")
+    wide = h4v(long.withColumn("at", F.col("o_orderkey")), "o_orderstatus", "o_orderkey", "id", columns=["F", "O"], order="at")
+    return wide.select("id", F.col("F").alias("f"), F.col("O").alias("o"))
+
+
+@query("asof_ties", "SELECT a.event_id, b.event_id AS asof_event_id FROM (SELECT * FROM events WHERE event_type = 'purchase') a LEFT JOIN LATERAL (SELECT event_id FROM events e WHERE e.event_type = 'click' AND e.user_id = a.user_id AND date_trunc('day', e.ts) < date_trunc('day', a.ts) ORDER BY date_trunc('day', e.ts) DESC, e.event_id DESC LIMIT 1) b ON true")
+def asof_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("day", F.date_trunc("day", "ts"))
+    bought, clicked = events.where("event_type = 'purchase'"), events.where("event_type = 'click'")
+    return asof_join(bought.select("event_id", "user_id", "day"), clicked, ["user_id"], "day", "day", ["event_id"], ties=["event_id"]).select("event_id", "asof_event_id")
