@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from weftline.llm import bpe, chroma, dac, language, licences, quality
@@ -177,16 +178,89 @@ def test_word_hashes_and_shingles():
 def test_chroma_alignment_and_table(spark):
     rnd = random.Random(3)
     tune = bytes(rnd.randrange(256) for _ in range(6000))
-    a, shifted = chroma.fingerprint(tune), chroma.fingerprint(bytes(chroma.HOP * 40) + tune)
+    a, shifted = chroma.fingerprint(tune, chroma.SHORT), chroma.fingerprint(bytes(chroma.SHORT.hop * 40) + tune, chroma.SHORT)
     assert chroma.align(a, shifted)[0] == 40 and chroma.align(a, a) == (0, 0.0, len(a))
     other = bytes(rnd.randrange(256) for _ in range(6000))
-    media = [(100, tune), (1, tune), (2, bytes(chroma.HOP * 40) + tune), (3, other), (200, other), (300, b"ab"), (400, None), (5, tune)]
+    media = [(100, tune), (1, tune), (2, bytes(chroma.SHORT.hop * 40) + tune), (3, other), (200, other), (300, b"ab"), (400, None), (5, tune)]
     df = spark.createDataFrame([(i, m, "x") for i, m in media], "doc_id long, media binary, n_frames string")
     from pyspark.sql import functions as F
 
-    got = {r["doc_id"]: r for r in chroma.report(df, F.col("doc_id") % 100 == 0).collect()}
+    got = {r["doc_id"]: r for r in chroma.report(df, F.col("doc_id") % 100 == 0, frames=chroma.SHORT).collect()}
     assert (got[100]["match_id"], got[100]["bit_error"], got[100]["match_offset"]) == (1, 0.0, 0)
     assert got[200]["match_id"] == 3 and got[300]["match_id"] is None and got[400]["n_codes"] == 0 and got[1]["match_id"] is None
-    ranked = chroma.matches(chroma.fingerprints(df), F.col("doc_id") == 100, 3).orderBy("rank").collect()
+    ranked = chroma.matches(chroma.fingerprints(df, frames=chroma.SHORT), F.col("doc_id") == 100, 3).orderBy("rank").collect()
     assert [r["match_id"] for r in ranked] == [1, 5, 2]
     assert chroma.report(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_semitones_fall_into_their_classes():
+    """Twelve tones of one octave are twelve pitch classes, and an octave higher the same ones."""
+    at = np.arange(chroma.AUDIO.size * 3) / chroma.AUDIO.rate
+    tone = lambda f: (128 + 100 * np.sin(2 * np.pi * f * at)).astype(np.uint8).tobytes()
+    found = [[int(chroma.chroma(tone(f * 2 ** (k / 12)))[1].argmax()) for k in range(12)] for f in (220.0, 440.0)]
+    assert found[0] == found[1] == list(range(12))
+
+
+def test_best_alignments_are_those_of_brute_force(spark):
+    """Of random recordings that share passages, each query's best match over all is found."""
+    rng = np.random.default_rng(8)
+    parts = [rng.integers(60, 200, 1600, dtype=np.uint8).tobytes() for _ in range(6)]
+    media = [(i, b"".join(parts[p] for p in rng.integers(0, 6, 2)) + rng.integers(60, 200, 300, dtype=np.uint8).tobytes()) for i in range(24)]
+    prints = {i: chroma.fingerprint(m, chroma.SHORT) for i, m in media}
+    got = {r["doc_id"]: r for r in chroma.report(spark.createDataFrame(media, "doc_id long, media binary"), F.col("doc_id") % 4 == 0, frames=chroma.SHORT).collect()}
+    for q in range(0, 24, 4):
+        best = []
+        for i, fp in prints.items():
+            votes: dict[int, int] = {}
+            for x, a in enumerate(prints[q]):
+                for y in np.flatnonzero(fp == a):
+                    votes[int(y) - x] = votes.get(int(y) - x, 0) + 1
+            top = sorted((-n, o) for o, n in votes.items())
+            if i == q or not top or -top[0][0] < chroma.SHARED:
+                continue
+            o = top[0][1]
+            low, high = max(0, o), min(len(fp), len(prints[q]) + o)
+            error = int(np.bitwise_count(fp[low:high] ^ prints[q][low - o : high - o]).sum()) / (32 * (high - low))
+            if error <= chroma.ERROR:
+                best.append((error, -(high - low), i, o))
+        want = min(best, default=(None, None, None, None))
+        assert (got[q]["match_id"], got[q]["match_offset"], got[q]["bit_error"]) == (want[2], want[3], want[0])
+
+
+def test_long_and_repeated_recordings(spark):
+    media = [(100, b"a" * 400_000), (1, b"a" * 400_000), (1, b"a" * 400_000), (None, b"ab" * 9000), (200, None), (200, b"")]
+    got = [tuple(r)[:1] + (r["match_id"],) for r in chroma.report(spark.createDataFrame(media, "doc_id long, media binary"), F.col("doc_id") % 100 == 0, frames=chroma.SHORT).collect()]
+    assert sorted(got, key=str) == sorted([(100, 1), (1, None), (1, None), (None, None), (200, None), (200, None)], key=str)
+
+
+def test_ftrl_is_the_written_out_update():
+    """Updates and weights, coordinate by coordinate, as the method's paper has them."""
+    import math
+
+    rng = np.random.default_rng(3)
+    model, z, n = quality.Ftrl(8), [0.0] * 8, [0.0] * 8
+
+    def weight(i):
+        if abs(z[i]) <= model.l1:
+            return 0.0
+        return -(z[i] - math.copysign(model.l1, z[i])) / ((model.beta + math.sqrt(n[i])) / model.alpha + model.l2)
+
+    for _ in range(200):
+        at = np.sort(rng.choice(8, 3, replace=False))
+        x, label = rng.random(3), float(rng.integers(0, 2))
+        w = [weight(i) for i in at]
+        p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, x, strict=True))))
+        for i, wi, xi in zip(at, w, x, strict=True):
+            g = (p - label) * xi
+            s = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / model.alpha
+            z[i] += g - s * wi
+            n[i] += g * g
+        model.update(at, x, label)
+    assert np.allclose(model.weights(), [weight(i) for i in range(8)])
+
+
+def test_ids_next_to_a_null_stay_exact(spark, tmp_path):
+    big = 2**60 + 1
+    df = spark.createDataFrame([(big, "one two"), (None, "three"), (big + 1, "four")], "doc_id long, text string").coalesce(1)
+    dac.write(df, str(tmp_path / "codes"), tokenizer_path(), partitions=1)
+    assert [r["doc_id"] for r in dac.documents(spark, str(tmp_path / "codes")).orderBy("start").collect()] == [None, big, big + 1]

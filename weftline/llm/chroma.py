@@ -14,8 +14,9 @@ overlap is the bit error.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -25,13 +26,27 @@ from pyspark.sql import functions as F
 from weftline.llm.bpe import _typed
 from weftline.llm.common import map_text, shared_folder, written
 
-RATE, FRAME, HOP, CLASSES = 8000, 128, 32, 12
-WIDTH = 8
+CLASSES, WIDTH = 12, 8
+
+
+@dataclass(frozen=True)
+class Frames:
+    """Samples a second, samples of a frame, and from one frame to the next."""
+
+    rate: int
+    size: int
+    hop: int
+
+
+#: For audio: a frame tells semitones apart from 100 Hz on.
+AUDIO = Frames(11025, 4096, 1365)
+#: For texts that stand in for recordings: frames short enough for some thousand bytes.
+SHORT = Frames(8000, 128, 32)
 SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25])
 #: Integers that two recordings have to share at one offset, and the largest bit error of a match.
 SHARED, ERROR = 3, 0.35
 #: Integers of one task's block of recordings, and of one block of queries.
-BLOCK, QUERY_BLOCK = 1_000_000, 400_000
+BLOCK, QUERY_BLOCK = 1_000_000, 4_000_000
 
 
 def _filters() -> list[tuple[int, int, int, int]]:
@@ -49,9 +64,10 @@ FILTERS = _filters()
 GRAY = np.array([0, 1, 3, 2], np.uint32)
 
 
-def _pitch_classes() -> np.ndarray:
+@cache
+def _pitch_classes(frames: Frames) -> np.ndarray:
     """For each frequency of a frame, its pitch class one-hot; those outside 100 Hz to 3800 Hz count nowhere."""
-    hertz = np.fft.rfftfreq(FRAME, 1 / RATE)
+    hertz = np.fft.rfftfreq(frames.size, 1 / frames.rate)
     out = np.zeros((len(hertz), CLASSES))
     for row, f in enumerate(hertz):
         if 100 <= f <= 3800:
@@ -59,29 +75,26 @@ def _pitch_classes() -> np.ndarray:
     return out
 
 
-_CLASS_OF = _pitch_classes()
-_WINDOW = np.hamming(FRAME)
-
-
-def chroma(pcm: bytes) -> np.ndarray:
+def chroma(pcm: bytes, frames: Frames = AUDIO) -> np.ndarray:
     """Frames by pitch classes, each frame of length 1 or 0; empty if there is less than one frame."""
     samples = np.frombuffer(pcm, np.uint8).astype(np.float64) - 128
-    n = (len(samples) - FRAME) // HOP + 1
+    n, hop = (len(samples) - frames.size) // frames.hop + 1, frames.hop
     if n < 1:
         return np.empty((0, CLASSES))
     out = np.empty((n, CLASSES))
-    for at in range(0, n, 4096):  # long recordings in pieces
-        frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[at * HOP : (min(n, at + 4096) - 1) * HOP + 1 : HOP]
-        out[at : at + 4096] = np.abs(np.fft.rfft(frames * _WINDOW)) ** 2 @ _CLASS_OF
+    class_of, window, piece = _pitch_classes(frames), np.hamming(frames.size), max(1, (1 << 19) // frames.size)
+    for at in range(0, n, piece):  # long recordings in pieces
+        some = np.lib.stride_tricks.sliding_window_view(samples, frames.size)[at * hop : (min(n, at + piece) - 1) * hop + 1 : hop]
+        out[at : at + piece] = np.abs(np.fft.rfft(some * window)) ** 2 @ class_of
     padded = np.pad(out, ((2, 2), (0, 0)), mode="edge")
     smooth = sum(w * padded[k : k + n] for k, w in enumerate(SMOOTH))
     size = np.sqrt((smooth**2).sum(1, keepdims=True))
     return np.divide(smooth, size, out=np.zeros_like(smooth), where=size > 1e-9)
 
 
-def fingerprint(pcm: bytes) -> np.ndarray:
+def fingerprint(pcm: bytes, frames: Frames = AUDIO) -> np.ndarray:
     """Packed integers, one for each place where the widest filter fits."""
-    image = chroma(pcm)
+    image = chroma(pcm, frames)
     n = len(image) - WIDTH + 1
     if n < 1:
         return np.empty(0, np.uint32)
@@ -133,7 +146,7 @@ def _levels() -> dict[tuple[int, int, int, int], tuple[float, float]]:
 _LEVELS = _levels()
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+def fingerprints(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", frames: Frames = AUDIO) -> DataFrame:
     """(id, n_frames, fp binary): little-endian unsigned 32-bit integers.
 
     A null recording and one shorter than the widest filter have an empty
@@ -146,7 +159,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", media_col: str = "media"
 
         def one(i, media):
             pcm = base64.b64decode(media or "")
-            return i, max(0, (len(pcm) - FRAME) // HOP + 1), fingerprint(pcm).astype("<u4").tobytes()
+            return i, max(0, (len(pcm) - frames.size) // frames.hop + 1), fingerprint(pcm, frames).astype("<u4").tobytes()
 
         return one
 
@@ -251,16 +264,12 @@ def matches(prints: DataFrame, queries: Column, k: int = 1, id_col: str = "doc_i
     return ranked.select(F.col("id").alias(id_col), "rank", "match_id", "match_offset", "bit_error", "overlap")
 
 
-def report(df: DataFrame, queries: Column, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+def report(df: DataFrame, queries: Column, id_col: str = "doc_id", media_col: str = "media", frames: Frames = AUDIO) -> DataFrame:
     """One row for each row of ``df``: its fingerprint's length and crc32, and for queries their best match or nulls.
 
     Rows that repeat an id have the same match; a null id has none.
     """
-    prints = written(fingerprints(df, id_col, media_col), "fingerprints")
+    prints = written(fingerprints(df, id_col, media_col, frames), "fingerprints")
     best = matches(prints, queries, 1, id_col).select(F.col(id_col).alias("best_id"), "match_id", "match_offset", "bit_error", "overlap")
     lengths = prints.select(F.col(id_col), "n_frames", (F.length("fp") / 4).cast("long").alias("n_codes"), F.crc32("fp").alias("codes_crc32"))
     return lengths.join(best, F.col(id_col) == F.col("best_id"), "left").drop("best_id")
-
-
-def crc32(fp: np.ndarray) -> int:
-    return zlib.crc32(fp.astype("<u4").tobytes())

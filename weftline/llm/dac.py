@@ -189,7 +189,7 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str
     one document longer than ``segment_tokens``.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(id_col).cast("long").cast("string").alias("name"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange(n, "id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,8 +207,8 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str
         for frame in frames:
             for at in range(0, len(frame), 512):
                 piece = frame.iloc[at : at + 512]
-                for i, codes in zip(piece["id"], encoder.encode(piece["text"].tolist()), strict=True):
-                    ids.append(None if pd.isna(i) else int(i))
+                for i, codes in zip(piece["name"], encoder.encode(piece["text"].tolist()), strict=True):
+                    ids.append(None if pd.isna(i) else int(i))  # as text: next to a null, pandas has integers as doubles
                     counts.append(len(codes) // 4 + 1)
                     held += [codes, end]
                     size += counts[-1]
@@ -218,7 +218,7 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str
         if ids:
             yield close()
 
-    ordered.mapInPandas(run, SEGMENT).write.parquet(path)
+    ordered.select("name", "text").mapInPandas(run, SEGMENT).write.parquet(path)
 
 
 def read(spark, path: str) -> DataFrame:
@@ -252,7 +252,7 @@ def documents(spark, path: str, id_col: str = "doc_id") -> DataFrame:
                     }
                 )
 
-    segments = read(spark, path).select("start", "doc_ids", "doc_tokens", "codes")
+    segments = read(spark, path).select("start", F.transform("doc_ids", lambda i: i.cast("string")).alias("doc_ids"), "doc_tokens", "codes")
     return segments.mapInPandas(run, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")
 
 
