@@ -158,11 +158,19 @@ def test_neighbours(spark):
 
 
 def test_neighbours_recall(spark):
-    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    vectors = {r["vec_id"]: np.array(r["embedding"], float) for r in df.collect()}
-    want = set(brute_neighbours(vectors, range(0, 500, 100), 10))
-    got = {(r["query_id"], r["vec_id"]) for r in imi.search(df, F.col("vec_id") % 100 == 0, reach=1).collect()}
-    assert len(got & {(q, i) for q, _, i in want}) >= 0.8 * len(want)
+    """With the registered share and no smallest reach, on more vectors than that reach, and on the test table."""
+    rng = np.random.default_rng(11)
+    made = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=24)]) for i in range(4000)], "vec_id long, embedding array<double>")
+    for df, n in ((made, 4000), (spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), 2000)):
+        vectors = {r["vec_id"]: np.array(r["embedding"], float) for r in df.collect()}
+        ids, matrix = np.array(sorted(vectors)), np.array([vectors[i] for i in sorted(vectors)])
+        want = set()
+        for q in range(0, n, 100):
+            far = np.sqrt(((matrix - vectors[q]) ** 2).sum(1))
+            order = [int(ids[k]) for k in np.lexsort((ids, far)) if ids[k] != q][:10]
+            want |= {(q, i) for i in order}
+        got = {(r["query_id"], r["vec_id"]) for r in imi.search(df, F.col("vec_id") % 100 == 0, reach=1, share=imi.SHARE).collect()}
+        assert len(got & want) >= 0.9 * len(want)
 
 
 def test_multi_sequence_order():

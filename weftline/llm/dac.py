@@ -129,30 +129,23 @@ class LibraryEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text, its ids as little-endian unsigned 32-bit integers."""
         split = [chunks(t) for t in texts]
-        table, fresh = {}, []  # of this batch: small, and looked into once for each chunk
-        for c in set().union(*split):
-            got = self.known.get(c)
-            if got is None:
-                fresh.append(c)
-            else:
-                table[c] = got
+        every = set().union(*split)
+        fresh = every.difference(self.known)
+        held = every - fresh
+        table = dict(zip(held, map(self.known.__getitem__, held), strict=True))  # of this batch: small, and looked into once for each chunk
         cut = {c: self._PIECES.findall(c.lower()) if self._PLAIN.fullmatch(c) else [c] for c in fresh}
-        made, new = {}, []
-        for p in {p for ps in cut.values() for p in ps}:
-            got = self.pieces.get(p)
-            if got is None:
-                new.append(p)
-            else:
-                made[p] = got
-        for p, ids in self._through(new).items():
-            made[p] = ids
-            if len(self.pieces) < self.PIECES and len(p) <= self.CHARS:
-                self.pieces[p] = ids
-        for c, ps in cut.items():
-            table[c] = ids = made[ps[0]] if len(ps) == 1 else b"".join([made[p] for p in ps])
-            if len(self.known) < self.CHUNKS and len(c) <= self.CHARS:
-                self.known[c] = ids
-        return [b"".join([table[c] for c in cs]) for cs in split]
+        parts = set().union(*cut.values())
+        new = parts.difference(self.pieces)
+        made = dict(zip(old := parts - new, map(self.pieces.__getitem__, old), strict=True))
+        through = self._through(list(new))
+        made |= through
+        if len(self.pieces) < self.PIECES:
+            self.pieces |= {p: ids for p, ids in through.items() if len(p) <= self.CHARS}
+        own = {c: b"".join(map(made.__getitem__, ps)) for c, ps in cut.items()}
+        table |= own
+        if len(self.known) < self.CHUNKS:
+            self.known |= {c: ids for c, ids in own.items() if len(c) <= self.CHARS}
+        return [b"".join(map(table.__getitem__, cs)) for cs in split]
 
     def _through(self, fresh: list[str]) -> dict[str, bytes]:
         plain = [c for c in fresh if "<|" not in c]
@@ -177,6 +170,8 @@ def _encoder(path: str) -> LibraryEncoder:
     return _ENCODERS[path]
 
 
+#: Texts whose words are looked up together.
+BATCH = 2048
 SEGMENT = "part long, segment long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, codes binary"
 
 
@@ -205,8 +200,8 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str
 
         size = 0
         for frame in frames:
-            for at in range(0, len(frame), 512):
-                piece = frame.iloc[at : at + 512]
+            for at in range(0, len(frame), BATCH):
+                piece = frame.iloc[at : at + BATCH]
                 for i, codes in zip(piece["name"], encoder.encode(piece["text"].tolist()), strict=True):
                     ids.append(None if pd.isna(i) else int(i))  # as text: next to a null, pandas has integers as doubles
                     counts.append(len(codes) // 4 + 1)

@@ -29,7 +29,7 @@ from weftline.llm.common import shared_folder, written
 SAMPLE = 20_000
 #: A search meets at least so many distinct vectors, and at least this share of all: vectors
 #: without any structure need it for nine in ten of the true neighbours; clustered ones need far less.
-REACH, SHARE = 3_000, 0.5
+REACH, SHARE = 3_000, 0.6
 #: Entries of one task's block.
 BLOCK = 4_000
 
