@@ -404,9 +404,10 @@ def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     work = _work_folder(spark)
     out = tumbling(_streamed(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), "ts", "6 hours", ["event_type"], {"n": F.count(F.lit(1))}, late="400 days")
-    name = f"tumbling_{work.rsplit('/', 1)[1].replace('-', '_')}"
-    out.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    # the table of all windows so far, written by the executors after each batch
+    put = lambda batch, _: batch.write.mode("overwrite").parquet(f"{work}/windows")
+    out.writeStream.foreachBatch(put).outputMode("complete").option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{work}/windows").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 def _work_folder(spark: SparkSession) -> str:
@@ -517,3 +518,109 @@ def asof_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("day", F.date_trunc("day", "ts"))
     bought, clicked = events.where("event_type = 'purchase'"), events.where("event_type = 'click'")
     return asof_join(bought.select("event_id", "user_id", "day"), clicked, ["user_id"], "day", "day", ["event_id"], ties=["event_id"]).select("event_id", "asof_event_id")
+
+
+# --- conversions, type tests and functions of lists ------------------------------------------------
+
+_P = ["@eq", "$.o_orderstatus", "P"]
+_NOT_P = "CASE WHEN o_orderstatus = 'P' THEN NULL ELSE {} END"
+job(
+    "convert_numbers",
+    f"""SELECT o_orderkey, coalesce({_NOT_P.format("o_orderkey")}, 0) AS i, CAST(coalesce({_NOT_P.format("o_orderkey")}, 0) AS DOUBLE) AS f,
+    coalesce({_NOT_P.format("o_orderkey <> 0")}, false) AS b FROM orders""",
+    "orders",
+    {"o_orderkey": "$.o_orderkey", "i": ["@convert_int", ["#if", _P, None, "$.o_orderkey"]], "f": ["@convert_float", ["#if", _P, None, "$.o_orderkey"]], "b": ["@convert_bool", ["#if", _P, None, "$.o_orderkey"]]},
+)
+job(
+    "convert_texts",
+    f"""SELECT o_orderkey, coalesce({_NOT_P.format("o_orderpriority")}, '') AS s, coalesce({_NOT_P.format("o_orderpriority || '|x'")}, '') AS n,
+    CASE WHEN o_orderstatus = 'P' THEN '00000000-0000-0000-0000-000000000000' ELSE '0123abcd-0000-4000-8000-0123456789ab' END AS u,
+    CASE WHEN o_orderstatus = 'P' THEN '000000000000000000000000' ELSE '0123abcd0123abcd0123abcd' END AS o FROM orders""",
+    "orders",
+    {
+        "o_orderkey": "$.o_orderkey",
+        "s": ["@convert_string", ["#if", _P, None, "$.o_orderpriority"]],
+        "n": ["@join", ["@convert_array", ["#if", _P, None, ["@make", "$.o_orderpriority", "x"]]], "|"],
+        "u": ["@convert_uuid", ["#if", _P, None, "0123abcd-0000-4000-8000-0123456789ab"]],
+        "o": ["@convert_objectid", ["#if", _P, None, "0123abcd0123abcd0123abcd"]],
+    },
+)
+job(
+    "convert_times",
+    "SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE CAST(ts AS DATE) END AS d, strftime(ts, '%H:%M:%S') AS t FROM events",
+    "events",
+    {"event_id": "$.event_id", "d": ["@convert_date", ["#if", ["@eq", "$.event_type", "error"], None, "$.ts"]], "t": ["@convert_time", "$.ts"]},
+)
+job(
+    "is_kinds",
+    f"""SELECT o_orderkey, {_NOT_P.format("1::BIGINT")} AS whole, 1::BIGINT AS real_, {_NOT_P.format("0::BIGINT")} AS text_, 1::BIGINT AS number_, 1::BIGINT AS time_, 1::BIGINT AS day_,
+    CASE WHEN o_orderstatus = 'P' THEN 0::BIGINT ELSE 1::BIGINT END AS truth, 1::BIGINT AS list_, 0::BIGINT AS id_ FROM orders""",
+    "orders",
+    {
+        "o_orderkey": "$.o_orderkey",
+        "whole": ["@is_int", ["#if", _P, None, "$.o_orderkey"]],
+        "real_": ["@is_float", "$.o_totalprice"],
+        "text_": ["@is_string", ["#if", _P, None, "$.o_orderkey"]],
+        "number_": ["@is_number", "$.o_totalprice"],
+        "time_": ["@is_datetime", "$.o_orderdate"],
+        "day_": ["@is_date", "$.o_orderdate"],
+        "truth": ["@is_bool", ["#if", _P, None, ["#const", True]]],
+        "list_": ["@is_array", ["@make", "$.o_orderkey"]],
+        "id_": ["@is_uuid", "$.o_orderpriority"],
+    },
+)
+job(
+    "identity_same",
+    "SELECT p_partkey, p_size::BIGINT AS x, CASE WHEN p_size = 7 THEN 1::BIGINT ELSE 0::BIGINT END AS seven, p_size || '/' || p_partkey AS pair FROM part",
+    "part",
+    {"p_partkey": "$.p_partkey", "x": ["@", "$.p_size"], "seven": ["@is", "$.p_size", 7], "pair": ["@join", ["@make", "$.p_size|str", "$.p_partkey|str"], "/"]},
+)
+job(
+    "abs_index_filter",
+    "SELECT p_partkey, abs(p_size - 25)::BIGINT AS far, CASE WHEN p_size = 10 THEN 30::BIGINT ELSE 2 * p_size::BIGINT END AS same, CASE WHEN p_size = 11 THEN 11::BIGINT END AS eleven FROM part",
+    "part",
+    {"p_partkey": "$.p_partkey", "far": ["@abs", ["@sub", "$.p_size", 25]], "same": ["@sum", ["@filter", ["@make", "$.p_size", 10, "$.p_size"], "$.p_size"]], "eleven": ["@index", ["@make", "$.p_size", 5], 11]},
+)
+job(
+    "lambda_lists",
+    "SELECT p_partkey, array_to_string(list_filter([p_size::BIGINT, 20, 30], lambda x: x > 15), ',') AS big, array_to_string(list_reverse_sort([p_size::BIGINT, 20, 30]), ',') AS down FROM part",
+    "part",
+    {
+        "p_partkey": "$.p_partkey",
+        "big": ["@join", ["@filter", ["@make", "$.p_size", 20, 30], ["#lambda", ["@gt", "$", 15]]], ","],
+        "down": ["@join", ["@sort", ["@make", "$.p_size", 20, 30], ["#lambda", ["@sub", 0, "$"]]], ","],
+    },
+)
+job("state_default", "SELECT r_regionkey::BIGINT AS r_regionkey, 7::BIGINT AS n FROM region", "region", {"r_regionkey": "$.r_regionkey", "n": ["#state", "$.rows", 7]})
+
+# --- lookups and folds over what is expanded -------------------------------------------------------
+
+job("lookup_right_cast", "SELECT n_nationkey::BIGINT AS n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey", "nation", {"n_nationkey": "$.n_nationkey", "r_name": ["$.n_regionkey|str", "&.t.region::r_regionkey|int", ":$.r_name"]}, options=_ONE)
+job(
+    "lookup_over_rows",
+    "SELECT r_regionkey::BIGINT AS r_regionkey, (SELECT coalesce(sum(s_suppkey), 0)::BIGINT FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE n_regionkey = r_regionkey) AS n FROM region",
+    "region",
+    {"r_regionkey": "$.r_regionkey", "n": ["$.r_regionkey", "&.t.nation::n_regionkey", [":$.n_nationkey", "&.t.supplier::s_nationkey", [":@sum", "$.s_suppkey"]]]},
+)
+_HALF = ["#yield", ["@string::split", "$.o_orderpriority", "-"]]
+job(
+    "agg_over_yield",
+    "SELECT part, count(*) AS n FROM (SELECT unnest(string_split(o_orderpriority, '-')) AS part FROM orders) GROUP BY 1",
+    "orders",
+    {"part": _HALF, "n": ["#aggregate", _HALF, ["@add", "$.n", 1]]},
+)
+
+
+def _round_trip(spark: SparkSession, sf_dir: str, driver: str, **more) -> DataFrame:
+    """Nations written by a job in one format and read by another job from it."""
+    databases = [{"name": "t", "driver": "parquet", "path": sf_dir}, {"name": "f", "driver": driver, "path": _work_folder(spark)} | more]
+    schema = {"n_nationkey": "$.n_nationkey", "n_name": "$.n_name"}
+    Job.from_config(spark, {"databases": databases, "input": "&.t.nation", "output": "&.f.nation use I", "schema": schema}).run()
+    return Job.from_config(spark, {"databases": databases, "input": "&.f.nation", "schema": {"n_nationkey": "$.n_nationkey|int", "n_name": "$.n_name"}}).plan()
+
+
+_NATIONS = "SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation"
+query("csv_round_trip", _NATIONS)(lambda spark, sf_dir: _round_trip(spark, sf_dir, "csv"))
+query("json_round_trip", _NATIONS)(lambda spark, sf_dir: _round_trip(spark, sf_dir, "json", lines=True))
+query("textline_round_trip", _NATIONS)(lambda spark, sf_dir: _round_trip(spark, sf_dir, "textline", format="json"))
+query("parquet_round_trip", _NATIONS)(lambda spark, sf_dir: _round_trip(spark, sf_dir, "parquet"))
