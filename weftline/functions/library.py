@@ -384,6 +384,8 @@ def index(items: Value, x: Value, name: Value | None = None) -> Value:
 @register_function("filter")
 def filter_(items: Value, x: Value, name: Value | None = None) -> Value:
     col, kind = _of(items)
+    if callable(x):
+        return Value(F.filter(col, lambda r: truthy(x(Value(r, kind)))), T.ArrayType(kind))
     member = (lambda r: Value(r, kind)) if name is None else (lambda r: Value(r, kind).field(constant(name)))
     return Value(F.filter(col, lambda r: compare("==", member(r), x)), T.ArrayType(kind))
 
@@ -400,11 +402,15 @@ def sum_(items: Value, name: Value | None = None) -> Value:
 
 @register_function("sort")
 def sort(items: Value, *args: Value) -> Value:
-    """``sort(list)``, ``sort(list, reverse)``, ``sort(list, key)`` or ``sort(list, reverse, key)``; nulls first."""
+    """``sort(list)``, ``sort(list, reverse)``, ``sort(list, key)`` or ``sort(list, reverse, key)``; nulls first.
+
+    The key is a field's name or a lambda.
+    """
     col, kind = _of(items)
     down = any(a.type in (LONG, BOOL) and str(constant(a)).lower() in ("1", "true") for a in args)
     names = [constant(a) for a in args if a.type == STRING]
-    key = lambda r: Value(r, kind).field(names[0]).col if names else r
+    made = next((a for a in args if callable(a)), None)
+    key = lambda r: made(Value(r, kind)).col if made else Value(r, kind).field(names[0]).col if names else r
 
     def order(x: Column, y: Column) -> Column:
         a, b = key(x), key(y)

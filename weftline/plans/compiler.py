@@ -89,8 +89,16 @@ class Windowed:
 
 @dataclass
 class Lambda:
+    """An expression that a function applies to values of its own, which are ``$`` in it."""
+
     body: object
     scope: list[Value]
+    compiler: Compiler
+    type: T.DataType = NULL
+    const: object = None
+
+    def __call__(self, v: Value) -> Value:
+        return self.compiler(self.body, [*self.scope, v]).one()
 
 
 def is_return(x) -> bool:
@@ -330,7 +338,7 @@ class Compiler:
         return self.returned(self(self.defines[items[1]], [*scope[:-1], self(items[2], scope)]), ret, scope)
 
     def do_lambda(self, x: list, scope):
-        return Lambda(x[1], scope)
+        return Lambda(x[1], scope, self)
 
     def do_state(self, x: list, scope):
         items, ret = self.parts(x)
@@ -360,11 +368,31 @@ class Compiler:
             by = self(calc[2], [*scope, Guard(F.lit(None), NULL)])
         except Accumulator:
             raise ValueError("a variable is read, counted up or summed up") from None
-        # one running total over all rows needs them in one order
-        total = F.sum(by.col).over(Window.orderBy(SEQ).rowsBetween(Window.unboundedPreceding, 0))
-        v = Value(F.coalesce(start.col, F.lit(0)).cast(by.type) + total if start.type != NULL else total, by.type)
+        total = self.running(by)
+        v = Value(F.coalesce(start.col, F.lit(0)).cast(by.type) + F.coalesce(total, F.lit(0)).cast(by.type) if start.type != NULL else total, by.type)
         return self.returned(v, ret, scope)
 
+    def running(self, by: Value) -> Column:
+        """The sum of a value over all rows up to each one, in order of arrival.
+
+        Rows are summed up in blocks of 65,536 places, and a block begins with the
+        sum of those before it; only one row a block is ever in one task.  An order
+        that is no integer has no blocks and is one window.
+        """
+        kind = self.df.schema[SEQ].dataType
+        place = F.col(SEQ) if kind == LONG else F.col(f"{SEQ}.row") if isinstance(kind, T.StructType) and kind[0].dataType == LONG else None
+        if place is None:
+            return F.sum(by.col).over(Window.orderBy(SEQ).rowsBetween(Window.unboundedPreceding, 0))
+        name = f"__run{len(self._joined)}"
+        block, value, before = f"{name}b", f"{name}v", f"{name}s"
+        df = self.df.withColumns({block: F.shiftright(F.coalesce(place, F.lit(-1)), 16), value: by.col})
+        earlier = Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+        totals = df.groupBy(block).agg(F.sum(value).alias(before)).select(block, F.sum(before).over(earlier).alias(before))
+        self.df = df.join(totals, block)
+        inner = F.sum(value).over(Window.partitionBy(block).orderBy(SEQ).rowsBetween(Window.unboundedPreceding, 0))
+        self._joined[name] = Value(F.col(before), by.type)
+        return F.when(inner.isNull() & F.col(before).isNull(), None).otherwise(F.coalesce(inner, F.lit(0).cast(by.type)) + F.coalesce(F.col(before), F.lit(0).cast(by.type))).cast(by.type)
+
     # --- lists ------------------------------------------------------------------------------------
 
     def do_foreach(self, x: list, scope):
@@ -479,7 +507,10 @@ class Compiler:
         residual = next((r for r in rest if not is_return(r)), None)
         many, name, names = self.parse_reference(self.reference(part))
         keys = key if isinstance(key, list) and len(names) > 1 else [key]
+        # a cast on the table's side, too, is one of the value that is looked up
+        casts = [k.partition("|")[2] for k in self.reference(part).partition("::")[2].split("+")]
         values = [self(k, scope) for k in keys]
+        values = [cast(v, c) if c else v for v, c in zip(values, casts, strict=True)] if len(casts) == len(values) else values
         right = self.right(part, scope)
         tag = json.dumps([part, [str(v.col._jc.toString()) for v in values], many])
         own = [F.col(f"`{n}`").cast(widened(right.schema[n].dataType)) for n in names]

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +42,7 @@ class Job:
     arguments: dict[str, Any] = field(default_factory=dict)
     hooks: dict[str, list[Callable[[DataFrame], DataFrame]]] = field(default_factory=dict)
     status: dict[str, Any] = field(default_factory=dict)
+    _known: dict[str, str] | None = None
 
     @classmethod
     def from_config(cls, spark: SparkSession, config: dict | str, arguments: dict | None = None, catalog: Catalog | None = None) -> Job:
@@ -72,7 +74,46 @@ class Job:
 
     def compiler(self, df: DataFrame, name: str = "") -> Compiler:
         options = self.config.get("options", {})
-        return Compiler(df, lambda n: self.catalog.read(n), set(options.get("unique", [])), self.config.get("defines"), self.config.get("variables"), self.config.get("states_values"), name)
+        return Compiler(df, lambda n: self.catalog.read(n), set(options.get("unique", [])), self.config.get("defines"), self.config.get("variables"), self.states(), name)
+
+    def states(self) -> dict[str, str]:
+        """What the tables under ``states`` hold, as key and value; one that is not there yet holds nothing."""
+        if self._known is None:
+            self._known = dict(self.config.get("states_values") or {})
+            for ref in self.config.get("states", []):
+                try:
+                    table = self.catalog.read(parse_table(ref)[0]).select("key", "value")
+                except (AnalysisException, ValueError):
+                    continue
+                self._known |= {r["key"]: r["value"] for r in table.collect()}  # a job's own few counters
+        return self._known
+
+    def _keep_states(self, df: DataFrame) -> None:
+        """The run's counters, and how far its cursor came, into the state tables."""
+        if not self.config.get("states"):
+            return
+        kept = {k: v for k, v in self.status.items() if isinstance(v, (int, str))}
+        if (cursor := self.config.get("cursor")) is not None and (far := df.agg(F.max(cursor).cast("string")).first()[0]) is not None:
+            kept["@cursor"] = far
+        rows = self.spark.createDataFrame(sorted((k, str(v)) for k, v in kept.items()), "key string, value string")
+        for ref in self.config["states"]:
+            write(self.catalog, parse_table(ref)[0], rows, "upsert", ["key"], [], lambda d: F.lit(True))
+        self._known = None
+
+    def _after_cursor(self, df: DataFrame) -> DataFrame:
+        """With ``@recovery``, the rows past the one that the last run came to.
+
+        ``cursor`` names an output field that is a bare source column; an ordered and
+        limited job thereby goes through its input page by page without offsets.
+        """
+        cursor, schema = self.config.get("cursor"), self.config.get("schema", "$.*")
+        if cursor is None or not self.arguments.get("@recovery") or "@cursor" not in self.states():
+            return df
+        x = schema.get(cursor) if isinstance(schema, dict) else f"$.{cursor}"
+        name = x.removeprefix("$.") if isinstance(x, str) else None
+        if name not in df.columns:
+            raise ValueError(f"the cursor {cursor!r} is no source column")
+        return df.where(F.col(f"`{name}`") > F.lit(self.states()["@cursor"]).cast(df.schema[name].dataType))
 
     def source(self) -> DataFrame:
         """The input with its source filters; the catalogue may bind some of them as view arguments."""
@@ -94,11 +135,12 @@ class Job:
         constants = self.compiler(df)
         for key, test in tests.items():
             df = df.where(source_filter(df, key, test, lambda e: constants(e, [])))
-        return df
+        return self._after_cursor(df)
 
     def plan(self, source: DataFrame | None = None) -> DataFrame:
         """The rows of the job's output, before its sink."""
-        df = self._steps("queried", self.source() if source is None else source)
+        df = self.source() if source is None else self._filtered(source, configs.querys(self.config.get("querys", {}), self.arguments))
+        df = self._steps("queried", df)
         schema = self.config.get("schema", "$.*")
         if schema == "$.*":
             return self._finish(self._steps("loaded", self._ordered_source(df)), list(df.columns))
@@ -163,6 +205,8 @@ class Job:
             w.value = type(w.value)(at("v"), w.value.type)
             w.order = [(type(o)(at(f"o{i}"), o.one().type), d) for i, (o, d) in enumerate(w.order)]
             cols.append(window_column(w, F.col(SEQ)).one().col.alias(name))
+        if "orders" not in self.config and "output" in self.config and parse_table(self.config["output"])[0].startswith("stdio."):
+            grouped = grouped.orderBy(SEQ)  # printed groups come as they were first seen
         return grouped.select(*cols)
 
     def _finish(self, df: DataFrame, names: list[str]) -> DataFrame:
@@ -192,6 +236,7 @@ class Job:
         neutral = [n.rstrip("?") for n in (self.config["schema"] if isinstance(self.config.get("schema"), dict) else {}) if n.endswith("?")]
         scope = self._scope()
         self.status = write(self.catalog, name, df, MODES.get(mode or "UDI", mode or "sync"), keys, neutral, scope)
+        self._keep_states(df)
         self._steps("finaled", df)
         return self.status
 

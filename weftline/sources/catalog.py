@@ -71,6 +71,20 @@ class Catalog:
             raise ValueError(f"unknown driver {driver!r}")
         return DRIVERS[driver](self.spark, database, table), tests
 
+    def stream(self, name: str, files: int | None = None) -> DataFrame:
+        """A table of Parquet, CSV or JSON lines as a stream of its files, at most so many a batch."""
+        database, table = self.split(name)
+        driver = database.get("driver", "memory")
+        if driver not in drivers.STREAMED or driver == "json" and not database.get("lines"):
+            raise ValueError(f"{name!r} cannot be read as a stream; files of Parquet, CSV or JSON lines can")
+        path = drivers._path(database, table, drivers.STREAMED[driver])
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if not p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+            path = f"{path[:-1]}[{path[-1]}]"  # a stream reads folders and patterns: the pattern of this one file
+        reader = self.spark.readStream.schema(self.read(name).schema).format(driver)
+        reader = reader.option("maxFilesPerTrigger", files) if files else reader
+        return (reader.option("header", True).option("sep", database.get("delimiter", ",")) if driver == "csv" else reader).load(path)
+
     def _view(self, database: dict, view: dict, table: str, tests: dict) -> tuple[DataFrame, dict]:
         """A query's text; its arguments take the tests of their column and operator, or their default, in order."""
         rest = {k: dict(t) for k, t in tests.items()}

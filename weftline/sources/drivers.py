@@ -27,6 +27,9 @@ JDBC = {
 }
 
 
+STREAMED = {"parquet": ".parquet", "csv": ".csv", "json": ".json"}
+
+
 def _path(options: dict, table: str, ending: str) -> str:
     path = f"{options.get('path', '.').rstrip('/')}/{table}"
     return path if not ending or table.endswith(ending) or "://" not in path and os.path.exists(path) else path + ending
