@@ -119,3 +119,22 @@ def test_public_names():
     assert all(getattr(weftline, n) is not None for n in weftline.__all__)
     with pytest.raises(AttributeError):
         weftline.nothing  # noqa: B018
+
+
+def test_python_folds_see_values_in_order_of_arrival(spark):
+    weftline.register_fold("test::trace", lambda state, value: f"{state or ''}{value}", "string")
+    given = [{"k": k, "v": v} for k, v in (("a", "x"), ("b", "p"), ("a", "y"), ("a", "x"))]
+    df = Job.from_config(spark, {"input": given, "schema": {"k": "$.k", "t": ["#aggregate", "$.k", ["@test::trace", "$.t", "$$.v"]]}}).plan()
+    assert rows(df) == [("a", "xyx"), ("b", "p")]
+
+
+def test_an_aggregate_in_an_aggregates_key_is_refused(spark):
+    schema = {"n": ["#aggregate", ["#aggregate", "$.k", ["@add", "$.n", 1]], ["@add", "$.n", 1]]}
+    with pytest.raises(ValueError, match="aggregate"):
+        Job.from_config(spark, {"input": [{"k": 1}], "schema": schema}).plan()
+
+
+def test_lambdas_of_lists(spark):
+    given = [{"a": [3, 1, 2], "least": 2}]
+    schema = {"kept": ["@filter", "$.a", ["#lambda", ["@gte", "$", "$$.least"]]], "down": ["@sort", "$.a", ["#lambda", ["@sub", 0, "$"]]]}
+    assert rows(Job.from_config(spark, {"input": given, "schema": schema}).plan()) == [([3, 2], [3, 2, 1])]

@@ -11,6 +11,7 @@ _EXPORTS = {
     "register_driver": "sources",
     "register_function": "functions",
     "register_udf": "functions",
+    "register_fold": "functions.registry",
     "register_cast": "lang.casts",
     "register_transform": "operators.shape",
     "run_stream": "streaming",

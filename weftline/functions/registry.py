@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.lang.values import Value, null
 
 FUNCTIONS: dict[str, Callable[..., Value]] = {}
+FOLDS: dict[str, tuple[Callable, T.DataType]] = {}
 
 
 def register_function(*names: str):
@@ -44,6 +47,22 @@ def register_udf(name: str, fn: Callable, return_type: T.DataType | str, vectori
     FUNCTIONS[name] = lambda *args: Value(udf(*[a.one().col for a in args]), return_type)
 
 
+def register_fold(name: str, fn: Callable, return_type: T.DataType | str) -> None:
+    """Register Python code as a fold: a function of the state so far, None at first, and a value.
+
+    ``["#aggregate", key, ["@name", "$.field", value]]`` folds each group's values in order
+    of arrival; a group is one array in its task, as of any fold that is not recognised.
+    """
+    if isinstance(return_type, str):
+        return_type = T.StructType.fromDDL(f"x {return_type}")["x"].dataType
+
+    @F.pandas_udf(return_type)
+    def folded(groups: pd.Series) -> pd.Series:
+        return pd.Series([reduce(fn, values, None) for values in groups], dtype=object)
+
+    FOLDS[name] = (folded, return_type)
+
+
 def call(name: str, args: list[Value]) -> Value:
     from weftline.functions import library  # noqa: F401  registers the built-in functions
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.functions import call
+from weftline.functions.registry import FOLDS
 from weftline.lang.casts import cast
 from weftline.lang.values import LONG, NULL, Value, array, common, compare, literal, null, struct, truthy, widened
 
@@ -634,6 +635,8 @@ class Compiler:
                 return Fold(key, "sum", v) if v.type != T.StringType() else (_ for _ in ()).throw(Accumulator())
             if calc[0] in ("@max", "@min"):
                 return Fold(key, calc[0][1:], free(calc[2]))
+            if isinstance(calc[0], str) and calc[0][1:] in FOLDS:
+                return Fold(key, f"udaf:{calc[0][1:]}", free(calc[2]))
             if calc[0] == "@array::append":
                 return Fold(key, "list", free(calc[2]))
         if isinstance(calc, list) and calc and calc[0] == "#if" and len(calc) == 4 and mine in (calc[2], calc[3]):

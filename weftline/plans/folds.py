@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.functions.registry import FOLDS
 from weftline.lang.values import LONG, NULL, Value, literal, struct
 from weftline.plans.compiler import SEQ, Fold, Windowed
 
@@ -20,9 +21,13 @@ def fold_column(fold: Fold, name: str) -> tuple[Column, T.DataType]:
         return F.sum(col), v.type
     if fold.kind in ("max", "min"):
         return (F.max if fold.kind == "max" else F.min)(col), v.type
-    if fold.kind == "list":
+    if fold.kind == "list" or fold.kind.startswith("udaf:"):
         pairs = F.array_sort(F.collect_list(F.struct(F.col(SEQ).alias("o"), col.alias("v"))))
-        return F.transform(pairs, lambda p: p["v"]), T.ArrayType(v.type)
+        values = F.transform(pairs, lambda p: p["v"])
+        if fold.kind == "list":
+            return values, T.ArrayType(v.type)
+        fn, kind = FOLDS[fold.kind.removeprefix("udaf:")]
+        return fn(values), kind
     order = F.col(SEQ) if fold.when is None else F.when(fold.when, F.col(SEQ))
     return F.max_by(v.col, order), v.type
 

@@ -624,3 +624,13 @@ query("csv_round_trip", _NATIONS)(lambda spark, sf_dir: _round_trip(spark, sf_di
 query("json_round_trip", _NATIONS)(lambda spark, sf_dir: _round_trip(spark, sf_dir, "json", lines=True))
 query("textline_round_trip", _NATIONS)(lambda spark, sf_dir: _round_trip(spark, sf_dir, "textline", format="json"))
 query("parquet_round_trip", _NATIONS)(lambda spark, sf_dir: _round_trip(spark, sf_dir, "parquet"))
+
+
+@query("udaf_fold", "SELECT o_custkey, bit_xor(o_orderkey) AS x, count(*) AS n FROM orders GROUP BY 1")
+def udaf_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fold in Python beside one of Spark's own."""
+    from weftline.functions import register_fold
+
+    register_fold("demo::xor", lambda state, value: int(value) ^ (state or 0), "long")
+    schema = {"o_custkey": "$.o_custkey", "x": ["#aggregate", "$.o_custkey", ["@demo::xor", "$.x", "$$.o_orderkey"]], "n": ["#aggregate", "$.o_custkey", ["@add", "$.n", 1]]}
+    return plan(spark, sf_dir, {"input": "&.t.orders", "schema": schema})

@@ -96,8 +96,8 @@ class Catalog:
         query = view["query"].replace("{table}", table)
         driver = database.get("driver", "sql")
         if driver in drivers.JDBC:
-            for value in bound:
-                query = query.replace("?", _quoted(value), 1)
+            head, *rests = query.split("?", len(bound))  # a bound text may hold a ? of its own
+            query = head + "".join(_quoted(v) + r for v, r in zip(bound, rests, strict=True))
             return drivers.read_query(self.spark, database, query), rest
         for name in view.get("tables", []):
             DRIVERS[driver](self.spark, database, name).createOrReplaceTempView(name)
