@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, chroma, dac, imi, language, licences, mixing, neardup, pii, quality
+from weftline.llm import bpe, centroids, chroma, dac, decontaminate, imi, language, licences, mixing, neardup, pii, quality, runs
 from weftline.llm.common import documents, written
 
 
@@ -62,6 +62,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(documents(spark, sf_dir))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chroma": op1_chroma,
@@ -74,6 +86,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language": op8_language,
         "op9_mixing": op9_mixing,
         "op10_pii": op10_pii,
+        "op11_centroids": op11_centroids,
+        "op12_decontaminate": op12_decontaminate,
+        "op13_runs": op13_runs,
     }
 
 
@@ -81,4 +96,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_licences": licences.scan_sql(),
         "op9_mixing": mixing.mix_sql(),
+        "op11_centroids": centroids.report_sql(),
+        "op12_decontaminate": decontaminate.report_sql(),
     }
