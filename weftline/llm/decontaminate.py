@@ -74,7 +74,7 @@ def _bitmap(tokens: DataFrame) -> tuple[int, str]:
 def _candidates(docs: DataFrame, id_col: str, text_col: str, tokens: DataFrame, base: str, window: int) -> DataFrame:
     """(doc_id, rid, n, found): each document's shingles that the bitmap lets through, with the words around them."""
     size, bits = _bitmap(tokens)
-    sizes = sorted({min(r["n"], SHINGLE) for r in tokens.select("n").distinct().collect()})  # window lengths
+    sizes = sorted({min(r["n"], SHINGLE) for r in tokens.select("n").distinct().collect()} | {SHINGLE})  # window lengths
     rows = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col).cast("string")).alias("words"))
     rows = rows.select("doc_id", "words", F.size("words").alias("n"), F.expr("transform(words, w -> xxhash64(w))").alias("wh"))
     table = f"cast(split('{bits}', ',') as array<bigint>)"
