@@ -51,14 +51,15 @@ def register_fold(name: str, fn: Callable, return_type: T.DataType | str) -> Non
     """Register Python code as a fold: a function of the state so far, None at first, and a value.
 
     ``["#aggregate", key, ["@name", "$.field", value]]`` folds each group's values in order
-    of arrival; a group is one array in its task, as of any fold that is not recognised.
+    of arrival; a large group comes in several arrays, each with the state that the one before has left.
     """
     if isinstance(return_type, str):
         return_type = T.StructType.fromDDL(f"x {return_type}")["x"].dataType
 
     @F.pandas_udf(return_type)
-    def folded(groups: pd.Series) -> pd.Series:
-        return pd.Series([reduce(fn, values, None) for values in groups], dtype=object)
+    def folded(states: pd.Series, groups: pd.Series) -> pd.Series:
+        known = [None if pd.api.types.is_scalar(s) and pd.isna(s) else s for s in states]
+        return pd.Series([reduce(fn, values, state) for state, values in zip(known, groups, strict=True)], dtype=object)
 
     FOLDS[name] = (folded, return_type)
 

@@ -620,11 +620,11 @@ class Compiler:
         except Accumulator:
             pass
         scopes = struct({f"s{i}": v for i, v in enumerate(scope)})
-        kinds = [v.type for v in scope]
+        kinds, field = [v.type for v in scope], self.field
 
         def step(state: Value, row: Value) -> Value:
             back = [Value(row.col[f"s{i}"], k) for i, k in enumerate(kinds)]
-            return self(calc, [*back, struct({self.field: state})])
+            return self(calc, [*back, struct({field: state})])
 
         return Fold(key, "steps", scopes=scopes, step=step)
 

@@ -16,7 +16,7 @@ from weftline.functions import register_udf
 from weftline.lang.values import NULL, truthy
 from weftline.operators import shape
 from weftline.plans.compiler import SEQ, Compiler, Fold, Windowed, source_filter
-from weftline.plans.folds import fold_column, window_column, with_arrival
+from weftline.plans.folds import fold_column, is_ordered, ordered_folds, window_column, window_states, with_arrival
 from weftline.sinks import write
 from weftline.sources import Catalog
 
@@ -170,6 +170,7 @@ class Job:
 
     def _selected(self, df: DataFrame, fields: dict) -> DataFrame:
         arrival = F.col(SEQ) if SEQ in df.columns else F.lit(0)
+        df, fields = self._stepped(df, fields, arrival)
         cols = []
         for name, v in fields.items():
             v = window_column(v, arrival) if isinstance(v, Windowed) else v
@@ -177,6 +178,15 @@ class Job:
             cols.append((v.col.cast("string") if v.type == NULL else v.col).alias(name))
         return df.select(*cols)
 
+    def _stepped(self, df: DataFrame, fields: dict, arrival) -> tuple[DataFrame, dict]:
+        """Windows with a step of their own become columns of the rows first."""
+        fields = dict(fields)
+        for i, (name, w) in enumerate(fields.items()):
+            if isinstance(w, Windowed) and w.kind == "steps":
+                df, made = window_states(df, w, f"__win{i}", arrival)
+                fields[name] = w.ret(made)
+        return df, fields
+
     def _folded(self, df: DataFrame, fields: dict) -> DataFrame:
         """Groups: folds in order of arrival, first values of other fields; then windows over the groups."""
         folds = {n: v for n, v in fields.items() if isinstance(v, Fold)}
@@ -184,7 +194,10 @@ class Job:
         if len({str(f.key.col._jc.toString()) for f in folds.values()}) > 1:
             raise ValueError("all aggregates of a job share one key")
         aggs, late = [F.min(SEQ).alias(SEQ)], {}
+        ordered = {n: f for n, f in folds.items() if is_ordered(f)}
         for name, v in fields.items():
+            if name in ordered:
+                continue
             if isinstance(v, Fold):
                 aggs.append(fold_column(v, name)[0].alias(name))
             elif isinstance(v, Windowed):
@@ -194,17 +207,20 @@ class Job:
             else:
                 aggs.append(F.min_by(v.one().col, SEQ).alias(name))
         grouped = df.groupBy(key.col.alias("__key")).agg(*aggs)
-        cols = []
-        for name in fields:
-            if name not in late:
-                cols.append(F.col(f"`{name}`"))
-                continue
-            w = late[name]
+        if ordered:
+            stepped = ordered_folds(df, key.col, ordered).withColumnRenamed("__key", "__group")
+            grouped = grouped.join(stepped, F.col("__key").eqNullSafe(F.col("__group"))).drop("__group")
+        for name, w in late.items():
             at = lambda p, name=name: F.col(f"__w_{name}_{p}")
             w.key = type(w.key)(at("k"), w.key.type)
             w.value = type(w.value)(at("v"), w.value.type)
             w.order = [(type(o)(at(f"o{i}"), o.one().type), d) for i, (o, d) in enumerate(w.order)]
-            cols.append(window_column(w, F.col(SEQ)).one().col.alias(name))
+        grouped, made = self._stepped(grouped, late, F.col(SEQ))
+        cols = []
+        for name in fields:
+            v = made.get(name)
+            v = window_column(v, F.col(SEQ)) if isinstance(v, Windowed) else v
+            cols.append(F.col(f"`{name}`") if v is None else v.one().col.alias(name))
         if "orders" not in self.config and "output" in self.config and parse_table(self.config["output"])[0].startswith("stdio."):
             grouped = grouped.orderBy(SEQ)  # printed groups come as they were first seen
         return grouped.select(*cols)
