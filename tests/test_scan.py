@@ -95,3 +95,55 @@ def test_a_long_group_needs_one_array_at_a_time(spark, monkeypatch):
             h = (h * 3 + i % 11) % 1000003
     assert out.where("k = 'hot'").first()["h"] == h
     assert out.count() == 20_001
+
+
+def variables(rows, start, step):
+    out, state = [], start
+    for r in rows:
+        state = step(state, r)
+        out.append(state)
+    return out
+
+
+def test_variables_over_blocks(spark):
+    n = 140_000  # more than two blocks of places
+    df = spark.range(n).selectExpr("id AS seq", "if(id % 7 = 3, null, id % 5) AS v", "id * 7919 % 1000 AS w").repartition(6)
+    catalog = Catalog(spark)
+    catalog.put("m.t", df)
+    low = ["@lt", "$$.w", 5]
+    schema = {
+        "seq": "$.seq",
+        "since": ["#assign", "since", ["#if", low, "$$.v", ["@sub", ["@add", "$.since", "$$.v"], 1]]],
+        "sign": ["#assign", "sign", ["@mul", "$.sign", ["#if", low, -1, 1]]],
+        "from": ["#assign", "from", ["@sub", "$$.w", "$.from"]],
+        "top": ["#assign", "top", ["#if", low, "$.top", ["@max", "$.top", "$$.w"]]],
+    }
+    job = Job.from_config(spark, {"input": "&.m.t", "schema": schema, "options": {"sequence": "seq"}, "variables": {"since": None, "sign": 3, "from": 1, "top": None}}, catalog=catalog)
+    got = [tuple(r) for r in job.plan().orderBy("seq").collect()]
+    rows = [(None if i % 7 == 3 else i % 5, i * 7919 % 1000) for i in range(n)]
+
+    def since(s, r):
+        if r[1] < 5:
+            return r[0]
+        s = r[0] if s is None else s + (r[0] or 0)
+        return -1 if s is None else s - 1
+
+    want = zip(
+        range(n),
+        variables(rows, None, since),
+        variables(rows, 3, lambda s, r: -s if r[1] < 5 else s),
+        variables(rows, 1, lambda s, r: r[1] - s),
+        variables(rows, None, lambda s, r: s if r[1] < 5 else max(r[1], -1 if s is None else s)),
+        strict=True,
+    )
+    assert got == list(want)
+
+
+def test_variables_of_any_step_and_order(spark, chunk):
+    rows = [(f"{i:04}", i % 9) for i in range(200)]
+    catalog = Catalog(spark)
+    catalog.put("m.t", spark.createDataFrame(rows, "seq string, v long").repartition(4))
+    schema = {"seq": "$.seq", "h": ["#assign", "h", ["@mod", ["@add", ["@mul", "$.h", 3], "$$.v"], 101]], "n": ["#assign", "n", ["@mul", "$.n", ["#if", ["@eq", "$$.v", 4], -1, 1]]]}
+    job = Job.from_config(spark, {"input": "&.m.t", "schema": schema, "options": {"sequence": "seq"}, "variables": {"h": 1, "n": 1}}, catalog=catalog)
+    got = [tuple(r) for r in job.plan().orderBy("seq").collect()]
+    assert got == list(zip([r[0] for r in rows], variables(rows, 1, lambda s, r: (s * 3 + r[1]) % 101), variables(rows, 1, lambda s, r: -s if r[1] == 4 else s), strict=True))

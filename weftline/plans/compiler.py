@@ -19,7 +19,9 @@ from pyspark.sql import types as T
 from weftline.functions import call
 from weftline.functions.registry import FOLDS
 from weftline.lang.casts import cast
-from weftline.lang.values import LONG, NULL, Value, array, common, compare, literal, null, struct, truthy, widened
+from weftline.lang.values import LONG, NULL, Value, array, common, compare, is_number, literal, null, struct, truthy, widened
+from weftline.plans import scan
+from weftline.shared import shared_folder, written
 
 SEQ = "_seq"
 _REF = re.compile(r"^(\$+)(?:\.([^|]*))?(?:\|(.*))?$", re.S)
@@ -282,9 +284,8 @@ class Compiler:
             found = array([Value(F.regexp_extract(text, pattern, i), T.StringType()) for i in range(1, groups + 1)]) if groups else literal([])
             state = struct({"match": Value(F.regexp_extract(text, pattern, 0), T.StringType()), "match_groups": found, "value": v})
             return F.coalesce(F.regexp_like(text, F.lit(pattern)), F.lit(False)), branch, [*scope, state]
-        if (m := re.fullmatch(r"[\[({](.*)[\])}]", key, re.S)) is not None:
-            items = [i.strip() for i in m[1].split(",")]
-            return F.coalesce(text.isin(items), F.lit(False)), branch, [*scope, struct({"match_key": v, "match": v, "value": v})]
+        if key[:1] + key[-1:] in ("[]", "()", "{}"):
+            return self.member(key, branch, v, scope)
         tests = re.findall(r"(>=|<=|!=|==|=|>|<)\s*([^,]+)", key)
         if tests:
             cond = F.lit(True)
@@ -295,6 +296,29 @@ class Compiler:
             return cond & v.col.isNotNull(), branch, [*scope, struct({"match_key": v, "match": v, "value": v})]
         return F.coalesce(text == key, F.lit(False)), branch, [*scope, struct({"match_key": v, "match": v, "value": v})]
 
+    def member(self, key: str, branch, v: Value, scope):
+        """A JSON list ``[..]``, a list ``(..)`` whose texts may be matchers themselves, or the keys of a JSON map ``{..}``; what is no JSON holds nothing."""
+        try:
+            items = json.loads(f"[{key[1:-1]}]" if key[0] == "(" else key)
+        except ValueError:
+            items = []
+        found, text = [], cast(v, "str").col
+        for at, item in items.items() if isinstance(items, dict) else enumerate(items):
+            if key[0] == "(" and isinstance(item, str) and (item[:1] + item[-1:] in ("[]", "()", "{}") or re.fullmatch(r"/.*/[ailumsx]*", item, re.S) or item[:1] in "<>"):
+                found.append((self.matcher(item, branch, v, scope)[0], literal(None), literal(None)))
+                continue
+            value = literal(item) if not isinstance(items, dict) else literal(at)
+            same = F.lit(False) if value.type == NULL or is_number(value.type) != is_number(v.type) else text == cast(value, "str").col
+            same = v.col.cast("double") == value.col.cast("double") if is_number(value.type) and is_number(v.type) else same
+            found.append((F.coalesce(same, F.lit(False)), literal(at), literal(item)))
+        hit = F.lit(False)
+        for c, _, _ in found:
+            hit = hit | c
+        state = {"match": literal(key), "value": v}
+        if found:
+            state |= {"match_key": self.merge([(c, k) for c, k, _ in found], null()), "match_value": self.merge([(c, m) for c, _, m in found], null())}
+        return hit, branch, [*scope, struct(state)]
+
     def choose(self, head: str, x: dict, scope):
         branches = [(c, self(b, s)) for c, b, s in self.conditions(head, x, scope)]
         return self.merge(branches, self(x["#end"], scope) if "#end" in x else null())
@@ -356,22 +380,74 @@ class Compiler:
         return self.returned(self(items[3], scope), ret, scope)
 
     def do_assign(self, x: list, scope):
-        """A variable: read, or counted or summed up row by row in order of arrival."""
+        """A variable: read, or changed row by row in order of arrival.
+
+        Sums, products, extremes, new values and conditions between them are made in
+        blocks of rows at a time; any other step goes through the rows in order.
+        """
         items, ret = self.parts(x)
         name = items[1]
         start = literal(self.variables.get(name))
         if len(items) == 2:
             return self.returned(start, ret, scope)
-        calc = items[2]
-        if not (isinstance(calc, list) and len(calc) == 3 and calc[0] == "@add" and calc[1] == f"$.{name}"):
-            raise ValueError("a variable is read, counted up or summed up")
+        calc, mine = items[2], f"$.{name}"
+        free = lambda e: self(e, [*scope, Guard(F.lit(None), NULL)])
+        if isinstance(calc, list) and len(calc) == 3 and calc[0] == "@add" and calc[1] == mine and (by := self.free(calc[2], free)) is not None:
+            total = self.running(by)
+            v = Value(F.coalesce(start.col, F.lit(0)).cast(by.type) + F.coalesce(total, F.lit(0)).cast(by.type) if start.type != NULL else total, by.type)
+            return self.returned(v, ret, scope)
+        found = extreme(calc, mine, lambda e: self.free(e, free), start) or affine(calc, mine, lambda e: self.free(e, free), start)
+        v = self.composed(found, start) if found is not None else self.stepped(name, start, calc, scope)
+        return self.returned(v, ret, scope)
+
+    @staticmethod
+    def free(e, value: Callable[[object], Value]) -> Value | None:
+        """The value of an expression that does not read the variable; None if it does."""
         try:
-            by = self(calc[2], [*scope, Guard(F.lit(None), NULL)])
+            return value(e).one()
         except Accumulator:
-            raise ValueError("a variable is read, counted up or summed up") from None
-        total = self.running(by)
-        v = Value(F.coalesce(start.col, F.lit(0)).cast(by.type) + F.coalesce(total, F.lit(0)).cast(by.type) if start.type != NULL else total, by.type)
-        return self.returned(v, ret, scope)
+            return None
+
+    def place(self) -> Column:
+        """A whole number that does not fall along the order of arrival; where it has none, rows are sorted and numbered in a table of their own."""
+        kind = self.df.schema[SEQ].dataType
+        if kind == LONG:
+            return F.coalesce(F.col(SEQ), F.lit(-1))
+        if isinstance(kind, T.StructType) and kind[0].dataType == LONG:
+            return F.coalesce(F.col(f"{SEQ}.row"), F.lit(-1))
+        n = int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranged = self.df.repartitionByRange(n, SEQ).sortWithinPartitions(SEQ).withColumn("__place", F.monotonically_increasing_id())
+        self.df = written(ranged, shared_folder(self.df.sparkSession))
+        return F.col("__place")
+
+    def composed(self, found: Composed, start: Value) -> Value:
+        """A variable whose steps compose: blocks of rows are summed up as one step each."""
+        place, into = self.place(), f"__var{len(self._joined)}"
+        self.df = scan.prefixes(self.df, F.col(SEQ), place, found.one, found.kind, found.identity, found.compose, into)
+        self._joined[into] = v = Value(found.apply(F.col(into)), found.type)
+        return v
+
+    def stepped(self, name: str, start: Value, calc, scope: list[Value]) -> Value:
+        """Any other variable: all rows in order of arrival are one group of an ordered fold."""
+        kinds, into = [v.type for v in scope], f"__var{len(self._joined)}"
+        blank = [Value(F.lit(None).cast(k), k) for k in kinds]
+        out = start.type
+        for _ in range(2):
+            out = self(calc, [*blank, struct({name: Value(F.lit(None).cast(out), out)})]).one().type
+        out = common([start.type, out])
+        kind = T.StructType([T.StructField("v", out)])
+
+        def step(acc: Column, x: Column) -> Column:
+            back = [Value(x["s"][f"s{i}"], k) for i, k in enumerate(kinds)]
+            state = Value(F.when(acc.isNull(), start.col.cast(out)).otherwise(acc["v"]), out)
+            return F.struct(self(calc, [*back, struct({name: state})]).one().col.cast(out).alias("v"))
+
+        row = F.struct(F.struct(*[F.col(f"`{n}`") for n in self.df.columns]).alias("r"), struct({f"s{i}": v for i, v in enumerate(scope)}).col.alias("s"))
+        keyed = self.df.select(F.lit(0).alias(scan.KEY), F.col(SEQ), row.alias(scan.ROW))
+        made = scan.Scan(scan.each(step, kind), kind, each=True).over(keyed, [F.col(SEQ)])
+        self.df = made.select(f"{scan.ROW}.r.*", F.col(f"{scan.STATE}.v").alias(into))
+        self._joined[into] = v = Value(F.col(into), out)
+        return v
 
     def running(self, by: Value) -> Column:
         """The sum of a value over all rows up to each one, in order of arrival.
@@ -690,6 +766,94 @@ class Compiler:
         return Windowed(key, order, ordered, kind, value, step, lambda v: self.returned(v, ret, scope) if ret is not None else v)
 
 
+@dataclass
+class Composed:
+    """Steps of a variable that compose: what one row does, how two of them go together, and the value after it."""
+
+    one: Column
+    kind: T.DataType
+    identity: Column
+    compose: Callable[[Column, Column], Column]
+    apply: Callable[[Column], Column]
+    type: T.DataType
+
+
+@dataclass
+class Step:
+    """v becomes ``a * v + b``; ``known`` says whether it is a value then, null as before."""
+
+    a: Column
+    b: Column
+    known: Column
+    types: list[T.DataType]
+    factors: bool = False
+    resets: bool = False
+
+
+def extreme(calc, mine: str, free: Callable[[object], Value | None], start: Value) -> Composed | None:
+    """``["@max", v, x]`` and ``["@min", v, x]``, also under conditions that otherwise keep the value."""
+    cond = F.lit(True)
+    while isinstance(calc, list) and len(calc) == 4 and calc[0] == "#if" and mine in (calc[2], calc[3]):
+        if (test := free(calc[1])) is None:
+            return None
+        cond = cond & (truthy(test) if calc[3] == mine else ~truthy(test))
+        calc = calc[2] if calc[3] == mine else calc[3]
+    if not (isinstance(calc, list) and len(calc) == 3 and calc[0] in ("@max", "@min") and calc[1] == mine) or (x := free(calc[2])) is None or x.type == NULL:
+        return None
+    best = F.greatest if calc[0] == "@max" else F.least
+    kind = common([x.type, start.type])
+    return Composed(F.when(cond, x.col.cast(kind)), kind, F.lit(None), best, lambda made: made if start.type == NULL else best(made, start.col.cast(kind)), kind)
+
+
+def affine(calc, mine: str, free: Callable[[object], Value | None], start: Value) -> Composed | None:
+    """Sums, differences, products, new values, and conditions between such steps."""
+    one, zero, same = F.lit(1), F.lit(0), F.lit(None).cast("boolean")
+
+    def step(e) -> Step | None:
+        if e == mine:
+            return Step(one, zero, same, [])
+        if (v := free(e)) is not None:
+            return Step(zero, F.coalesce(v.col, zero), v.col.isNotNull(), [v.type], resets=v.const is None)
+        if not isinstance(e, list) or not e:
+            return None
+        if e[0] == "@neg" and len(e) == 2 and (f := step(e[1])) is not None:
+            return replace(f, a=-f.a, b=-f.b)
+        if e[0] == "#if" and len(e) == 4 and (test := free(e[1])) is not None:
+            f, g = step(e[2]), step(e[3])
+            if f is None or g is None:
+                return None
+            either = lambda x, y: F.when(truthy(test), x).otherwise(y)
+            return Step(either(f.a, g.a), either(f.b, g.b), either(f.known, g.known), f.types + g.types, f.factors or g.factors, f.resets or g.resets)
+        if len(e) != 3 or e[0] not in ("@add", "@sub", "@mul"):
+            return None
+        left, right = free(e[1]), free(e[2])
+        x, f = (right, step(e[1])) if left is None else (left, step(e[2]))
+        if x is None or f is None:
+            return None
+        known, types = F.when(x.col.isNotNull(), True).otherwise(f.known), [*f.types, x.type]
+        if e[0] == "@mul":
+            by = F.coalesce(x.col, one)
+            return Step(f.a * by, f.b * by, known, types, True, f.resets)
+        by = F.coalesce(x.col, zero)
+        if e[0] == "@add":
+            return replace(f, b=f.b + by, known=known, types=types)
+        return replace(f, b=f.b - by, known=known, types=types) if left is None else replace(f, a=-f.a, b=by - f.b, known=known, types=types)
+
+    f = step(calc)
+    if f is None:
+        return None
+    types = [t for t in [*f.types, start.type] if t != NULL]
+    kind = common(types) if types else NULL
+    if not all(is_number(t) for t in types) or kind == NULL or f.factors and (start.type == NULL or f.resets):
+        return None  # a product with null is the other factor, which is no such step
+    struct_type = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("known", T.BooleanType())])
+    made = lambda a, b, known: F.struct(a.cast(kind).alias("a"), b.cast(kind).alias("b"), known.alias("known"))
+    compose = lambda f, g: made(g["a"] * f["a"], g["a"] * f["b"] + g["b"], F.coalesce(g["known"], f["known"]))
+    first = F.coalesce(start.col.cast(kind), zero.cast(kind))
+    apply = lambda c: F.when(F.coalesce(c["known"], F.lit(start.type != NULL)), (c["a"] * first + c["b"]).cast(kind))
+    return Composed(made(f.a, f.b, f.known), struct_type, made(one, zero, same), compose, apply, kind)
+
+
 def source_filter(df: DataFrame, key: str, tests, value: Callable[[object], Value]) -> Column:
     """The filter of one ``querys`` entry on a source column; a null column never passes.
 

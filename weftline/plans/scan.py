@@ -65,6 +65,35 @@ def each(step: Callable[[Column, Column], Column], kind: T.DataType) -> Advance:
     return run
 
 
+def prefixes(df: DataFrame, order: Column, place: Column, one: Column, kind: T.DataType, identity: Column, compose: Callable[[Column, Column], Column], into: str) -> DataFrame:
+    """The rows with the composition of what all rows up to each one do, ``one`` of each, in the order of ``order``.
+
+    ``compose`` is associative.  ``place`` is a whole number that does not fall along the
+    order; its blocks of 65,536 are summed up first, blocks of these next, and only those,
+    one for each 2**32 places, meet in one array.  Then every block begins with what those before it do.
+    """
+    rows = df.select(F.shiftright(place, 16).alias("__b"), order.alias(PLACE), one.alias("__f"), F.struct(*[F.col(f"`{n}`") for n in df.columns]).alias(ROW))
+    listed = lambda t, key, *more: t.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*more))).alias(ROW + "s"))
+    step = lambda acc, x: compose(acc, x["__f"]).cast(kind)
+    start = identity.cast(kind)
+
+    def totals(blocks: DataFrame, name: str) -> DataFrame:
+        return blocks.select(F.col(name), F.aggregate(ROW + "s", start, step).alias("__f"))
+
+    def before(blocks: DataFrame, first: Column, name: str) -> DataFrame:
+        made = bound(each(step, kind)(first, F.col(ROW + "s")), lambda t: F.concat(F.array(first), t["states"]))
+        pairs = F.zip_with(ROW + "s", F.slice(made, F.lit(1), F.size(ROW + "s")), lambda x, f: F.struct(x[name].alias(name), f.alias("__before")))
+        return blocks.select(F.explode(pairs).alias("__e")).select("__e.*")
+
+    small = totals(listed(rows, ["__b"], PLACE, "__f"), "__b").withColumn("__c", F.shiftright("__b", 16))
+    large = listed(small, ["__c"], "__b", "__f")
+    top = before(listed(totals(large, "__c"), [], "__c", "__f"), start, "__c").withColumnRenamed("__before", "__first")
+    starts = before(large.join(top, "__c"), F.col("__first"), "__b")
+    whole = listed(rows, ["__b"], PLACE, "__f", ROW).join(starts, "__b")
+    made = F.zip_with(ROW + "s", each(step, kind)(F.col("__before"), F.col(ROW + "s"))["states"], lambda x, f: F.struct(x[ROW].alias("row"), f.alias("f")))
+    return whole.select(F.explode(made).alias("__e")).select("__e.row.*", F.col("__e.f").alias(into))
+
+
 @dataclass
 class Scan:
     """An ordered fold of each group: ``advance`` gives a state, or with ``row_kind`` a (state, states) of every row."""

@@ -85,7 +85,13 @@ job("if_else", "SELECT o_orderkey, CASE WHEN o_totalprice > 50000 THEN 'big' ELS
 job("case_map", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE 'other ' || o_orderstatus END AS status FROM orders", "orders", {"o_orderkey": "$.o_orderkey", "status": {"#case": "$.o_orderstatus", "F": "finished", "O": "open", "#end": ["@add", "other ", "$.o_orderstatus"]}})
 job("case_int", "SELECT n_nationkey::BIGINT AS n_nationkey, CASE n_regionkey WHEN 0 THEN 'zero' WHEN 3 THEN 'three' ELSE 'many' END AS word FROM nation", "nation", {"n_nationkey": "$.n_nationkey", "word": {"#case": "$.n_regionkey", ":0": "zero", ":3": "three", "#end": "many"}})
 job("match_regex", "SELECT o_orderkey, CASE WHEN regexp_matches(o_orderpriority, '^[12]') THEN 'high' WHEN regexp_matches(o_orderpriority, '^(\\d)-(.*)') THEN regexp_extract(o_orderpriority, '^(\\d)-(.*)', 2) ELSE '' END AS level FROM orders", "orders", {"o_orderkey": "$.o_orderkey", "level": {"#match": "$.o_orderpriority", "/[12]/": "high", "/(\\d)-(.*)/": "$.match_groups.:1", "#end": ""}})
-job("match_set", "SELECT c_custkey, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'heavy' ELSE 'light' END AS kind FROM customer", "customer", {"c_custkey": "$.c_custkey", "kind": {"#match": "$.c_mktsegment", "[BUILDING, MACHINERY]": "heavy", "#end": "light"}})
+job("match_set", "SELECT c_custkey, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'heavy' ELSE 'light' END AS kind FROM customer", "customer", {"c_custkey": "$.c_custkey", "kind": {"#match": "$.c_mktsegment", '["BUILDING", "MACHINERY"]': "heavy", "#end": "light"}})
+job(
+    "match_nested",
+    "SELECT c_custkey, CASE WHEN c_mktsegment LIKE 'A%' OR c_mktsegment LIKE 'M%' THEN 'set' WHEN c_mktsegment = 'BUILDING' THEN 'map5' ELSE 'none' END AS kind, CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 0::BIGINT WHEN 'FURNITURE' THEN 1::BIGINT END AS place FROM customer",
+    "customer",
+    {"c_custkey": "$.c_custkey", "kind": {"#match": "$.c_mktsegment", '("/A.*/", "/m/i")': "set", '{"BUILDING": 5}': ["@add", "map", "$.match_value|str"], "[BUILDING, FURNITURE]": "never", "#end": "none"}, "place": {"#match": "$.c_mktsegment", '["HOUSEHOLD", "FURNITURE"]': "$.match_key", "#end": None}},
+)
 job("match_range", "SELECT p_partkey, CASE WHEN p_size < 10 THEN 'S' WHEN p_size >= 10 AND p_size < 30 THEN 'M' ELSE 'L' END AS size FROM part WHERE p_size <> 0", "part", {"p_partkey": "$.p_partkey", "size": {"#match": "$.p_size", "<10": "S", ">=10,<30": "M", "#end": "L"}}, querys={"p_size": {"!=": 0}})
 job("make_struct_let", "SELECT c_custkey, c_name AS name, c_mktsegment AS picked, c_acctbal * 2 AS twice FROM customer", "customer", {"c_custkey": "$.c_custkey", "name": ["#make", {"n": "$.c_name", "m": "$.c_mktsegment"}, ":$.n"], "picked": ["#let", ["@add", "c_mkt", "segment"]], "twice": ["#make", {"a": "$.c_acctbal"}, [":@mul", "$.a", 2]]})
 job("call_define", "SELECT o_orderkey, o_totalprice * 0.9::DOUBLE AS net, upper(o_orderstatus) AS u FROM orders", "orders", {"o_orderkey": "$.o_orderkey", "net": ["#call", "net", "$.o_totalprice"], "u": ["#call", "up", "$.o_orderstatus"]}, defines={"net": ["@mul", "$", 0.9], "up": ["@string::upper", "$"]})
@@ -354,6 +360,28 @@ def row_generator(spark: SparkSession, sf_dir: str) -> DataFrame:
 job("assign_counter", "SELECT c_custkey, 100 + row_number() OVER (ORDER BY c_custkey) AS n FROM customer", "customer", {"c_custkey": "$.c_custkey", "n": ["#assign", "n", ["@add", "$.n", 1]]}, variables={"n": 100}, options={"sequence": "c_custkey"})
 job("assign_running", "SELECT c_custkey, CAST(sum(c_nationkey) OVER (ORDER BY c_custkey) AS BIGINT) AS s FROM customer", "customer", {"c_custkey": "$.c_custkey", "s": ["#assign", "s", ["@add", "$.s", "$$.c_nationkey"]]}, variables={"s": 0}, options={"sequence": "c_custkey"})
 
+_BY_ID = {"options": {"sequence": "c_custkey"}}
+_RUNNING = "OVER (ORDER BY c_custkey)"
+job("assign_product", f"SELECT c_custkey, CAST(CASE WHEN sum(CASE WHEN c_nationkey % 3 = 0 THEN 1 ELSE 0 END) {_RUNNING} % 2 = 0 THEN 5 ELSE -5 END AS BIGINT) AS p FROM customer", "customer", {"c_custkey": "$.c_custkey", "p": ["#assign", "p", ["@mul", "$.p", ["#if", ["@eq", ["@mod", "$$.c_nationkey", 3], 0], -1, 1]]]}, variables={"p": 5}, **_BY_ID)
+job("assign_extremes", f"SELECT c_custkey, max(c_acctbal) {_RUNNING} AS hi, min(CASE WHEN c_nationkey > 12 THEN c_acctbal END) {_RUNNING} AS lo FROM customer", "customer", {"c_custkey": "$.c_custkey", "hi": ["#assign", "hi", ["@max", "$.hi", "$$.c_acctbal"]], "lo": ["#assign", "lo", ["#if", ["@gt", "$$.c_nationkey", 12], ["@min", "$.lo", "$$.c_acctbal"], "$.lo"]]}, variables={"hi": None, "lo": None}, **_BY_ID)
+job(
+    "assign_steps",
+    """SELECT c_custkey, CAST(count(*) OVER (PARTITION BY run ORDER BY c_custkey) - 1 + CASE WHEN run = 0 THEN 101 ELSE 0 END AS BIGINT) AS since, last_value(CASE WHEN c_mktsegment = 'BUILDING' THEN c_custkey END IGNORE NULLS) OVER (ORDER BY c_custkey) AS last
+    FROM (SELECT *, count(CASE WHEN c_mktsegment = 'BUILDING' THEN 1 END) OVER (ORDER BY c_custkey) AS run FROM customer)""",
+    "customer",
+    {"c_custkey": "$.c_custkey", "since": ["#assign", "since", ["#if", ["@eq", "$$.c_mktsegment", "BUILDING"], 0, ["@add", "$.since", 1]]], "last": ["#assign", "last", ["#if", ["@eq", "$$.c_mktsegment", "BUILDING"], "$$.c_custkey", "$.last"]]},
+    variables={"since": 100, "last": None},
+    **_BY_ID,
+)
+job(
+    "assign_any_step",
+    "SELECT c_custkey, CAST(list_reduce(list_prepend(1::BIGINT, list(c_nationkey::BIGINT) OVER (ORDER BY c_custkey)), lambda acc, x: (acc * 3 + x) % 10007) AS BIGINT) AS h FROM customer",
+    "customer",
+    {"c_custkey": "$.c_custkey", "h": ["#assign", "h", ["@mod", ["@add", ["@mul", "$.h", 3], "$$.c_nationkey"], 10007]]},
+    variables={"h": 1},
+    **_BY_ID,
+)
+
 _OLD = "(SELECT o_orderkey AS id, o_totalprice AS price, o_orderstatus AS s FROM orders WHERE o_orderkey % 3 <> 0)"
 _NEW = "(SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS price, o_orderstatus AS s FROM orders WHERE o_orderkey % 5 <> 0)"
 _SINKS = {
