@@ -147,3 +147,28 @@ def test_variables_of_any_step_and_order(spark, chunk):
     job = Job.from_config(spark, {"input": "&.m.t", "schema": schema, "options": {"sequence": "seq"}, "variables": {"h": 1, "n": 1}}, catalog=catalog)
     got = [tuple(r) for r in job.plan().orderBy("seq").collect()]
     assert got == list(zip([r[0] for r in rows], variables(rows, 1, lambda s, r: (s * 3 + r[1]) % 101), variables(rows, 1, lambda s, r: -s if r[1] == 4 else s), strict=True))
+
+
+def wide_rows(rows):
+    """The rule itself: a new row where the id changes or a key comes again."""
+    out, last = [], None
+    for i, k, v in rows:
+        if not out or i != last or k in out[-1]:
+            out.append({"id": i})
+        out[-1][k], last = v, i
+    return sorted((tuple(r.get(n) for n in ("id", "A", "B", "C")) for r in out), key=str)
+
+
+@pytest.mark.parametrize("named", [True, False])
+def test_keys_out_of_turn(spark, chunk, named):
+    from weftline.operators.shape import h4v
+
+    rng = random.Random(4)
+    rows = [(1, "A", 1), (1, "B", 2), (1, "A", 3), (1, "A", 4), (1, "B", 5)]
+    for _ in range(60):
+        i = rng.choice([1, 2, None, 3])
+        rows += [(i, rng.choice("ABC"), rng.randrange(99)) for _ in range(rng.randint(1, 6))]
+    df = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "at long, id long, k string, v long").repartition(4)
+    got = h4v(df, "k", "v", *(["id"] if named else []), columns=["A", "B", "C"], order="at")
+    want = wide_rows(rows) if named else [r[1:] for r in wide_rows([(0, *r[1:]) for r in rows])]
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)

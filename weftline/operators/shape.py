@@ -6,10 +6,13 @@ from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.lang.values import is_number
+from weftline.plans import scan
+from weftline.plans.scan import numbered, prefixes
 
 TRANSFORMS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -73,19 +76,48 @@ def v2h(df: DataFrame, hkey: str, vkey: str, value: str | None = None, columns:
     return _filled(out, [c for c in out.columns if c != vkey])
 
 
+def _runs(df: DataFrame, id_col: str, place: str, into: str) -> DataFrame:
+    """Numbers the stretches of rows with the same id, along ``place``."""
+    kind = df.schema[id_col].dataType
+    end = T.StructType([T.StructField("v", kind)])  # null only where there is no row
+    run = T.StructType([T.StructField("first", end), T.StructField("last", end), T.StructField("n", T.LongType())])
+
+    def compose(f: Column, g: Column) -> Column:
+        change = F.when(f["last"]["v"].eqNullSafe(g["first"]["v"]), 0).otherwise(1)
+        both = F.struct(f["first"].alias("first"), g["last"].alias("last"), (f["n"] + g["n"] + change).cast("long").alias("n"))
+        return F.when(f.isNull(), g).when(g.isNull(), f).otherwise(both)
+
+    own = F.struct(F.col(f"`{id_col}`").alias("v"))
+    one = F.struct(own.alias("first"), own.alias("last"), F.lit(0).cast("long").alias("n"))
+    found = prefixes(df, F.col(place), F.col(place), one.cast(run), run, F.lit(None), compose, "__run")
+    return found.withColumn(into, F.col("__run.n")).drop("__run")
+
+
 @register_transform("h4v")
 def h4v(df: DataFrame, key: str, value: str, id: str | None = None, columns: list | None = None, order: str | None = None) -> DataFrame:  # noqa: A002
     """Rows of (key, value) to wide rows; a new row starts where the id changes or a key comes again.
 
-    A row's n-th coming of a key, by ``order`` or else in order of arrival, is the n-th wide
-    row of its id, which is the same where keys come in turn; no row is lost.
+    Rows go along ``order``, or as they arrive; wide rows have the id, if one is
+    named, and a column for each key.  No row is lost.
     """
-    keep = [c for c in df.columns if c not in (key, value, order)] if id is None else [id]
     df, order = _arriving(df, order)
-    df = df.withColumn("__turn", F.row_number().over(Window.partitionBy(*keep, key).orderBy(order)))
-    keep = [*keep, "__turn"]
-    pivot = df.groupBy(*keep).pivot(key, columns) if columns else df.groupBy(*keep).pivot(key)
-    return pivot.agg(F.first(value, ignorenulls=True)).drop("__turn")
+    df, place = numbered(df, F.col(order))
+    df = df.withColumn("__place", place)
+    df = _runs(df, id, "__place", scan.KEY) if id is not None else df.withColumn(scan.KEY, F.lit(0).cast("long"))
+    kept = F.struct(*[F.col(f"`{c}`") for c in dict.fromkeys([*([id] if id is not None else []), key, value])], F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("None")).alias("__k"))
+    kind = T.StructType([T.StructField("n", T.LongType()), T.StructField("seen", T.ArrayType(T.StringType()))])
+
+    def step(state: Column, row: Column) -> Column:
+        again = F.coalesce(F.array_contains(state["seen"], row["__k"]), F.lit(True))
+        n = F.coalesce(state["n"], F.lit(0)) + F.when(again, 1).otherwise(0)
+        seen = F.when(again, F.array(row["__k"])).otherwise(F.concat(state["seen"], F.array(row["__k"])))
+        return F.struct(n.cast("long").alias("n"), seen.alias("seen")).cast(kind)
+
+    made = scan.Scan(scan.each(step, kind), kind, each=True).over(df.select(scan.KEY, "__place", kept.alias(scan.ROW)), [F.col("__place")])
+    rows = made.select(F.col(scan.KEY).alias("__run"), F.col(f"{scan.STATE}.n").alias("__wide"), f"{scan.ROW}.*").drop("__k")
+    keep = ["__run", "__wide", *([id] if id is not None else [])]
+    pivot = rows.groupBy(*keep).pivot(key, columns) if columns else rows.groupBy(*keep).pivot(key)
+    return pivot.agg(F.any_value(F.col(f"`{value}`"))).drop("__run", "__wide")  # a key comes once in a wide row
 
 
 @register_transform("uniqkv")

@@ -21,7 +21,6 @@ from weftline.functions.registry import FOLDS
 from weftline.lang.casts import cast
 from weftline.lang.values import LONG, NULL, Value, array, common, compare, is_number, literal, null, struct, truthy, widened
 from weftline.plans import scan
-from weftline.shared import shared_folder, written
 
 SEQ = "_seq"
 _REF = re.compile(r"^(\$+)(?:\.([^|]*))?(?:\|(.*))?$", re.S)
@@ -408,21 +407,9 @@ class Compiler:
         except Accumulator:
             return None
 
-    def place(self) -> Column:
-        """A whole number that does not fall along the order of arrival; where it has none, rows are sorted and numbered in a table of their own."""
-        kind = self.df.schema[SEQ].dataType
-        if kind == LONG:
-            return F.coalesce(F.col(SEQ), F.lit(-1))
-        if isinstance(kind, T.StructType) and kind[0].dataType == LONG:
-            return F.coalesce(F.col(f"{SEQ}.row"), F.lit(-1))
-        n = int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ranged = self.df.repartitionByRange(n, SEQ).sortWithinPartitions(SEQ).withColumn("__place", F.monotonically_increasing_id())
-        self.df = written(ranged, shared_folder(self.df.sparkSession))
-        return F.col("__place")
-
     def composed(self, found: Composed, start: Value) -> Value:
         """A variable whose steps compose: blocks of rows are summed up as one step each."""
-        place, into = self.place(), f"__var{len(self._joined)}"
+        (self.df, place), into = scan.numbered(self.df, F.col(SEQ)), f"__var{len(self._joined)}"
         self.df = scan.prefixes(self.df, F.col(SEQ), place, found.one, found.kind, found.identity, found.compose, into)
         self._joined[into] = v = Value(found.apply(F.col(into)), found.type)
         return v

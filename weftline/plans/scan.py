@@ -65,6 +65,18 @@ def each(step: Callable[[Column, Column], Column], kind: T.DataType) -> Advance:
     return run
 
 
+def numbered(df: DataFrame, order: Column) -> tuple[DataFrame, Column]:
+    """The rows and a whole number that does not fall along ``order``; where that is none itself, rows are sorted and numbered in a table of their own."""
+    kind = df.select(order.alias("o")).schema["o"].dataType
+    if kind == T.LongType():
+        return df, F.coalesce(order, F.lit(-1))
+    if isinstance(kind, T.StructType) and kind[0].dataType == T.LongType():
+        return df, F.coalesce(order[kind[0].name], F.lit(-1))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("__place", F.monotonically_increasing_id())
+    return written(ranged, shared_folder(df.sparkSession)), F.col("__place")
+
+
 def prefixes(df: DataFrame, order: Column, place: Column, one: Column, kind: T.DataType, identity: Column, compose: Callable[[Column, Column], Column], into: str) -> DataFrame:
     """The rows with the composition of what all rows up to each one do, ``one`` of each, in the order of ``order``.
 

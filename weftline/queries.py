@@ -251,8 +251,9 @@ _shape("pivot_h4v", "SELECT id, max(CASE WHEN k = 'a' THEN v END) AS a, max(CASE
 def pivot_h4v(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalog = Catalog(spark)
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    catalog.put("m.kv", orders.groupBy(F.col("o_custkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, "a").otherwise("b").alias("k")).agg(F.max("o_orderkey").alias("v")))
-    return plan(spark, sf_dir, {"input": "&.m.kv", "schema": "$.*", "pipelines": [[">@transform::h4v", "$.*", "k", "v", "id"]]}, catalog)
+    kv = orders.groupBy(F.col("o_custkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, "a").otherwise("b").alias("k")).agg(F.max("o_orderkey").alias("v"))
+    catalog.put("m.kv", kv.withColumn("at", F.concat_ws("/", F.lpad(F.col("id").cast("string"), 12, "0"), "k")))
+    return plan(spark, sf_dir, {"input": "&.m.kv", "schema": "$.*", "pipelines": [[">@transform::h4v", "$.*", "k", "v", "id", None, "at"]]}, catalog)
 
 
 _shape("pivot_uniqkv", "SELECT o_custkey, arg_min(o_orderpriority, o_orderkey) AS o_orderpriority, min(o_orderkey) AS o_orderkey, " + ", ".join(f"coalesce(sum(CASE WHEN o_orderstatus = '{s}' THEN 1 END), 0)::BIGINT AS {s}" for s in _STATUS) + " FROM orders GROUP BY 1", "orders", [[">@transform::uniqkv", "$.*", "o_custkey", "o_orderstatus", "one", "o_orderkey"]], ["o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus", "1L AS one"])
@@ -532,12 +533,18 @@ def literal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Job.from_config(spark, {"input": [{"a": 1, "b": "x"}, {"a": 5}, {"a": -3}], "querys": {"a": {">": 0}}, "schema": {"a": "$.a", "b": "$.b"}}).plan()
 
 
-@query("pivot_h4v_repeats", "SELECT id, f, o FROM (SELECT o_custkey AS id, turn, max(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) AS f, max(CASE WHEN o_orderstatus = 'O' THEN o_orderkey END) AS o FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS turn FROM orders WHERE o_orderstatus IN ('F', 'O')) GROUP BY ALL)")
+@query(
+    "pivot_h4v_repeats",
+    """WITH RECURSIVE t AS (SELECT o_custkey AS id, o_orderkey AS v, o_orderstatus AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders WHERE o_orderstatus IN ('F', 'O')),
+    w AS (SELECT id, i, v, k, 1 AS n, [k] AS seen FROM t WHERE i = 1
+      UNION ALL SELECT t.id, t.i, t.v, t.k, w.n + CASE WHEN list_contains(w.seen, t.k) THEN 1 ELSE 0 END, CASE WHEN list_contains(w.seen, t.k) THEN [t.k] ELSE list_append(w.seen, t.k) END FROM w JOIN t ON t.id = w.id AND t.i = w.i + 1)
+    SELECT id, max(CASE WHEN k = 'F' THEN v END) AS f, max(CASE WHEN k = 'O' THEN v END) AS o FROM w GROUP BY id, n""",
+)
 def pivot_h4v_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.operators.shape import h4v
 
     long = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus IN ('F', 'O')").select(F.col("o_custkey").alias("id"), "o_orderstatus", "o_orderkey")
-    wide = h4v(long.withColumn("at", F.col("o_orderkey")), "o_orderstatus", "o_orderkey", "id", columns=["F", "O"], order="at")
+    wide = h4v(long.withColumn("at", F.col("id") * 10_000_000_000 + F.col("o_orderkey")), "o_orderstatus", "o_orderkey", "id", columns=["F", "O"], order="at")
     return wide.select("id", F.col("F").alias("f"), F.col("O").alias("o"))
 
 
