@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from weftline import config as configs
@@ -88,32 +90,87 @@ class Job:
                 self._known |= {r["key"]: r["value"] for r in table.collect()}  # a job's own few counters
         return self._known
 
-    def _keep_states(self, df: DataFrame) -> None:
+    def _keep_states(self, last: list | None) -> None:
         """The run's counters, and how far its cursor came, into the state tables."""
         if not self.config.get("states"):
             return
         kept = {k: v for k, v in self.status.items() if isinstance(v, (int, str))}
-        if (cursor := self.config.get("cursor")) is not None and (far := df.agg(F.max(cursor).cast("string")).first()[0]) is not None:
-            kept["@cursor"] = far
+        if last is not None:
+            kept["@cursor"] = last[0] if len(last) == 1 else json.dumps(last)
         rows = self.spark.createDataFrame(sorted((k, str(v)) for k, v in kept.items()), "key string, value string")
         for ref in self.config["states"]:
             write(self.catalog, parse_table(ref)[0], rows, "upsert", ["key"], [], lambda d: F.lit(True))
         self._known = None
 
+    def cursor(self) -> list[tuple[str, str, bool]]:
+        """(output field, source column, falling) of the cursor, most significant first: its own fields, then the output's keys that tell ties apart."""
+        given, schema = self.config.get("cursor"), self.config.get("schema", "$.*")
+        if given is None:
+            return []
+        orders = [(o if isinstance(o, list) else [o, False]) for o in self.config.get("orders", [])]
+        falling = {n.removeprefix("$."): bool(down) for n, down in orders}
+        keys = parse_table(self.config["output"])[1] if "output" in self.config else []
+        out = []
+        for name in dict.fromkeys([*([given] if isinstance(given, str) else given), *keys]):
+            x = schema.get(name) if isinstance(schema, dict) else f"$.{name}"
+            if not isinstance(x, str) or not x.startswith("$."):
+                if name in keys and name != given:
+                    continue  # a computed key cannot be looked for in the source
+                raise ValueError(f"the cursor {name!r} is no source column")
+            out.append((name, x.removeprefix("$."), falling.get(name, out[0][2] if out else False)))
+        return out
+
+    def _last(self) -> list | None:
+        """Where the last run ended, as texts; None if there was none, or it is not to go on."""
+        if not self.cursor() or not self.arguments.get("@recovery") or "@cursor" not in self.states():
+            return None
+        kept = self.states()["@cursor"]
+        return json.loads(kept) if len(self.cursor()) > 1 and kept.startswith("[") else [kept]
+
     def _after_cursor(self, df: DataFrame) -> DataFrame:
-        """With ``@recovery``, the rows past the one that the last run came to.
+        """With ``@recovery``, the rows past the one that the last run came to, by all fields of the cursor in turn.
 
-        ``cursor`` names an output field that is a bare source column; an ordered and
-        limited job thereby goes through its input page by page without offsets.
+        Its fields are bare source columns; a limited job thereby goes through its
+        input page by page without offsets, and rows that tie in one field are told apart by the next.
+        Null stands before every value, as in the orders of a job; behind, where the field falls.
         """
-        cursor, schema = self.config.get("cursor"), self.config.get("schema", "$.*")
-        if cursor is None or not self.arguments.get("@recovery") or "@cursor" not in self.states():
+        last = self._last()
+        if last is None:
             return df
-        x = schema.get(cursor) if isinstance(schema, dict) else f"$.{cursor}"
-        name = x.removeprefix("$.") if isinstance(x, str) else None
-        if name not in df.columns:
-            raise ValueError(f"the cursor {cursor!r} is no source column")
-        return df.where(F.col(f"`{name}`") > F.lit(self.states()["@cursor"]).cast(df.schema[name].dataType))
+        past, same = F.lit(False), F.lit(True)
+        for (_, name, down), value in zip(self.cursor(), last, strict=False):
+            if name not in df.columns:
+                raise ValueError(f"the cursor {name!r} is no source column")
+            col, at = F.col(f"`{name}`"), F.lit(value).cast(df.schema[name].dataType)
+            if down:
+                further = F.lit(False) if value is None else (col < at) | col.isNull()
+            else:
+                further = col.isNotNull() if value is None else col > at
+            past = past | (same & further)
+            same = same & col.eqNullSafe(at)
+        _, first, down = self.cursor()[0]
+        if last[0] is not None and not down:  # the files and databases can use this one
+            df = df.where(F.col(f"`{first}`") >= F.lit(last[0]).cast(df.schema[first].dataType))
+        return df.where(past)
+
+    def _watched(self, df: DataFrame) -> tuple[DataFrame, Callable[[], list | None]]:
+        """The rows, and what tells the last of them by the cursor once they are written."""
+        found = self.cursor()
+        if not found or not self.config.get("states"):
+            return df, lambda: None
+        if len({down for _, _, down in found}) > 1:
+            raise ValueError("the fields of a cursor all rise or all fall")
+        seen = Observation(f"cursor{uuid.uuid4().hex[:8]}")
+        # null stands before every value, falling or not
+        row = F.struct(*[F.struct(F.col(f"`{n}`").isNotNull().alias("k"), F.col(f"`{n}`").alias("v")).alias(f"c{i}") for i, (n, _, _) in enumerate(found)])
+        best = (F.min if found[0][2] else F.max)(row)
+        df = df.observe(seen, F.count(F.lit(1)).alias("rows"), *[best[f"c{i}"]["v"].cast("string").alias(f"c{i}") for i in range(len(found))])
+
+        def last() -> list | None:
+            got = seen.get
+            return [got[f"c{i}"] for i in range(len(found))] if got["rows"] else None
+
+        return df, last
 
     def source(self) -> DataFrame:
         """The input with its source filters; the catalogue may bind some of them as view arguments."""
@@ -231,9 +288,14 @@ class Job:
             keep = truthy(compiler(self.config["intercept"], [compiler.root()]))
             df = compiler.df.where(keep).select(*[F.col(f"`{n}`") for n in df.columns])
         orders = [(o if isinstance(o, list) else [o, False]) for o in self.config.get("orders", [])]
+        if not orders and self.arguments.get("@limit", self.config.get("limit")):
+            orders = [[n, down] for n, _, down in self.cursor()]
         keys = [(F.desc_nulls_last if down else F.asc_nulls_first)(n.removeprefix("$.")) for n, down in orders if n.removeprefix("$.") in df.columns]
         if keys:
             named = {n.removeprefix("$.") for n, _ in orders}
+            ties = [(n, down) for n, _, down in self.cursor() if n not in named and n in df.columns]
+            keys += [(F.desc_nulls_last if down else F.asc_nulls_first)(n) for n, down in ties]
+            named |= {n for n, _ in ties}
             if self.arguments.get("@primary_order", True) and "output" in self.config:
                 keys += [F.asc_nulls_first(k) for k in parse_table(self.config["output"])[1] if k in df.columns and k not in named]
             df = df.orderBy(*keys)
@@ -245,14 +307,23 @@ class Job:
             df = df.limit(int(limit))
         return df.drop(*[n for n in df.columns if n.startswith("__") and n.endswith("__")])
 
-    def run(self, source: DataFrame | None = None) -> dict[str, Any]:
-        """Write the rows to the output; gives what the run did."""
+    def run(self, source: DataFrame | None = None, batch: str | None = None) -> dict[str, Any]:
+        """Write the rows to the output; gives what the run did.
+
+        A ``batch`` that has a name is appended to files once: a run that repeats it finds its mark
+        and writes nothing.  Jobs that go on behind a cursor name each page by where it begins.
+        """
         df = self._steps("outputed", self.plan(source))
         name, keys, mode = parse_table(self.config["output"])
         neutral = [n.rstrip("?") for n in (self.config["schema"] if isinstance(self.config.get("schema"), dict) else {}) if n.endswith("?")]
         scope = self._scope()
-        self.status = write(self.catalog, name, df, MODES.get(mode or "UDI", mode or "sync"), keys, neutral, scope)
-        self._keep_states(df)
+        paged = batch is None
+        if paged and self.cursor() and self.arguments.get("@recovery") and self.config.get("states"):
+            batch = "page-" + hashlib.sha1(json.dumps([self.config.get("name"), self.config["input"], self._last()]).encode()).hexdigest()
+        watched, last = self._watched(df)
+        self.status = write(self.catalog, name, watched, MODES.get(mode or "UDI", mode or "sync"), keys, neutral, scope, batch=batch, note=last, empty=paged)
+        at = self.status.pop("note", None)
+        self._keep_states(at)
         self._steps("finaled", df)
         return self.status
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftline.config import merged
 from weftline.operators.asof import asof_join
 from weftline.plans.job import Job
+from weftline.shared import shared_folder
 from weftline.sinks import apply_mode
 from weftline.sources import Catalog
 
@@ -261,6 +262,20 @@ job("sort_multi_limit", "SELECT o_orderkey, o_totalprice, o_orderstatus FROM ord
 job("cursor_page", "SELECT c_custkey, c_name FROM customer WHERE c_custkey > 40 ORDER BY c_custkey LIMIT 20 OFFSET 10", "customer", {"c_custkey": "$.c_custkey", "c_name": "$.c_name"}, querys={"c_custkey": {">": 40}}, orders=[["$.c_custkey", False]], offset=10, limit=20)
 
 
+@query("cursor_ties", "SELECT n_regionkey::BIGINT AS region, n_nationkey::BIGINT AS nation, n_name FROM nation")
+def cursor_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of seven nations behind a cursor that ties within each region, until one is empty."""
+    databases = [{"name": "t", "driver": "parquet", "path": sf_dir}, {"name": "f", "driver": "parquet", "path": shared_folder(spark)}]
+    schema = {"region": "$.n_regionkey", "nation": "$.n_nationkey", "n_name": "$.n_name"}
+    config = {"databases": databases, "input": "&.t.nation", "output": "&.f.pages::nation use I", "schema": schema, "cursor": "region", "states": ["&.f.state"]}
+    seen, before = -1, -2
+    while seen != before:
+        page = Job.from_config(spark, config, {"@limit": 7, "@recovery": True})
+        page.run()
+        before, seen = seen, page.catalog.read("f.pages").count()
+    return page.catalog.read("f.pages")
+
+
 @query("union_tasks", "SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region")
 def union_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.plans.job import run_all
@@ -420,7 +435,7 @@ def stream_batch_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     catalog = Catalog(spark)
     schema = {"event_type": "$.event_type", "n": ["#aggregate", "$.event_type", ["@add", "$.n", 1]], "s": ["#aggregate", "$.event_type", ["@add", "$.s", "$$.value"]]}
-    work = _work_folder(spark)
+    work = shared_folder(spark)
     catalog.add({"name": "f", "driver": "parquet", "path": work})
     batch = Job.from_config(spark, {"input": "&.f.unused", "output": "&.f.parts use I", "schema": schema}, catalog=catalog)
     run_stream(batch, _streamed(spark, sf_dir), f"{work}/checkpoint").awaitTermination()
@@ -431,7 +446,7 @@ def stream_batch_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.streaming import tumbling
 
-    work = _work_folder(spark)
+    work = shared_folder(spark)
     out = tumbling(_streamed(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), "ts", "6 hours", ["event_type"], {"n": F.count(F.lit(1))}, late="400 days")
     # the table of all windows so far, written by the executors after each batch
     put = lambda batch, _: batch.write.mode("overwrite").parquet(f"{work}/windows")
@@ -439,18 +454,6 @@ def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{work}/windows").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-def _work_folder(spark: SparkSession) -> str:
-    import tempfile
-    import uuid
-
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if top is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        top = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 @query("udf_import", "SELECT p_partkey, CAST(p_size * 2 + 1 AS BIGINT) AS x FROM part")
 def udf_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     import pandas as pd
@@ -648,7 +651,7 @@ job(
 
 def _round_trip(spark: SparkSession, sf_dir: str, driver: str, **more) -> DataFrame:
     """Nations written by a job in one format and read by another job from it."""
-    databases = [{"name": "t", "driver": "parquet", "path": sf_dir}, {"name": "f", "driver": driver, "path": _work_folder(spark)} | more]
+    databases = [{"name": "t", "driver": "parquet", "path": sf_dir}, {"name": "f", "driver": driver, "path": shared_folder(spark)} | more]
     schema = {"n_nationkey": "$.n_nationkey", "n_name": "$.n_name"}
     Job.from_config(spark, {"databases": databases, "input": "&.t.nation", "output": "&.f.nation use I", "schema": schema}).run()
     return Job.from_config(spark, {"databases": databases, "input": "&.f.nation", "schema": {"n_nationkey": "$.n_nationkey|int", "n_name": "$.n_name"}}).plan()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 from typing import Any
@@ -35,17 +36,63 @@ def _save(df: DataFrame, driver: str, path: str, options: dict, mode: str) -> No
         writer.format(driver).save(path)
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and what makes its path objects."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _moved(fs, source, target) -> None:
+    if not fs.rename(source, target):  # a file system tells a failure by false
+        raise OSError(f"{source} could not be renamed to {target}")
+
+
 def _swap(spark: SparkSession, df: DataFrame, driver: str, path: str, options: dict) -> None:
-    """The new table is written whole beside the old one and takes its place by renaming; a failed job leaves the old one."""
-    jvm = spark.sparkContext._jvm
+    """The new table is written whole beside the old one and takes its place by renaming; a failure leaves the old one, or puts it back."""
     staged, old = (f"{path.rstrip('/')}.{x}-{uuid.uuid4().hex[:8]}" for x in ("new", "old"))
     _save(df, driver, staged, options, "error")
-    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(at(path)):
-        fs.rename(at(path), at(old))
-    fs.rename(at(staged), at(path))
-    fs.delete(at(old), True)
+    fs, at = _files(spark, path)
+    had = fs.exists(at(path))
+    if had:
+        _moved(fs, at(path), at(old))
+    try:
+        _moved(fs, at(staged), at(path))
+    except BaseException:
+        if had:
+            _moved(fs, at(old), at(path))
+        raise
+    if had:
+        fs.delete(at(old), True)
+
+
+def _append_once(spark: SparkSession, df: DataFrame, driver: str, path: str, options: dict, batch: str, note: Callable[[], Any], empty: bool) -> tuple[bool, Any]:
+    """Appends the rows of a named batch, unless its mark tells that it has been; gives whether, and what was noted with it.
+
+    The batch is written beside the table; its files, named after it, are moved in; then the mark is made,
+    with a note.  A run that was stopped in between leaves files of that name, which go before the batch is written again.
+    Where ``empty`` batches may fill later, one without a note gets no mark.
+    """
+    fs, at = _files(spark, path)
+    folder, mark = at(path), at(f"{path}/_batches/{batch}")
+    if fs.exists(mark):
+        return False, json.loads(spark.read.text(mark.toString()).first()[0])
+    begun = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith(f"{batch}-")] if fs.exists(folder) else []
+    for file in begun:
+        fs.delete(file, False)
+    staged = at(f"{path}/_staged-{batch}")
+    fs.delete(staged, True)
+    _save(df, driver, staged.toString(), options, "error")
+    for file in [f.getPath() for f in fs.listStatus(staged)]:
+        if not file.getName().startswith(("_", ".")):
+            _moved(fs, file, at(f"{path}/{batch}-{file.getName()}"))
+    noted = note()
+    if noted is not None or not empty:
+        out = fs.create(at(f"{path}/_batches/.{batch}"), True)
+        out.write(bytearray(json.dumps(noted).encode()))
+        out.close()
+        _moved(fs, at(f"{path}/_batches/.{batch}"), mark)
+    fs.delete(staged, True)
+    return True, noted
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -53,8 +100,23 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def write(catalog, name: str, df: DataFrame, mode: str, keys: list[str], neutral: list[str], scope: Callable[[DataFrame], Column]) -> dict[str, Any]:
-    """Write and tell how many rows were inserted and updated, where the sink can tell."""
+def write(catalog, name: str, df: DataFrame, mode: str, keys: list[str], neutral: list[str], scope: Callable[[DataFrame], Column], batch: str | None = None, note: Callable[[], Any] = lambda: None, empty: bool = False) -> dict[str, Any]:
+    """Write and tell how many rows were inserted and updated, where the sink can tell.
+
+    ``note`` is asked after the rows are written; what it gives comes back as ``note``.
+    A named ``batch`` is appended to files no more than once.
+    """
+    spark = catalog.spark
+    driver = catalog.databases.get(name.partition(".")[0], {}).get("driver")
+    if batch is not None and mode == "insert" and driver in FORMATS:
+        options = catalog.databases[name.partition(".")[0]]
+        done, noted = _append_once(spark, df, driver, _path(options, name.partition(".")[2], FORMATS[driver]), options, batch, note, empty)
+        return {"mode": mode, "note": noted} | ({} if done else {"repeated": 1})
+    status = _write(catalog, name, df, mode, keys, neutral, scope)
+    return status | {"note": note()}
+
+
+def _write(catalog, name: str, df: DataFrame, mode: str, keys: list[str], neutral: list[str], scope: Callable[[DataFrame], Column]) -> dict[str, Any]:
     spark = catalog.spark
     db, _, table = name.partition(".")
     if table.startswith("--"):  # a sink that keeps nothing

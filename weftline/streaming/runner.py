@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -18,11 +19,12 @@ def run_stream(job: Job, stream: DataFrame, checkpoint: str, period: str | None
     that is there is processed and the stream ends; with one it is polled until
     the query is stopped.  Offsets lie in the checkpoint, so a stream that is
     started again goes on where it was; a batch that is repeated after a failure
-    gives the same rows, and any mode but insert writes them once.
+    gives the same rows and is written once: inserts into files carry the batch's name.
     """
+    stream_name = hashlib.sha1(checkpoint.rstrip("/").encode()).hexdigest()[:12]
 
     def one(batch: DataFrame, number: int) -> None:
-        status = job.run(batch)
+        status = job.run(batch, batch=f"{stream_name}-{number}")
         if state is not None:
             state.put({"batch": number} | {k: v for k, v in status.items() if isinstance(v, (int, str))})
 
