@@ -6,7 +6,9 @@ import re
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,15 @@ def chunks(text: str) -> list[str]:
     return text.split()
 
 
+def ascii_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """What stands between the ASCII white space of all texts, one after the other, and where each text's begins; the last place is the end."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    flat, offsets = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    before = np.concatenate([[0], np.cumsum(full)])
+    return flat.filter(pa.array(full)), before[offsets]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -20,12 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from weftline.llm.common import chunks, shared_folder
+from weftline.llm.common import ascii_words, shared_folder
 
 MAGIC = b"DAC1"
 RANK_BITS = 512
@@ -105,54 +107,79 @@ class Codes:
         return above
 
 
+def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``flat`` numbered by ``at``, one after the other, and where each ends."""
+    counts = sizes[at]
+    ends = np.cumsum(counts)
+    places = np.repeat(starts[at] - (ends - counts), counts)
+    places += np.arange(len(places))
+    return flat[places], ends
+
+
 class LibraryEncoder:
     """Whole texts through the tokenizers library, each distinct word once.
 
-    Words never reach across white space, so a text's ids are those of its
-    white-space separated chunks in order.  A chunk of plain Latin letters, digits
-    and punctuation is cut further where the tokenizer cuts it.  New pieces of a
-    batch go through the library together, with a special token between them to
-    part the result.
+    Words never reach across white space, so a text's ids are those of its chunks
+    between ASCII white space, in order.  A chunk of plain Latin letters, digits
+    and punctuation is cut further where the tokenizer cuts it.  A batch has each of its
+    different chunks, and of these each different piece, once in Arrow's dictionaries; pieces that are new go
+    through the library together, with a special token between them to part the result.
     """
 
-    CHUNKS, PIECES, CHARS = 250_000, 400_000, 48
-    _PLAIN = re.compile(r"[A-Za-z0-9À-ÖØ-öø-ÿ!-&(-;=-@\[-`{-~]+")
-    _PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:;=-@\[-`{-~]+")
+    PIECES, CHARS = 400_000, 48
+    _PLAIN = r"^[A-Za-z0-9À-ÖØ-öø-ÿ!-&(-;=-@\[-`{-~]+$"
+    _PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:;=-@\[-`{-~]+|\n")
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         special = {i: t.content for i, t in self.library.get_added_tokens_decoder().items()}
         self.mark_id, self.mark = next(iter(special.items()))
-        self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """For each text, its ids as little-endian unsigned 32-bit integers."""
-        split = [chunks(t) for t in texts]
-        every = set().union(*split)
-        fresh = every.difference(self.known)
-        held = every - fresh
-        table = dict(zip(held, map(self.known.__getitem__, held), strict=True))  # of this batch: small, and looked into once for each chunk
-        cut = {c: self._PIECES.findall(c.lower()) if self._PLAIN.fullmatch(c) else [c] for c in fresh}
-        parts = set().union(*cut.values())
-        new = parts.difference(self.pieces)
-        made = dict(zip(old := parts - new, map(self.pieces.__getitem__, old), strict=True))
-        through = self._through(list(new))
-        made |= through
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each has."""
+        words, offsets = ascii_words(texts)
+        if not len(words):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        coded = pc.dictionary_encode(words)
+        ids, ends = _gathered(*self._chunks(coded.dictionary), coded.indices.to_numpy())
+        return ids, np.diff(np.concatenate([[0], ends])[offsets])
+
+    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of different chunks: all of them, where each chunk's begin, and how many they are."""
+        is_plain = pc.match_substring_regex(chunks, self._PLAIN)
+        plain, other = chunks.filter(is_plain), chunks.filter(pc.invert(is_plain))
+        lines = pc.binary_join(pa.LargeListArray.from_arrays([0, len(plain)], plain), pa.scalar("\n", pa.large_string()))[0].as_py()
+        parts = self._PIECES.findall(lines.lower())
+        cut = pa.array(parts, pa.large_string())
+        line = pc.equal(cut, "\n").to_numpy(zero_copy_only=False)
+        owner = np.concatenate([np.cumsum(line)[~line], np.arange(len(other)) + len(plain)])
+        coded = pc.dictionary_encode(pa.concat_arrays([cut.filter(pa.array(~line)), other.cast(pa.large_string())]))
+        made = self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        at = coded.indices.to_numpy()
+        flat, _ = _gathered(np.frombuffer(b"".join(made), "<u4"), np.cumsum(sizes) - sizes, sizes, at)
+        counts = np.bincount(owner, sizes[at], len(chunks)).astype(np.int64)
+        order = np.argsort(~is_plain.to_numpy(zero_copy_only=False), kind="stable")  # plain chunks first, as they were cut
+        starts, own = np.empty(len(chunks), np.int64), np.empty(len(chunks), np.int64)
+        starts[order], own[order] = np.cumsum(counts) - counts, counts
+        return flat, starts, own
+
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        """Each piece's ids as bytes; those that are short are remembered."""
+        made = list(map(self.pieces.get, parts))
+        through = self._through([p for p, ids in zip(parts, made, strict=True) if ids is None])
         if len(self.pieces) < self.PIECES:
             self.pieces |= {p: ids for p, ids in through.items() if len(p) <= self.CHARS}
-        own = {c: b"".join(map(made.__getitem__, ps)) for c, ps in cut.items()}
-        table |= own
-        if len(self.known) < self.CHUNKS:
-            self.known |= {c: ids for c, ids in own.items() if len(c) <= self.CHARS}
-        return [b"".join(map(table.__getitem__, cs)) for cs in split]
+        return [through[p] if ids is None else ids for p, ids in zip(parts, made, strict=True)]
 
     def _through(self, fresh: list[str]) -> dict[str, bytes]:
         plain = [c for c in fresh if "<|" not in c]
         made = {c: np.array(self.library.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in fresh if "<|" in c}
         for at in range(0, len(plain), 2000):
             part = plain[at : at + 2000]
-            ids = np.array(self.library.encode(self.mark.join(part), add_special_tokens=False).ids, "<u4")
+            (joined,) = self.library.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)
+            ids = np.array(joined.ids, "<u4")
             ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
             start = 0
             for c, end in zip(part, ends, strict=True):
@@ -171,7 +198,8 @@ def _encoder(path: str) -> LibraryEncoder:
 
 
 #: Texts whose words are looked up together.
-BATCH = 2048
+BATCH = 4096
+STARTS = "part long, segment long, n_tokens long, start long"
 SEGMENT = "part long, segment long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, codes binary"
 
 
@@ -184,49 +212,59 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str
     one document longer than ``segment_tokens``.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(id_col).cast("long").cast("string").alias("name"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange(n, "id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = _encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(tokenizer)
         part, segment = TaskContext.get().partitionId(), 0
-        ids: list = []
+        ids: list[int | None] = []
         counts: list[int] = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
 
-        def close() -> pd.DataFrame:
-            data = np.frombuffer(b"".join(held), "<u4")
-            return pd.DataFrame({"part": [part], "segment": [segment], "n_tokens": [len(data)], "doc_ids": [list(ids)], "doc_tokens": [list(counts)], "codes": [pack(data)]})
+        def close() -> pa.RecordBatch:
+            data = np.concatenate(held)
+            row = {"part": part, "segment": segment, "n_tokens": len(data), "doc_ids": ids, "doc_tokens": counts, "codes": pack(data)}
+            return pa.RecordBatch.from_pylist([row], schema)
 
         size = 0
-        for frame in frames:
-            for at in range(0, len(frame), BATCH):
-                piece = frame.iloc[at : at + BATCH]
-                for i, codes in zip(piece["name"], encoder.encode(piece["text"].tolist()), strict=True):
-                    ids.append(None if pd.isna(i) else int(i))  # as text: next to a null, pandas has integers as doubles
-                    counts.append(len(codes) // 4 + 1)
-                    held += [codes, end]
-                    size += counts[-1]
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                piece = batch.slice(at, BATCH)
+                tokens, n = encoder.encode(piece.column(1))
+                start = 0
+                for i, count in zip(piece.column(0).to_pylist(), n.tolist(), strict=True):
+                    ids.append(i)
+                    counts.append(count + 1)
+                    held += [tokens[start : start + count], end]
+                    start += count
+                    size += count + 1
                     if size >= segment_tokens:
                         yield close()
                         ids, counts, held, size, segment = [], [], [], 0, segment + 1
         if ids:
             yield close()
 
-    ordered.select("name", "text").mapInPandas(run, SEGMENT).write.parquet(path)
+    end = np.array([end_id], np.uint32)
+    schema = pa.schema([("part", pa.int64()), ("segment", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("codes", pa.binary())])
+    ordered.select("id", "text").mapInArrow(run, SEGMENT).write.parquet(path)
+    _starts(df.sparkSession, path).write.parquet(f"{path}.starts")
 
 
-def read(spark, path: str) -> DataFrame:
-    """The dataset's segments, each with ``start``: how many ids come before it.
+def _starts(spark, path: str) -> DataFrame:
+    """(part, segment, n_tokens, start) of each segment, in order; sums by part need one row for each written file."""
+    own = spark.read.schema(SEGMENT).parquet(path).select("part", "segment", "n_tokens")
+    parts = own.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "before")
+    inside = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("segment")) - F.col("n_tokens")
+    starts = own.withColumn("inside", inside).join(parts, "part").select("part", "segment", "n_tokens", (F.col("before") + F.col("inside")).alias("start"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return starts.repartitionByRange(n, "start").sortWithinPartitions("start")
 
-    Sums by part need one row for each written file; segments are summed within
-    their part.
-    """
-    segments = spark.read.schema(SEGMENT).parquet(path)
-    parts = segments.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "before")
-    own = segments.select("part", "segment", "n_tokens").withColumn("inside", F.sum("n_tokens").over(Window.partitionBy("part").orderBy("segment")) - F.col("n_tokens"))
-    starts = own.join(parts, "part").select("part", "segment", (F.col("before") + F.col("inside")).alias("start"))
-    return segments.join(starts, ["part", "segment"])
+
+def read(spark, path: str) -> DataFrame:
+    """The dataset's segments, each with ``start``: how many ids come before it, from the table that was written with them."""
+    starts = spark.read.schema(STARTS).parquet(f"{path}.starts").select("part", "segment", "start")
+    return spark.read.schema(SEGMENT).parquet(path).join(starts, ["part", "segment"])
 
 
 def documents(spark, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -252,17 +290,19 @@ def documents(spark, path: str, id_col: str = "doc_id") -> DataFrame:
 
 
 def token_at(spark, path: str, position: int) -> int | None:
-    """The id at one place of the whole dataset; only its segment's codes are read into a task."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for _, s in frame.iterrows():
-                yield pd.DataFrame({"id": [Codes(s["codes"])[position - s["start"]]]})
-
-    at = F.lit(position)
-    found = read(spark, path).where((F.col("start") <= at) & (at < F.col("start") + F.col("n_tokens")))
-    rows = found.select("start", "codes").mapInPandas(run, "id long").head(1)
-    return rows[0][0] if rows else None
+    """The id at one place of the whole dataset: one row of the table of starts, then that segment's row alone, both found by filters that reach the files."""
+    starts = spark.read.schema(STARTS).parquet(f"{path}.starts")
+    at = starts.where((F.col("start") <= position) & (F.col("start") + F.col("n_tokens") > position)).head(1)
+    if not at:
+        return None
+    part, segment, _, start = at[0]
+    codes = spark.read.schema(SEGMENT).parquet(path).where((F.col("part") == part) & (F.col("segment") == segment)).select("codes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([Codes(c.as_py())[position - start] for c in batch.column(0)], pa.int64())], names=["id"])
+
+    return codes.mapInArrow(run, "id long").first()[0]
 
 
 def round_trip(df: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import fresh
+from weftline.llm.common import ascii_words, fresh
 
 #: About so many bytes of text are worked on at a time.
 PART = 4 << 20
@@ -189,17 +189,8 @@ def stretches(codes: np.ndarray, group: np.ndarray, least: int = 12) -> list[tup
 # --- texts -----------------------------------------------------------------------------------------------
 
 
-def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The words of all texts one after the other, and where each text's begin; the last place is the end."""
-    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
-    flat, offsets = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
-    before = np.concatenate([[0], np.cumsum(full)])
-    return flat.filter(pa.array(full)), before[offsets]
-
-
 def _part(ids: list, texts: pa.Array, rewrite: Callable[[object, int], tuple[int, int] | None] | None, least: int) -> tuple[list, pa.Array, np.ndarray]:
-    words, offsets = _words(texts)
+    words, offsets = ascii_words(texts)
     sizes = np.diff(offsets)
     place = np.arange(len(words))
     if rewrite is not None:
