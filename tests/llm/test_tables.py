@@ -200,6 +200,18 @@ def test_mixing(spark):
     assert abs(rate.count() - 30030) < 1500  # a rate of 1001 is drawn in parts
 
 
+@pytest.mark.parametrize("doc_id", ["null", "5", "id % 40"])
+def test_rows_without_ids_of_their_own_draw_for_themselves(spark, doc_id):
+    df = spark.range(6000).selectExpr(f"cast({doc_id} as long) AS doc_id", "'text ' || id % 300 AS text", "'s' AS source")
+    got = mixing.mix(df, {"s": 1.0}, partitions=8)
+    assert 5600 < got.count() < 6400  # a Poisson sum of mean 6000
+    keys = got.groupBy("mix_key").count()
+    assert keys.where("count > 1").count() == 0
+    sizes = [r["n"] for r in got.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) == 8 and max(sizes) < 1200
+    assert rows(got) == rows(mixing.mix(df.repartition(3), {"s": 1.0}, partitions=8))
+
+
 def test_mixing_query_moves_whole_documents(spark):
     """The rows behind the result are documents, as often and in the order as it lists them."""
     from weftline.llm import queries

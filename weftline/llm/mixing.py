@@ -4,6 +4,8 @@ A source that has n of N rows and the target share w is repeated at the mean
 rate w * N / n.  Each row inverts the Poisson distribution of its source's rate
 at a point that is hashed from its id and the seed, and appears that many
 times; copies are then ordered by a hash of id and copy, over all partitions.
+Rows without an id, or with one that other rows have too, are told apart by their
+content and by a number among equal rows, so each has a draw of its own.
 Nothing depends on where a row lies, so lost tasks give the same rows again.
 """
 
@@ -52,11 +54,30 @@ def _distribution(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), last), zero, step)["all"]
 
 
+def _told_apart(df: DataFrame, id_col: str) -> DataFrame:
+    """The rows with ``mix_id``: their id as text; where it is null or repeats, id, digest of the row, and number among equal rows.
+
+    Only such rows are shuffled here, and equal ones as one row and their count.
+    """
+    name = F.col(id_col).cast("string")
+    repeated = df.groupBy(name.alias("mix_id")).agg(F.count(F.lit(1)).alias("mix_n")).where(F.col("mix_id").isNull() | (F.col("mix_n") > 1)).select("mix_id")
+    if repeated.isEmpty():
+        return df.withColumn("mix_id", name)
+    named, on = df.withColumn("mix_id", name), "mix_id"
+    once = named.where(name.isNotNull()).join(repeated, on, "left_anti")
+    again = named.where(name.isNull()).unionByName(named.where(name.isNotNull()).join(repeated.where("mix_id IS NOT NULL"), on, "left_semi"))
+    whole = F.struct(*[F.col(f"`{n}`") for n in df.columns])
+    equal = again.groupBy(F.coalesce("mix_id", F.lit("")).alias("mix_id"), F.sha2(F.to_json(whole), 256).alias("mix_key")).agg(F.first(whole).alias("mix_row"), F.count(F.lit(1)).alias("mix_n"))
+    each = equal.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_n"))))
+    told = F.concat_ws("|", "mix_id", "mix_key", F.col("mix_copy").cast("string"))
+    return once.unionByName(each.select("mix_row.*", told.alias("mix_id")))
+
+
 def mix(df: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, seed: int = 7, id_col: str = "doc_id", source_col: str = "source", partitions: int | None = None) -> DataFrame:
     """The rows of ``df``, each as often as its Poisson draw says, in hashed order.
 
     Adds ``mix_rate``, ``mix_copy`` (from 1) and ``mix_key`` (the order).  Rows
-    with equal ids draw alike; a null id draws as the empty text.  A rate of 0
+    with null or repeated ids each draw for themselves, equal rows too.  A rate of 0
     drops the source, an empty table stays empty.  Columns whose names start
     with ``mix_`` are replaced.
     """
@@ -66,8 +87,7 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, power: float = 0
     table = found.withColumn("mix_parts", parts).withColumn("mix_cdf", _distribution(F.col("mix_rate") / F.col("mix_parts")))
     if found.select("mix_source").limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
-    text_id = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    rows = df.withColumn("mix_id", text_id).withColumn("mix_source", F.coalesce(F.col(source_col), F.lit(""))).join(table, "mix_source")
+    rows = _told_apart(df, id_col).withColumn("mix_source", F.coalesce(F.col(source_col), F.lit(""))).join(table, "mix_source")
 
     def draw(part: Column) -> Column:
         u = unit(F.lit(str(seed)), F.col("mix_id"), part.cast("string"))
