@@ -252,12 +252,12 @@ def decode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str =
     return df.select(id_col, ids_col).mapInArrow(run, out)
 
 
-def digests(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """For each row, its number of tokens and digests of its ids and of their decoding.
 
     ``ids_sha256`` is over the decimal ids joined by one space, ``decoded_sha256``
     over the decoded text.  Cases as for :func:`encode`; the digest of an empty
-    text is that of no bytes.
+    text is that of no bytes.  ``with_ids`` gives the ids themselves, too.
     """
 
     def make():
@@ -265,11 +265,12 @@ def digests(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
         def one(i, text):
             ids = bpe.encode(text or "")
-            return i, len(ids), hashlib.sha256(bpe.numbers.joined(ids)).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()
+            row = i, len(ids), hashlib.sha256(bpe.numbers.joined(ids)).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()
+            return (*row, ids.astype(np.int32)) if with_ids else row
 
         return one
 
-    return map_text(df, id_col, text_col, f"{_typed(df, id_col)}, n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+    return map_text(df, id_col, text_col, f"{_typed(df, id_col)}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids, make)
 
 
 def _typed(df: DataFrame, col: str) -> str:
