@@ -44,8 +44,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokens of each row and digests of its ids and their decoding."""
-    return bpe.digests(docs, tokenizer_path())
+    """The token ids of each row, their number, and digests of the ids and of their decoding."""
+    return bpe.digests(docs, tokenizer_path(), with_ids=True)
 
 
 STAGES = [
