@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from weftline.config import merged
 from weftline.operators.asof import asof_join
 from weftline.plans.job import Job
-from weftline.shared import shared_folder
-from weftline.sinks import apply_mode
+from weftline.shared import local_folder, shared_folder
+from weftline.sinks import apply_mode, write
 from weftline.sources import Catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -276,6 +276,15 @@ def cursor_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page.catalog.read("f.pages")
 
 
+@query("sqlite_filtered", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey > 40 AND c_mktsegment IN ('BUILDING', 'MACHINERY')")
+def sqlite_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source filters reach the statement that SQLite runs."""
+    catalog = Catalog(spark, [{"name": "q", "driver": "sqlite", "path": f"{local_folder(spark)}/customers.db", "rows": 500}])
+    write(catalog, "q.customer", spark.read.parquet(f"{sf_dir}/customer.parquet"), "insert", [], [], None)
+    config = {"input": "&.q.customer", "schema": {n: f"$.{n}" for n in ("c_custkey", "c_name", "c_acctbal")}, "querys": {"c_custkey": {">": 40}, "c_mktsegment": {"in": ["BUILDING", "MACHINERY"]}}}
+    return Job.from_config(spark, config, catalog=catalog).plan()
+
+
 @query("union_tasks", "SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region")
 def union_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.plans.job import run_all
@@ -419,6 +428,22 @@ def _sink(mode: str) -> Query:
     return run
 
 
+def _sqlite_sink(mode: str) -> Query:
+    """The same change on a table of a SQLite file, read back from it."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("s"))
+        catalog = Catalog(spark, [{"name": "q", "driver": "sqlite", "path": f"{local_folder(spark)}/orders.db"}])
+        new = orders.where("id % 5 <> 0").withColumn("price", F.when(F.col("id") % 2 == 0, F.col("price") + 1).otherwise(F.col("price")))
+        write(catalog, "q.orders", orders.where("id % 3 <> 0"), "insert", [], [], None)
+        write(catalog, "q.orders", new, mode, ["id"], [], lambda df: df["s"] == "F")
+        return catalog.read("q.orders")
+
+    return run
+
+
+for _m, _sql in _SINKS.items():
+    QUERIES[f"sqlite_{_m}"], SQL[f"sqlite_{_m}"] = _sqlite_sink("insert" if _m == "append" else _m), _sql
 for _m, _sql in _SINKS.items():
     QUERIES[f"sink_{_m}"], SQL[f"sink_{_m}"] = _sink(_m), _sql
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -18,6 +19,15 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def local_folder(spark: SparkSession) -> str:
+    """A new shared folder for files that no Hadoop file system opens, such as databases; it has to be mounted everywhere."""
+    folder = shared_folder(spark).removeprefix("file://").removeprefix("file:")
+    if "://" in folder:
+        raise ValueError("spark.checkpoint.dir is no mounted folder")
+    os.makedirs(folder)
+    return folder
+
+
 def written(df: DataFrame, path: str, by: str | None = None) -> DataFrame:
     """The rows of ``df`` as Parquet files, read again; with ``by``, one folder for each of its values."""
     (df.write.partitionBy(by) if by else df.write).parquet(path)

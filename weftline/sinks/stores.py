@@ -5,13 +5,16 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.sinks.modes import apply_mode
+from weftline.sources import sqlite
 from weftline.sources.drivers import JDBC, _path
 
 FORMATS = {"parquet": ".parquet", "json": ".json", "csv": ".csv", "textline": ""}
@@ -116,6 +119,31 @@ def write(catalog, name: str, df: DataFrame, mode: str, keys: list[str], neutral
     return status | {"note": note()}
 
 
+def _write_sqlite(catalog, name: str, df: DataFrame, mode: str, keys: list[str], neutral: list[str], scope: Callable[[DataFrame], Column]) -> dict[str, Any]:
+    """Only rows that change go to the database, in one transaction; a replacement goes whole."""
+    db, _, table = name.partition(".")
+    options = catalog.databases[db]
+    if mode == "insert" or not sqlite.exists(options, table):
+        if mode != "update":
+            sqlite.write_sqlite(df, options, table)
+        return {"mode": mode}
+    target = catalog.read(name)
+    after = apply_mode(mode, target, df, keys, neutral, scope)
+    if mode == "replace":
+        sqlite.write_sqlite(after.drop("_change"), options, table, overwrite=True)
+        return {"mode": mode}
+    seen = Observation(f"write{uuid.uuid4().hex[:6]}")
+    changed = after.observe(seen, F.count_if(F.col("_change") == "insert").alias("inserted"), F.count_if(F.col("_change") == "update").alias("updated")).where("_change <> 'same'")
+    rows = changed.withColumn("_op", F.when(F.col("_change") == "update", "put")).drop("_change")
+    if mode == "sync":
+        left = after.select(*keys)
+        same = [target[k].cast(left.schema[k].dataType).eqNullSafe(left[k]) for k in keys]
+        gone = target.join(left, reduce(and_, same), "left_anti")
+        rows = rows.unionByName(gone.select(*keys, F.lit("delete").alias("_op")), allowMissingColumns=True)
+    sqlite.write_sqlite(rows, options, table, keys)
+    return {"mode": mode} | dict(seen.get)
+
+
 def _write(catalog, name: str, df: DataFrame, mode: str, keys: list[str], neutral: list[str], scope: Callable[[DataFrame], Column]) -> dict[str, Any]:
     spark = catalog.spark
     db, _, table = name.partition(".")
@@ -145,12 +173,12 @@ def _write(catalog, name: str, df: DataFrame, mode: str, keys: list[str], neutra
         else:
             target = catalog.read(name)
             after = apply_mode(mode, target, df, keys, neutral, scope)
-        from pyspark.sql import Observation
-
         seen = Observation(f"write{uuid.uuid4().hex[:6]}")
         counted = after.observe(seen, F.count_if(F.col("_change") == "insert").alias("inserted"), F.count_if(F.col("_change") == "update").alias("updated"))
         _swap(spark, counted.drop("_change"), driver, path, options)
         return {"mode": mode} | dict(seen.get)
+    if driver == "sqlite":
+        return _write_sqlite(catalog, name, df, mode, keys, neutral, scope)
     if driver in JDBC:
         url_name, driver_class = JDBC[driver]
         url = options.get("url") or f"jdbc:{url_name}://{options['host']}:{options.get('port', '')}/{options.get('db', '')}"

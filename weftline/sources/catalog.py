@@ -72,9 +72,11 @@ class Catalog:
         return DRIVERS[driver](self.spark, database, table), tests
 
     def stream(self, name: str, files: int | None = None) -> DataFrame:
-        """A table of Parquet, CSV or JSON lines as a stream of its files, at most so many a batch."""
+        """A table of Parquet, CSV or JSON lines as a stream of its files, or a queue of its jobs, at most so many a batch."""
         database, table = self.split(name)
         driver = database.get("driver", "memory")
+        if driver == "beanstalk":
+            return drivers.stream_queue(self.spark, database | ({"batch": files} if files else {}), table)
         if driver not in drivers.STREAMED or driver == "json" and not database.get("lines"):
             raise ValueError(f"{name!r} cannot be read as a stream; files of Parquet, CSV or JSON lines can")
         path = drivers._path(database, table, drivers.STREAMED[driver])

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from weftline.sources.queue import QueueSource
+from weftline.sources.sqlite import read_sqlite
+
 # JDBC's name and class of each SQL database.
 JDBC = {
     "mysql": ("mysql", "com.mysql.cj.jdbc.Driver"),
@@ -97,47 +100,6 @@ class _Part(InputPartition):
         self.at = at
 
 
-class SqliteSource(DataSource):
-    """A SQLite file by ranges of its row numbers."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "weftline_sqlite"
-
-    def _connect(self):
-        import sqlite3
-
-        return sqlite3.connect(f"file:{self.options['path']}?mode=ro", uri=True)
-
-    def schema(self) -> str:
-        kinds = {"INT": "bigint", "REA": "double", "FLO": "double", "DOU": "double", "BLO": "binary"}
-        with self._connect() as c:
-            rows = c.execute(f'PRAGMA table_info("{self.options["table"]}")').fetchall()
-        return ", ".join(f"`{r[1]}` {kinds.get((r[2] or 'TEXT').upper()[:3], 'string')}" for r in rows)
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        source = self
-
-        class Reader(DataSourceReader):
-            def partitions(self) -> list[InputPartition]:
-                with source._connect() as c:
-                    low, high = c.execute(f'SELECT min(rowid), max(rowid) FROM "{source.options["table"]}"').fetchone()
-                step = int(source.options.get("rows", 1_000_000))
-                return [_Part((at, at + step)) for at in range(low, high + 1, step)] if low is not None else []
-
-            def read(self, partition: _Part) -> Iterator[tuple]:
-                with source._connect() as c:
-                    names = ", ".join(f'"{n}"' for n in schema.names)
-                    yield from c.execute(f'SELECT {names} FROM "{source.options["table"]}" WHERE rowid >= ? AND rowid < ?', partition.at)
-
-        return Reader()
-
-
-def read_sqlite(spark: SparkSession, options: dict, table: str) -> DataFrame:
-    spark.dataSource.register(SqliteSource)
-    return spark.read.format("weftline_sqlite").option("path", options["path"]).option("table", table).load()
-
-
 class HttpSource(DataSource):
     """Rows of JSON from a web address, one request a page."""
 
@@ -241,6 +203,19 @@ def _connector(fmt: str, name: Callable[[dict, str], dict]) -> Callable[[SparkSe
     return read
 
 
+def read_queue(spark: SparkSession, options: dict, table: str) -> DataFrame:
+    raise ValueError(f"the queue {table!r} is read as a stream: name it with `use P`, or run with @streaming")
+
+
+def stream_queue(spark: SparkSession, options: dict, table: str) -> DataFrame:
+    spark.dataSource.register(QueueSource)
+    reader = spark.readStream.format("weftline_queue").option("tube", table)
+    for key in ("host", "port", "columns", "batch"):
+        if key in options:
+            reader = reader.option(key, options[key])
+    return reader.load()
+
+
 READERS: dict[str, Callable[[SparkSession, dict, str], DataFrame]] = {
     "parquet": read_parquet,
     "json": read_json,
@@ -256,6 +231,6 @@ READERS: dict[str, Callable[[SparkSession, dict, str], DataFrame]] = {
     "elasticsearch": _connector("org.elasticsearch.spark.sql", lambda o, t: {"es.nodes": o.get("host", "localhost"), "es.resource": t}),
     "influxdb": _connector("influxdb", lambda o, t: {"url": o.get("url", ""), "bucket": o.get("db", ""), "measurement": t}),
     "kafka": _connector("kafka", lambda o, t: {"kafka.bootstrap.servers": o.get("host", ""), "subscribe": t}),
-    "beanstalk": _connector("beanstalk", lambda o, t: {"host": o.get("host", "localhost"), "tube": t}),
+    "beanstalk": read_queue,
     "sql": lambda spark, options, table: spark.table(table),
 }
