@@ -130,3 +130,55 @@ def test_modes_change_only_what_differs(spark, tmp_path):
         assert c.execute("SELECT v FROM t WHERE k = 2").fetchone() == ("other",)
     assert sorted(now) == [1, 2, 5, 6, 7, 8, 9, 50]
     assert all(now[k] == kept[k] for k in (1, 5, 6, 7, 8, 9))
+
+
+def test_a_function_gets_the_request(spark):
+    catalog, asked = Catalog(spark), []
+
+    def source(s, tests, request):
+        asked.append(request)
+        return s.range(5).selectExpr("id AS k", "id AS v", "id AS w")
+
+    catalog.register_function("source", source)
+    config = {"input": "&.=@source::k", "schema": {"k": "$.k", "x": ["@add", "$.v", 1]}, "querys": {"k": {">=": 2}}, "orders": [["$.k", True]]}
+    assert rows(Job.from_config(spark, config, catalog=catalog).plan()) == [(2, 3), (3, 4), (4, 5)]
+    assert asked == [{"fields": ["k", "v"], "filters": {"k": {">=": 2}}, "orders": [("k", -1)], "cursor": None}]
+
+
+def test_a_lookup_function_is_asked_once_for_each_key(spark, tmp_path):
+    catalog, folder = Catalog(spark), str(tmp_path)
+    catalog.put("m.t", spark.createDataFrame([(i, i % 7 if i % 5 else None, [i % 3, 1]) for i in range(60)], "i long, k long, ks array<long>").repartition(4))
+
+    def answer(keys):
+        import uuid
+
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(" ".join(str(r["k"]) for r in keys))
+        return [{"k": r["k"], "v": n} for r in keys if r["k"] != 6 for n in range(2 if r["k"] == 5 else 1)]
+
+    catalog.register_lookup("f", answer, "k long, v long", batch=3)
+    schema = {"i": "$.i", "n": ["$.k", "&.=@f::k", [":@len", "$.v"]], "m": ["$.ks", "&.=@f::k", [":@sum", "$.k"]]}
+    got = {r["i"]: (r["n"], r["m"]) for r in Job.from_config(spark, {"input": "&.m.t", "schema": {"i": "$.i", "n": ["$.k", "&.=@f::k", [":@sum", "$.v"]], "m": schema["m"]}}, catalog=catalog).plan().collect()}
+    for i in range(60):
+        k = i % 7 if i % 5 else None
+        assert (got[i][0] or 0) == (1 if k == 5 else 0)
+        assert got[i][1] == i % 3 + 1
+    calls = [f.read_text().split() for f in tmp_path.iterdir()]
+    assert all(len(c) <= 3 for c in calls)
+
+
+@pytest.mark.parametrize("most", [100_000, 4])
+def test_rows_meet_a_whole_table(spark, monkeypatch, most):
+    from weftline.plans import compiler
+
+    monkeypatch.setattr(compiler, "LISTED", most)
+    catalog = Catalog(spark)
+    catalog.put("m.a", spark.range(7).select(F.col("id").alias("x")))
+    catalog.put("m.b", spark.range(11).select(F.col("id").alias("y")))
+    plan = lambda ref: Job.from_config(spark, {"input": "&.m.a", "schema": {"x": "$.x", "y": [ref, ":$.y"]}}, catalog=catalog).plan()
+    assert rows(plan("&&.m.b")) == sorted([(x, y) for x in range(7) for y in range(11)], key=str)
+    if most > 11:
+        assert rows(plan("&.m.b"))[0] == (0, list(range(11)))
+    else:
+        with pytest.raises(ValueError, match="too many"):
+            plan("&.m.b")

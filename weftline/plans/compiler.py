@@ -23,6 +23,8 @@ from weftline.lang.values import LONG, NULL, Value, array, common, compare, is_n
 from weftline.plans import scan
 
 SEQ = "_seq"
+#: Most rows of a table that one task holds beside others.
+LISTED = 100_000
 _REF = re.compile(r"^(\$+)(?:\.([^|]*))?(?:\|(.*))?$", re.S)
 
 
@@ -118,8 +120,9 @@ def row_value(df: DataFrame) -> Value:
 
 
 class Compiler:
-    def __init__(self, df: DataFrame, table: Callable[[str], DataFrame], unique: set[str] = frozenset(), defines: dict | None = None, variables: dict | None = None, states: dict | None = None, field: str = ""):
+    def __init__(self, df: DataFrame, table: Callable[[str], DataFrame], unique: set[str] = frozenset(), defines: dict | None = None, variables: dict | None = None, states: dict | None = None, field: str = "", filtered: Callable[[str, dict], tuple[DataFrame, dict]] | None = None, keyed: Callable[[str], Callable[[DataFrame], DataFrame] | None] | None = None):
         self.df, self.table, self.unique = df, table, set(unique)
+        self.filtered, self.keyed = filtered, keyed
         self.defines, self.variables, self.states = defines or {}, dict(variables or {}), states or {}
         self.field = field
         self.columns = list(df.columns)
@@ -543,11 +546,26 @@ class Compiler:
     def right(self, part, scope) -> DataFrame:
         """The table of a reference, its constant filters applied."""
         ref, filters = (part[0], part[1] if len(part) > 1 else {}) if isinstance(part, list) else (part, {})
-        df = self.table(self.parse_reference(ref)[1])
-        for key, tests in (filters or {}).items():
+        name, filters = self.parse_reference(ref)[1], filters or {}
+        if self.filtered is not None and filters and all(not isinstance(v, list) or not v or v[0][:1] not in ("@", "#") for t in filters.values() for v in (t.values() if isinstance(t, dict) else [t])):
+            df, filters = self.filtered(name, {k: t if isinstance(t, dict) else {"==": t} for k, t in filters.items()})
+        else:
+            df = self.table(name)
+        return self.kept(df, filters)
+
+    def kept(self, df: DataFrame, filters: dict) -> DataFrame:
+        for key, tests in filters.items():
             df = df.where(source_filter(df, key, tests, lambda e: self(e, [])))
         return df
 
+    def answered(self, ask: Callable[[DataFrame], DataFrame], part, names: list[str], values: list[Value]) -> DataFrame:
+        """The table of a function of keys: it is asked for each different key once."""
+        cols = [F.explode(v.col).alias(n) if isinstance(v.type, T.ArrayType) and not v.rows else v.one().col.alias(n) for v, n in zip(values, names, strict=True)]
+        keys = self.df.select(*cols)
+        for n in names:
+            keys = keys.where(F.col(f"`{n}`").isNotNull())
+        return self.kept(ask(keys.distinct()), part[1] if isinstance(part, list) and len(part) > 1 else {})
+
     def aggregated(self, ret, right: DataFrame) -> tuple[Column, T.DataType, object] | None:
         """A return part that is an aggregate of the matches' field: its column, type and value for no match."""
         ret = unreturned(ret) if ret is not None and is_return(ret) else None
@@ -575,7 +593,8 @@ class Compiler:
         casts = [k.partition("|")[2] for k in self.reference(part).partition("::")[2].split("+")]
         values = [self(k, scope) for k in keys]
         values = [cast(v, c) if c else v for v, c in zip(values, casts, strict=True)] if len(casts) == len(values) else values
-        right = self.right(part, scope)
+        ask = self.keyed(name[2:]) if self.keyed is not None and name.startswith("=@") else None
+        right = self.right(part, scope) if ask is None else self.answered(ask, part, names, values)
         tag = json.dumps([part, [str(v.col._jc.toString()) for v in values], many])
         own = [F.col(f"`{n}`").cast(widened(right.schema[n].dataType)) for n in names]
         row = F.struct(*[F.col(f"`{n}`").cast(widened(right.schema[n].dataType)).alias(n) for n in right.columns])
@@ -649,23 +668,39 @@ class Compiler:
         return v
 
     def load(self, x: list, scope):
-        """A whole table, not keyed: one list or one aggregate for all rows."""
+        """A whole table, not keyed: one aggregate or one list for all rows, or with ``&&`` each row with each of the table's.
+
+        A list holds at most :data:`LISTED` rows.  Rows meet a table of up to as many
+        by broadcasting it; a larger one is cut into blocks of that size, and rows go to every block.
+        """
         part = [x[0], x[1]] if len(x) > 1 and isinstance(x[1], dict) else x[0]
         ret = next((r for r in x[1:] if is_return(r)), None)
         right = self.right(part, scope)
         col = f"__l{len(self._joined)}"
         tag = json.dumps(["load", x])
         kind = T.StructType([T.StructField(n, widened(right.schema[n].dataType)) for n in right.columns])
-        summed = self.aggregated(ret, right)
-        if tag not in self._joined:
-            if summed is not None:
-                table = right.agg(summed[0].alias(col))
-                self._joined[tag] = Value(F.col(col), summed[1])
+        many = self.parse_reference(x[0])[0]
+        summed = None if many else self.aggregated(ret, right)
+        row = F.struct(*[F.col(f"`{n}`").cast(kind[n].dataType).alias(n) for n in kind.names])
+        if tag in self._joined:
+            pass
+        elif summed is not None:
+            self._joined[tag] = Value(F.col(col), summed[1])
+            self.df = self.df.join(F.broadcast(right.agg(summed[0].alias(col))))  # one row
+        elif not many:
+            if right.limit(LISTED + 1).count() > LISTED:
+                raise ValueError(f"{x[0]} has more than {LISTED} rows: too many for one list; && gives them as rows")
+            self._joined[tag] = Value(F.col(col), T.ArrayType(kind), rows=True)
+            self.df = self.df.join(F.broadcast(right.agg(F.collect_list(row).alias(col))))
+        else:
+            self._joined[tag] = Value(F.col(col), kind)
+            table = right.select(row.alias(col))
+            if table.limit(LISTED + 1).count() <= LISTED:
+                self.df = self.df.join(F.broadcast(table), F.lit(True), "left")
             else:
-                row = F.struct(*[F.col(f"`{n}`").cast(kind[n].dataType).alias(n) for n in kind.names])
-                table = right.agg(F.collect_list(row).alias(col))
-                self._joined[tag] = Value(F.col(col), T.ArrayType(kind), rows=True)
-            self.df = self.df.join(F.broadcast(table))  # one row
+                n, block = -(-table.count() // LISTED), f"{col}b"
+                spread = self.df.withColumn(block, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+                self.df = spread.join(table.withColumn(block, F.pmod(F.xxhash64(col), F.lit(n)).cast("int")), block).drop(block)
         v = self._joined[tag]
         return v if summed is not None else self.returned(v, ret, scope)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -76,7 +77,7 @@ class Job:
 
     def compiler(self, df: DataFrame, name: str = "") -> Compiler:
         options = self.config.get("options", {})
-        return Compiler(df, lambda n: self.catalog.read(n), set(options.get("unique", [])), self.config.get("defines"), self.config.get("variables"), self.states(), name)
+        return Compiler(df, lambda n: self.catalog.read(n), set(options.get("unique", [])), self.config.get("defines"), self.config.get("variables"), self.states(), name, filtered=self.catalog.read_filtered, keyed=self.catalog.lookups.get)
 
     def states(self) -> dict[str, str]:
         """What the tables under ``states`` hold, as key and value; one that is not there yet holds nothing."""
@@ -183,11 +184,21 @@ class Job:
         tests = configs.querys(self.config.get("querys", {}), self.arguments)
         if given.lstrip("<& .").startswith("=@"):
             name, _, _ = given.lstrip("<& .=@").partition("::")
-            df = self.catalog.function(name)(self.spark, tests)
+            df = self.catalog.call(name, self._request(tests))
         else:
             df, tests = self.catalog.read_filtered(parse_table(given)[0], tests)
         return self._filtered(df, tests)
 
+    def _request(self, tests: dict) -> dict[str, Any]:
+        """What a function that gives the input is told: the columns that the job reads (empty: all), its filters and orders, and where its last run ended."""
+        schema = self.config.get("schema", "$.*")
+        text = json.dumps([schema, self.config.get("predicate")])
+        whole = schema == "$.*" or re.search(r'"\$+(\.\*)?[|"]', text) is not None
+        fields = [] if whole else sorted(set(re.findall(r"\$+\.([A-Za-z_]\w*)", text)) | {k.partition("|")[0] for k in tests})
+        last = self._last()
+        orders = [(o if isinstance(o, list) else [o, False]) for o in self.config.get("orders", [])]
+        return {"fields": fields, "filters": tests, "orders": [(n.removeprefix("$."), -1 if down else 1) for n, down in orders], "cursor": None if last is None else {n: v for (_, n, _), v in zip(self.cursor(), last, strict=False)}}
+
     def _filtered(self, df: DataFrame, tests: dict) -> DataFrame:
         constants = self.compiler(df)
         for key, test in tests.items():

@@ -377,9 +377,9 @@ def virtual_view_args(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, view, table="orders_by_customer", querys={"o_totalprice": {">=": 1000}})
 
 
-@query("row_generator", "SELECT 'x' AS x FROM range(1000)")
+@query("row_generator", "SELECT r_name AS x FROM range(1000), region WHERE r_regionkey = 1")
 def row_generator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Job.from_config(spark, {"input": "&.g.--1000", "schema": {"x": "x"}}).plan()
+    return plan(spark, sf_dir, {"input": "&.t.--1000", "schema": {"x": [["#const", 1], "&.t.region::r_regionkey", ":$.r_name"]}, "options": _ONE})
 
 
 job("assign_counter", "SELECT c_custkey, 100 + row_number() OVER (ORDER BY c_custkey) AS n FROM customer", "customer", {"c_custkey": "$.c_custkey", "n": ["#assign", "n", ["@add", "$.n", 1]]}, variables={"n": 100}, options={"sequence": "c_custkey"})
@@ -492,11 +492,37 @@ def udf_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan(spark, sf_dir, {"input": "&.t.part", "schema": {"p_partkey": "$.p_partkey", "x": ["@demo::twice_and_one", "$.p_size"]}})
 
 
-@query("udtf_loader", "SELECT n, n * n AS square FROM (SELECT range AS n FROM range(100)) WHERE n >= 10")
+@query("udtf_loader", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey >= 10 AND o_orderstatus = 'F'")
 def udtf_loader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function as the input: it is told the columns and filters, and reads no others."""
     catalog = Catalog(spark)
-    catalog.register_function("squares", lambda s, tests: s.range(100).select(F.col("id").alias("n"), (F.col("id") * F.col("id")).alias("square")))
-    return Job.from_config(spark, {"input": "&.=@squares::n", "schema": "$.*", "querys": {"n": {">=": 10}}}, catalog=catalog).plan()
+
+    def finished(s: SparkSession, tests: dict, request: dict) -> DataFrame:
+        return s.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus = 'F'").select(*request["fields"])
+
+    catalog.register_function("finished", finished)
+    return Job.from_config(spark, {"input": "&.=@finished::o_orderkey", "schema": {"o_orderkey": "$.o_orderkey", "o_totalprice": "$.o_totalprice"}, "querys": {"o_orderkey": {">=": 10}}}, catalog=catalog).plan()
+
+
+@query("lookup_function", "SELECT o_orderkey, o_custkey * o_custkey % 97 AS code, CASE WHEN o_custkey % 2 = 0 THEN 'even' END AS kind FROM orders")
+def lookup_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function of keys as the looked-up table: asked for each customer once."""
+    catalog = Catalog(spark, [{"name": "t", "driver": "parquet", "path": sf_dir}])
+    catalog.register_lookup("code", lambda keys: [{"k": r["k"], "code": r["k"] * r["k"] % 97, "kind": "even" if r["k"] % 2 == 0 else None} for r in keys], "k long, code long, kind string", batch=500)
+    found = ["$.o_custkey", "&.=@code::k"]
+    return Job.from_config(spark, {"input": "&.t.orders", "schema": {"o_orderkey": "$.o_orderkey", "code": [*found, ":$.code"], "kind": [*found, ":$.kind"]}, "options": {"unique": ["=@code"]}}, catalog=catalog).plan()
+
+
+job("load_rows", "SELECT n_nationkey::BIGINT AS n_nationkey, r_name || '/' || n_name AS pair FROM nation, region", "nation", {"n_nationkey": "$.n_nationkey", "pair": ["&&.t.region", [":@add", "$.r_name", "/", "$$.n_name"]]})
+
+
+@query("lookup_view_args", "SELECT c_custkey, coalesce(n, 0)::BIGINT AS n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice >= 1000 AND o_totalprice < 60000 GROUP BY 1) ON c_custkey = o_custkey")
+def lookup_view_args(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A looked-up view whose arguments take the lookup's filters."""
+    view = {"name": "counts", "tables": ["orders"], "query": "SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice >= ? AND o_totalprice < ? GROUP BY 1", "args": [["o_totalprice", ">=", 0], ["o_totalprice", "<", 60000]]}
+    databases = [{"name": "t", "driver": "parquet", "path": sf_dir, "virtual_views": [view]}]
+    found = ["$.c_custkey", ["&.t.counts::o_custkey", {"o_totalprice": {">=": 1000}}], [":@sum", "$.n"]]
+    return Job.from_config(spark, {"databases": databases, "input": "&.t.customer", "schema": {"c_custkey": "$.c_custkey", "n": found}}).plan()
 
 
 _REVENUE = ["@mul", "$$.l_extendedprice", ["@sub", 1, "$$.l_discount"]]
@@ -556,9 +582,9 @@ job("loop_marks", "SELECT n_nationkey::BIGINT AS n_nationkey, CASE WHEN n_region
 _win("win_index", f"(row_number() {_OVER} - 1) * 100 + event_id", ["@add", ["@mul", "$.context.current_index", 100], "$.value"], value="$.event_id")
 
 
-@query("literal_rows", "SELECT * FROM (VALUES (1::BIGINT, 'x'), (5::BIGINT, NULL)) v(a, b)")
+@query("literal_rows", "SELECT v.*, n_name FROM (VALUES (1::BIGINT, 'x'), (5::BIGINT, NULL)) v(a, b) JOIN nation ON n_nationkey = a")
 def literal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Job.from_config(spark, {"input": [{"a": 1, "b": "x"}, {"a": 5}, {"a": -3}], "querys": {"a": {">": 0}}, "schema": {"a": "$.a", "b": "$.b"}}).plan()
+    return plan(spark, sf_dir, {"input": [{"a": 1, "b": "x"}, {"a": 5}, {"a": -3}], "querys": {"a": {">": 0}}, "schema": {"a": "$.a", "b": "$.b", "n_name": ["$.a", "&.t.nation::n_nationkey", ":$.n_name"]}, "options": _ONE})
 
 
 @query(

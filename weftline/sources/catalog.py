@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import inspect
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from weftline.sources import drivers
 
@@ -25,6 +28,7 @@ class Catalog:
         self.databases: dict[str, dict] = {}
         self.memory: dict[str, DataFrame] = {}
         self.functions: dict[str, Callable] = {}
+        self.lookups: dict[str, Callable[[DataFrame], DataFrame]] = {}
         for d in databases or []:
             self.add(d)
 
@@ -36,9 +40,38 @@ class Catalog:
         self.memory[name] = df
 
     def register_function(self, name: str, fn: Callable) -> None:
-        """A table-valued function of (spark, filters), read as ``&.=@name``."""
+        """A table-valued function of (spark, filters), read as ``&.=@name``; one of three arguments gets the whole request: fields, filters, orders and cursor."""
         self.functions[name] = fn
 
+    def register_lookup(self, name: str, fn: Callable[[list[dict]], Iterable[dict]], schema: str, batch: int = 10_000) -> None:
+        """A function from keys to rows, looked up as ``&.=@name::key``.
+
+        It runs in the tasks; each different key of a job's rows is asked for once, at most ``batch`` at a time.
+        Rows it gives have the columns of ``schema``, the keys among them.
+        """
+
+        def ask(keys: DataFrame) -> DataFrame:
+            names = keys.columns
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for found in batches:
+                    for at in range(0, found.num_rows, batch):
+                        part = found.slice(at, batch)
+                        rows = [{n: r.get(n) for n in kinds.names} for r in fn(pa.RecordBatch.from_arrays(part.columns, names=names).to_pylist())]
+                        yield pa.RecordBatch.from_pylist(rows, kinds)
+
+            out = self.spark.createDataFrame([], schema).schema
+            kinds = to_arrow_schema(out)
+            return keys.mapInArrow(run, out)
+
+        self.lookups[name] = ask
+
+    def call(self, name: str, request: dict) -> DataFrame:
+        """What a registered function gives for a request."""
+        fn = self.function(name)
+        whole = sum(p.default is p.empty for p in inspect.signature(fn).parameters.values()) > 2
+        return fn(self.spark, request["filters"], request) if whole else fn(self.spark, request["filters"])
+
     def function(self, name: str) -> Callable:
         return self.functions[name]
 
@@ -58,7 +91,7 @@ class Catalog:
         if (m := re.search(r"\.--(\d*)$", name)) is not None:
             return self.spark.range(int(m[1] or 1)).select(), tests
         if name.startswith("=@"):
-            return self.function(name[2:])(self.spark, tests), {}
+            return self.call(name[2:], {"fields": [], "filters": tests, "orders": [], "cursor": None}), {}
         database, table = self.split(name)
         for view in database.get("virtual_views", []):
             found = view.get("name") == table or ("name_match" in view and re.fullmatch(view["name_match"], table))
