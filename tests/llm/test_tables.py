@@ -157,20 +157,37 @@ def test_neighbours(spark):
     assert imi.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def recalled(spark, df, by=100):
+    vectors = {r["vec_id"]: np.array(r["embedding"], float) for r in df.collect()}
+    ids, matrix = np.array(sorted(vectors)), np.array([vectors[i] for i in sorted(vectors)])
+    want = set()
+    for q in (i for i in vectors if i % by == 0):
+        far = np.sqrt(((matrix - vectors[q]) ** 2).sum(1))
+        order = [int(ids[k]) for k in np.lexsort((ids, far)) if ids[k] != q][:10]
+        want |= {(q, i) for i in order}
+    got = {(r["query_id"], r["vec_id"]) for r in imi.search(df, F.col("vec_id") % by == 0).collect()}
+    return len(got & want) / len(want)
+
+
 def test_neighbours_recall(spark):
-    """With the registered share and no smallest reach, on more vectors than that reach, and on the test table."""
+    """With the fitted share: vectors without structure, in few and many dimensions, and the test table."""
     rng = np.random.default_rng(11)
     made = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=24)]) for i in range(4000)], "vec_id long, embedding array<double>")
-    for df, n in ((made, 4000), (spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), 2000)):
-        vectors = {r["vec_id"]: np.array(r["embedding"], float) for r in df.collect()}
-        ids, matrix = np.array(sorted(vectors)), np.array([vectors[i] for i in sorted(vectors)])
-        want = set()
-        for q in range(0, n, 100):
-            far = np.sqrt(((matrix - vectors[q]) ** 2).sum(1))
-            order = [int(ids[k]) for k in np.lexsort((ids, far)) if ids[k] != q][:10]
-            want |= {(q, i) for i in order}
-        got = {(r["query_id"], r["vec_id"]) for r in imi.search(df, F.col("vec_id") % 100 == 0, reach=1, share=imi.SHARE).collect()}
-        assert len(got & want) >= 0.9 * len(want)
+    assert recalled(spark, made) >= 0.9
+    assert recalled(spark, spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")) >= 0.9
+    unit = rng.normal(size=(12_000, 128))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    wide = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(unit)], "vec_id long, embedding array<double>")
+    assert recalled(spark, wide, by=200) >= 0.9
+
+
+def test_clustered_vectors_need_a_small_share():
+    rng = np.random.default_rng(12)
+    points = np.repeat(rng.normal(size=(200, 32)), 30, axis=0) + rng.normal(size=(6000, 32)) * 0.05
+    both = [imi.kmeans(points[:, :16], 35), imi.kmeans(points[:, 16:], 35)]
+    assert imi.fitted_share(points, both, 16, 10) < 0.25
+    flat = rng.normal(size=(2000, 32))
+    assert 0.3 < imi.fitted_share(flat, [imi.kmeans(flat[:, :16], 27), imi.kmeans(flat[:, 16:], 27)], 16, 10) <= 1
 
 
 def test_multi_sequence_order():

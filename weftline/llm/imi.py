@@ -27,9 +27,9 @@ from weftline.llm.common import shared_folder, written
 
 #: The centroids are fitted on about so many distinct vectors; all if there are fewer.
 SAMPLE = 20_000
-#: A search meets at least so many distinct vectors, and at least this share of all: vectors
-#: without any structure need it for nine in ten of the true neighbours; clustered ones need far less.
-REACH, SHARE = 3_000, 0.6
+#: A search meets the share of all vectors that held so much of the true neighbours of :data:`TRIED` vectors in the
+#: sample: clustered vectors need a small share, vectors without any structure need most.
+RECALL, TRIED = 0.97, 100
 #: Entries of one task's block.
 BLOCK = 4_000
 
@@ -78,6 +78,29 @@ def cells_in_order(left: np.ndarray, right: np.ndarray, counts: np.ndarray, reac
     return out
 
 
+def fitted_share(points: np.ndarray, both: list[np.ndarray], half: int, k: int) -> float:
+    """The share of the sample that a search has to meet for RECALL of the true neighbours.
+
+    Every vector tried is searched for among the others of the sample, as all vectors will be
+    among all; there its neighbours are nearer, in cells that are met no later.
+    """
+    if len(points) <= k + 1:
+        return 1.0
+    cell = nearest(points[:, :half], both[0]) * len(both[1]) + nearest(points[:, half:], both[1])
+    counts = np.bincount(cell, minlength=len(both[0]) * len(both[1]))
+    needed = []
+    for q in np.linspace(0, len(points) - 1, min(TRIED, len(points))).astype(int):
+        x = points[q]
+        far = ((points - x) ** 2).sum(1)
+        far[q] = np.inf
+        sums = ((both[0] - x[:half]) ** 2).sum(1)[:, None] + ((both[1] - x[half:]) ** 2).sum(1)[None]
+        order = np.argsort(sums, axis=None, kind="stable")
+        met = np.empty(len(order))
+        met[order] = np.cumsum(counts[order])
+        needed += met[cell[np.argpartition(far, k)[:k]]].tolist()
+    return float(np.quantile(needed, RECALL)) / len(points)
+
+
 def usable(vector: Column) -> Column:
     """Not null, not empty, not zero, without null or non-finite components."""
     wide = vector.cast("array<double>")
@@ -94,13 +117,14 @@ def _objects(strings) -> pd.Series:
     return pd.Series(list(strings), dtype=object)
 
 
-def search(df: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", reach: int = REACH, share: float = SHARE, sample: int = SAMPLE) -> DataFrame:
+def search(df: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", share: float | None = None, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that ``queries`` holds of, its k nearest other rows.
 
     The score is the Euclidean distance in double precision; ties go to the
     smaller id.  Vectors that are null, empty or zero, hold null or non-finite
     components, or differ in length from the most frequent length, take no part, as do
-    null ids.  Repeated ids with equal vectors are one row.  Fewer than k other
+    null ids.  ``share`` is how much of the table a search meets; fitted, if it is not given.
+    Repeated ids with equal vectors are one row.  Fewer than k other
     rows give all of them; an empty table gives no rows.
     """
     spark, base = df.sparkSession, shared_folder(df.sparkSession)
@@ -127,6 +151,8 @@ def search(df: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id",
     half = max(1, dims // 2)
     number = centroid_count(total)
     both = [kmeans(points[:, :half], number), kmeans(points[:, half:], number) if dims > half else np.zeros((1, 0))]
+    share = fitted_share(points[:: max(1, len(points) // sample)], both, half, k) if share is None else share
+    reach = max(k + 1, int(np.ceil(share * total)))
     shared = spark.sparkContext.broadcast(both)  # at most 2 x 512 centroids
 
     def place_all(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,7 +185,7 @@ def search(df: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id",
             for row in range(len(f)):
                 a, b = ((left - x[row, :half]) ** 2).sum(1), ((right - x[row, half:]) ** 2).sum(1)
                 by_block: dict[int, list[int]] = {}
-                for c in cells_in_order(a, b, counts, max(reach, int(share * total))):
+                for c in cells_in_order(a, b, counts, reach):
                     for block in range(first[c], last[c] + 1):
                         by_block.setdefault(block, []).append(c)
                 yield pd.DataFrame({"query": _objects([f["query"].iloc[row]] * len(by_block)), "vector": [f["vector"].iloc[row]] * len(by_block), "block": list(by_block), "cells": list(by_block.values())})
