@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import re
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column
@@ -343,6 +344,11 @@ def _extreme(best, many, pick):
         if isinstance(first.type, T.ArrayType):
             if len(args) == 1:
                 return Value(many(first.col), first.type.elementType)
+            if isinstance(args[1].type, T.MapType):  # what the map has under it
+                return Value(F.try_element_at(args[1].col, many(first.col).cast(args[1].type.keyType)), args[1].type.valueType)
+            if isinstance(args[1].type, T.StructType):
+                text, kind = _text(Value(many(first.col), first.type.elementType)), common([f.dataType for f in args[1].type])
+                return Value(F.coalesce(*[F.when(text == n, args[1].col[n].cast(kind)) for n in args[1].type.names]), kind)
             if isinstance(args[1].type, T.ArrayType):  # the member of a parallel list
                 place = F.array_position(first.col, many(first.col))
                 return Value(F.get(args[1].col, (place - 1).cast("int")), args[1].type.elementType)
@@ -445,19 +451,25 @@ def now(*args: Value) -> Value:
 
 
 @register_function("time_window")
-def time_window(period: Value, at: Value | None = None, offset: Value | None = None) -> Value:
+def time_window(period: Value, at: Value | None = None, offset: Value | None = None, weekday: Value | None = None) -> Value:
     """The start of the window of N days, hours, minutes, seconds or weeks that a time lies in.
 
     Days count within the month and never fall below its first; the other units
-    count within the next larger one.
+    count within the next larger one, weeks from the first Monday of the year.  A number as offset goes so many windows
+    on, of weeks so many back; weeks may start on another weekday, 2 (Tuesday) to 7.
     """
     m = re.fullmatch(r"(\d*)([dHMSw])", constant(period))
     n, unit = int(m[1] or 1), m[2]
+    if at is not None and isinstance(at.const, (int, float)) and not isinstance(at.const, bool):
+        at, offset = None, at
     v = now() if at is None else at.one() if is_time(at.one().type) else casts.to_timestamp(at)
     c, kind = v.col, v.type
     day = F.date_trunc("day", c).cast(kind)
     if unit == "w":
-        start = day - F.make_dt_interval(F.weekday(c) + 7 * ((F.weekofyear(c) - 1) % n))
+        week = F.floor((F.dayofyear(c) + 6 - F.weekday(c)) / 7)  # from the first Monday on
+        first = constant(weekday) if weekday is not None else None
+        start = day - F.make_dt_interval((7 * (week % n)).cast("int"))  # on the same day of the week
+        start = start - F.make_dt_interval(F.weekday(c) - F.lit(first - 1 if isinstance(first, int) and 2 <= first <= 7 else 0))
     elif unit == "d":
         start = day - F.make_dt_interval(F.dayofmonth(c) - F.greatest((F.dayofmonth(c) / n).cast("int") * n, F.lit(1)))
     elif unit == "H":
@@ -467,7 +479,11 @@ def time_window(period: Value, at: Value | None = None, offset: Value | None = N
     else:
         second = (F.second(c) / n).cast("int") * n
         start = F.date_trunc("minute", c).cast(kind) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), second.cast("decimal(18,6)"))
-    if offset is not None and (o := re.fullmatch(r"([+-]?\d+)([YmdHMSw])", str(constant(offset)))):
+    by = constant(offset) if offset is not None else None
+    if isinstance(by, (int, float)) and not isinstance(by, bool):
+        seconds = {"d": 86400, "H": 3600, "M": 60, "S": 1, "w": -7 * 86400}[unit] * n * by
+        start = start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds).cast("decimal(18,6)"))
+    elif offset is not None and (o := re.fullmatch(r"([+-]?\d+)([YmdHMSw])", str(constant(offset)))):
         start = start + F.expr(f"INTERVAL {int(o[1])} {_UNITS[o[2]]}")
     return Value(start.cast(kind), kind)
 
@@ -659,18 +675,35 @@ def math_(method: str, v: Value, *args: Value) -> Value:
         whole = {"floor": F.floor, "ceil": F.ceil, "trunc": lambda c: F.when(c < 0, F.ceil(c)).otherwise(F.floor(c)), "factorial": lambda c: F.factorial(c.cast("int")), "isnan": lambda c: F.isnan(c).cast("long")}
         if method in whole:
             return Value(F.coalesce(whole[method](x).cast("long"), F.lit(0).cast("long")), LONG)
+        if method in ("comb", "perm"):
+            n_, k_ = casts.to_int(v).col, casts.to_int(rest[0]).col if rest else casts.to_int(v).col
+            fits = (k_ >= 0) & (k_ <= n_)
+            k_ = F.when(fits, F.least(k_, n_ - k_) if method == "comb" else k_).otherwise(F.lit(0).cast("long"))
+            wide = lambda c: c.cast("decimal(38,0)")
+            step = lambda acc, i: wide(F.floor(wide(acc) * wide(n_ - k_ + i) / (wide(i) if method == "comb" else F.lit(1))))
+            made = F.aggregate(F.when(k_ > 0, F.sequence(F.lit(1).cast("long"), F.greatest(k_, F.lit(1)))).otherwise(F.array().cast("array<long>")), wide(F.lit(1)), step)
+            return Value(F.when(fits, made.cast("long")).otherwise(F.lit(0).cast("long")), LONG)
+        if method in ("isinf", "isfinite"):
+            infinite = F.abs(x) == float("inf")
+            return Value(F.coalesce((infinite if method == "isinf" else ~infinite & ~F.isnan(x)).cast("long"), F.lit(0).cast("long")), LONG)
+        if method == "isqrt":
+            return Value(F.coalesce(F.when(x >= 0, F.floor(F.sqrt(x))).cast("long"), F.lit(0).cast("long")), LONG)
+        if method == "lcm":
+            a, b = F.abs(casts.to_int(v).col), F.abs(casts.to_int(rest[0]).col)
+            shared = math_("gcd", v, rest[0]).col
+            return Value(F.when(shared == 0, 0).otherwise(F.expr("1L") * a / shared * b).cast("long"), LONG)
         if method == "gcd":
             a, b = F.abs(casts.to_int(v).col), F.abs(casts.to_int(rest[0]).col)
             pair = F.struct(a.alias("a"), b.alias("b"))
             step = lambda p, _: F.when(p["b"] == 0, p).otherwise(F.struct(p["b"].alias("a"), (p["a"] % F.when(p["b"] == 0, 1).otherwise(p["b"])).alias("b")))
             return Value(F.aggregate(F.sequence(F.lit(1), F.lit(92)), pair, step)["a"], LONG)
-        plain = {"fabs": F.abs, "sqrt": F.sqrt, "exp": F.exp, "log2": F.log2, "log10": F.log10, "sin": F.sin, "cos": F.cos, "tan": F.tan, "asin": F.asin, "acos": F.acos, "atan": F.atan, "sinh": F.sinh, "cosh": F.cosh, "tanh": F.tanh, "degrees": F.degrees, "radians": F.radians, "expm1": F.expm1, "log1p": F.log1p}
+        plain = {"fabs": F.abs, "sqrt": F.sqrt, "exp": F.exp, "log2": F.log2, "log10": F.log10, "sin": F.sin, "cos": F.cos, "tan": F.tan, "asin": F.asin, "acos": F.acos, "atan": F.atan, "sinh": F.sinh, "cosh": F.cosh, "tanh": F.tanh, "degrees": F.degrees, "radians": F.radians, "expm1": F.expm1, "log1p": F.log1p, "cbrt": F.cbrt, "asinh": F.asinh, "acosh": F.acosh, "atanh": F.atanh, "exp2": lambda c: F.pow(F.lit(2.0), c)}
         if method in plain:
             made = plain[method](x)
         elif method == "log":
             made = F.log(x) if y is None else F.log(x) / F.log(y)
-        elif method in ("pow", "atan2", "hypot", "fmod"):
-            made = {"pow": F.pow, "atan2": F.atan2, "hypot": F.hypot, "fmod": lambda a, b: F.when(b != 0, a % b)}[method](x, y)
+        elif method in ("pow", "atan2", "hypot", "fmod", "copysign", "remainder"):
+            made = {"copysign": lambda a, b: F.when(b < 0, -F.abs(a)).otherwise(F.abs(a)), "remainder": lambda a, b: F.when(b != 0, a - b * F.bround(a / b)), "pow": F.pow, "atan2": F.atan2, "hypot": F.hypot, "fmod": lambda a, b: F.when(b != 0, a % b)}[method](x, y)
         else:
             raise ValueError(f"unknown method math::{method}")
         return Value(F.when(made.isNull() | F.isnan(made), 0.0).otherwise(made), DOUBLE)
@@ -695,13 +728,43 @@ def json_(method: str, v: Value, schema: Value | None = None) -> Value:
     return Value(F.from_json(_text(v), kind), kind)
 
 
+@dataclass(frozen=True)
+class Match(Value):
+    """The text that a pattern has matched, with what its methods need."""
+
+    pattern: str = ""
+    text: Column | None = None
+
+
+def _match_method(method: str, m: Match, *args: Value) -> Value:
+    count = len(re.findall(r"(?<!\\)\((?!\?)", m.pattern))
+    hit = m.col.isNotNull()
+    group = lambda i: F.when(hit, F.regexp_extract(m.text, m.pattern, i))
+    start = F.when(hit, (F.regexp_instr(m.text, F.lit(m.pattern)) - 1).cast("long"))
+    end = start + F.length(m.col)
+    if method == "group":
+        wanted = [int(constant(a)) for a in args] or [0]
+        return Value(group(wanted[0]), STRING) if len(wanted) == 1 else array([Value(group(i), STRING) for i in wanted])
+    if method == "groups":
+        return Value(F.when(hit, F.array(*[F.regexp_extract(m.text, m.pattern, i) for i in range(1, count + 1)]).cast("array<string>")), T.ArrayType(STRING))
+    if method in ("start", "end"):
+        return Value(start if method == "start" else end, LONG)
+    if method == "span":
+        return Value(F.when(hit, F.array(start, end)), T.ArrayType(LONG))
+    raise ValueError(f"unknown method re::{method} of a match")
+
+
 @register_function("re")
-def re_(method: str, pattern: Value, s: Value, *args: Value) -> Value:
+def re_(method: str, pattern: Value, *rest: Value) -> Value:
+    if isinstance(pattern, Match):
+        return _match_method(method, pattern, *rest)
+    s, *args = rest
     p, c = "(?s)" + constant(pattern), _text(s)
     if method in ("match", "search", "fullmatch"):
         full = {"match": f"^(?:{p})", "search": p, "fullmatch": f"^(?:{p})$"}[method]
         group = int(constant(args[0])) if args else 0
-        return Value(F.when(F.regexp_like(c, F.lit(full)), F.regexp_extract(c, full, group)), STRING)
+        found = F.when(F.regexp_like(c, F.lit(full)), F.regexp_extract(c, full, group))
+        return Value(found, STRING) if args else Match(found, STRING, pattern=full, text=c)
     if method in ("findall", "finditer"):
         groups = len(re.findall(r"(?<!\\)\((?!\?)", p))
         if groups > 1:  # each match is the list of its groups

@@ -326,6 +326,18 @@ _functions("dt_at", "events", "event_id", {"a": (["@datetime::at", "$.ts", 6, 30
 _functions("time_window_hour", "events", "event_id", {"w": (["@time_window", "6H", "$.ts"], "date_trunc('day', ts)::TIMESTAMP + to_hours(CAST(hour(ts) // 6 * 6 AS INTEGER))")})
 _functions("time_window_day", "events", "event_id", {"w": (["@time_window", "7d", "$.ts"], "date_trunc('month', ts)::TIMESTAMP + to_days(CAST(greatest(day(ts) // 7 * 7, 1) - 1 AS INTEGER))")})
 _functions("time_window_week", "events", "event_id", {"w": (["@time_window", "1w", "$.ts"], "date_trunc('week', ts)::TIMESTAMP")})
+_MONDAY = "date_trunc('week', ts)"
+_functions(
+    "time_window_starts",
+    "events",
+    "event_id",
+    {
+        "tuesday": (["@time_window", "1w", "$.ts", 0, 2], f"{_MONDAY}::TIMESTAMP + INTERVAL 1 DAY"),
+        "before": (["@time_window", "1w", "$.ts", 2], f"{_MONDAY}::TIMESTAMP - INTERVAL 14 DAY"),
+        "later": (["@time_window", "6H", "$.ts", 2], "date_trunc('day', ts)::TIMESTAMP + to_hours(CAST(hour(ts) // 6 * 6 + 12 AS INTEGER))"),
+        "third": (["@time_window", "3w", "$.ts"], f"{_MONDAY}::TIMESTAMP - to_days(CAST(7 * (CAST(strftime(ts, '%W') AS INTEGER) % 3) AS INTEGER))"),
+    },
+)
 SQL["dt_parts"] = "SELECT event_id, " + ", ".join(f"CAST({x} AS BIGINT) AS {n}" for n, x in (("y", "year(ts)"), ("h", "hour(ts)"), ("w", "isodow(ts) - 1"), ("d", "isodow(ts)"))) + " FROM events"
 
 
@@ -351,6 +363,30 @@ _functions("json_decode_get", "events", "event_id", {"k": (["@json::decode", "$.
 _functions("json_encode", "events", "event_id", {"j": (["@json::encode", ["#make", {"id": "$.event_id", "t": "$.event_type"}]], "'{\"id\":' || event_id || ',\"t\":\"' || event_type || '\"}'")})
 _functions("hash_md5_sha", "part", "p_partkey", {"m": (["@hash::md5", "$.p_name"], "md5(p_name)"), "s": (["@hash::sha256", "$.p_name", "$.p_brand"], "sha256(p_name || p_brand)")})
 _functions("re_extract", "part", "p_partkey", {"m": (["@re::search", "#(\\d+)", "$.p_brand", 1], "nullif(regexp_extract(p_brand, '#(\\d+)', 1), '')"), "f": (["@re::fullmatch", "Brand#1.", "$.p_brand"], "CASE WHEN regexp_full_match(p_brand, 'Brand#1.') THEN p_brand END")})
+_SEEN = ["@re::search", "([a-z])(d#)", "$.p_brand"]
+_functions(
+    "re_match_methods",
+    "part",
+    "p_partkey",
+    {
+        "groups": (["@join", ["@re::groups", _SEEN], "/"], "regexp_extract(p_brand, '([a-z])(d#)', 1) || '/' || regexp_extract(p_brand, '([a-z])(d#)', 2)"),
+        "start": (["@re::start", _SEEN], "CAST(instr(p_brand, 'd#') - 2 AS BIGINT)"),
+        "ends": (["@re::end", _SEEN], "CAST(instr(p_brand, 'd#') + 1 AS BIGINT)"),
+        "second": (["@re::group", _SEEN, 2], "regexp_extract(p_brand, '([a-z])(d#)', 2)"),
+    },
+)
+_functions(
+    "math_counts",
+    "part",
+    "p_partkey",
+    {
+        "ways": (["@math::comb", ["@mod", "$.p_size", 20], 3], "CAST(CASE WHEN p_size % 20 < 3 THEN 0 ELSE (p_size % 20) * (p_size % 20 - 1) * (p_size % 20 - 2) // 6 END AS BIGINT)"),
+        "orders": (["@math::perm", ["@mod", "$.p_size", 20], 2], "CAST((p_size % 20) * (p_size % 20 - 1) AS BIGINT)"),
+        "shared": (["@math::lcm", "$.p_size", 12], "CAST(lcm(p_size, 12) AS BIGINT)"),
+        "root": (["@math::isqrt", "$.p_partkey"], "CAST(floor(sqrt(p_partkey)) AS BIGINT)"),
+        "named": (["@max", ["@make", "$.p_size", 10], ["#const", {"10": "ten", "11": "eleven"}]], "CASE WHEN p_size <= 10 THEN 'ten' WHEN p_size = 11 THEN 'eleven' END"),
+    },
+)
 _functions("re_replace", "part", "p_partkey", {"r": (["@re::sub", "[aeiou]", "_", "$.p_name"], "regexp_replace(p_name, '[aeiou]', '_', 'g')")})
 _functions("re_findall", "part", "p_partkey", {"f": (["@join", ["@re::findall", "[a-z]+", "$.p_name"], "+"], "array_to_string(regexp_extract_all(p_name, '[a-z]+'), '+')")})
 _functions("type_tests", "part", "p_partkey", {"t": (["@type", "$.p_name"], "'str'"), "i": (["@is_int", "$.p_partkey"], "1::BIGINT"), "n": (["@is_null", "$.p_name"], "0::BIGINT"), "e": (["@empty", "$.p_partkey"], "CAST(CASE WHEN p_partkey <> 0 THEN 1 ELSE 0 END AS BIGINT)")})
