@@ -11,6 +11,8 @@ import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,7 +21,7 @@ from pyspark.sql import types as T
 from weftline.functions import call
 from weftline.functions.registry import FOLDS
 from weftline.lang.casts import cast
-from weftline.lang.values import LONG, NULL, Value, array, common, compare, is_number, literal, null, struct, truthy, widened
+from weftline.lang.values import LONG, NULL, Value, array, common, compare, is_number, is_time, literal, null, struct, truthy, widened
 from weftline.plans import scan
 
 SEQ = "_seq"
@@ -614,6 +616,12 @@ class Compiler:
         def join(table: DataFrame) -> None:
             self.df = self.df.join(table, whole, "left").drop(*on)
 
+        if residual is not None and not many and len(scope) == 1 and (read := self.read_of(residual)) is not None:
+            agg = self.aggregated(ret, right)
+            tag += json.dumps([residual, ret if agg is not None else None])
+            if tag not in self._joined:
+                self._joined[tag] = self.conditional(values, read, keyed, on, col, kind, residual, right, agg)
+            return self._joined[tag] if agg is not None else self.returned(self._joined[tag], ret, scope)
         summed = None if residual or many else self.aggregated(ret, right)
         if summed is not None:
             agg, out, absent = summed
@@ -649,6 +657,71 @@ class Compiler:
             found = self.residual(found, residual, scope)
         return self.returned(found, ret, scope)
 
+    def read_of(self, residual) -> list[str] | None:
+        """The columns of the row that a lookup's condition reads; None where it reads more than columns."""
+        text = json.dumps(residual)
+        names = re.findall(r'"\$\$\.([A-Za-z_]\w*)(?=[|"])', text)
+        whole = text.count("$$") == len(names) and "$$$" not in text and set(names) <= set(self.columns) and SEQ not in names
+        return sorted(set(names)) if whole else None
+
+    def bounds(self, residual, probe: Value, row: Value) -> tuple[str, Value, Value] | None:
+        """(field of the table, from, to) where a condition holds a time between two of the row's: at or after one, at or before the other."""
+        found: dict[str, dict[str, Value]] = {}
+        parts = residual[1:] if isinstance(residual, list) and residual[:1] == ["@and"] else [residual]
+        for part in parts:
+            if not (isinstance(part, list) and len(part) == 3 and part[0] in ("@gt", "@gte", "@lt", "@lte") and all(isinstance(e, (str, list)) for e in part[1:])):
+                continue
+            for mine, other, op in ((part[1], part[2], part[0]), (part[2], part[1], {"g": "@l", "l": "@g"}[part[0][1]])):
+                if isinstance(mine, str) and (m := re.fullmatch(r"\$\.([A-Za-z_]\w*)", mine)) is not None and not re.search(r'"\$[.*|"]', json.dumps(other)):
+                    v = self(other, [probe, row]).one()
+                    if is_time(v.type) and m[1] in row.type.names and is_time(row.type[m[1]].dataType):
+                        found.setdefault(m[1], {}).setdefault(op[1], v)
+        return next(((name, ends["g"], ends["l"]) for name, ends in found.items() if len(ends) == 2), None)
+
+    def conditional(self, values: list[Value], read: list[str], keyed: DataFrame, on: list[str], col: str, kind, residual, right: DataFrame, agg) -> Value:
+        """Matches that a condition holds of, found while joining: only they are collected, or summed up.
+
+        Each different combination of keys and columns that the condition reads is joined
+        once.  Where it holds a time between two others, both sides also meet by bins of the
+        usual length of that range, so that a key with many matches is neither met whole nor by one task.
+        """
+        values, probe_kind = [v.one() for v in values], T.StructType([self.df.schema[n] for n in read])
+        names = [f"{col}k{i}" for i in range(len(values))] + [f"{col}r{i}" for i in range(len(read))]
+        cols = [v.col.cast(keyed.schema[o].dataType) for v, o in zip(values, on, strict=True)] + [F.col(f"`{n}`") for n in read]
+        probes = self.df.select(*[c.alias(n) for c, n in zip(cols, names, strict=True)]).distinct()
+        probe = struct({n: Value(F.col(names[len(values) + i]), probe_kind[n].dataType).plain() for i, n in enumerate(read)}) if read else literal({"_": None})
+        row = Value(F.col(col), kind)
+        same = [F.col(n) == F.col(o) for n, o in zip(names, on, strict=False)]
+        keep = truthy(self(residual, [probe, row]))
+        table = keyed.withColumn("__o", F.monotonically_increasing_id())
+        within = self.bounds(residual, probe, row)
+        if within is None:
+            met = probes.join(table, reduce(and_, [*same, keep]))
+        else:
+            field, low, high = within
+            seconds = lambda c: c.cast("timestamp").cast("double")
+            ends = probes.withColumns({f"{col}lo": seconds(low.col), f"{col}hi": seconds(high.col)})
+            lo, hi = F.col(f"{col}lo"), F.col(f"{col}hi")
+            usual = ends.select(F.avg(F.when(hi >= lo, hi - lo)).alias("w")).first()["w"]
+            width = max(float(usual or 0), 1.0)
+            known = ends.where(hi >= lo).withColumn(f"{col}b", F.explode(F.sequence(F.floor(lo / width), F.floor(hi / width))))
+            binned = table.withColumn(f"{col}c", F.floor(seconds(F.col(col)[field]) / width))
+            met = known.join(binned, reduce(and_, [*same, F.col(f"{col}b") == F.col(f"{col}c"), keep])).drop(f"{col}b", f"{col}c")
+            open_ = ends.where(lo.isNull() | hi.isNull())  # null bounds nothing
+            met = met.unionByName(open_.join(table, reduce(and_, [*same, keep]))).drop(f"{col}lo", f"{col}hi")
+        if agg is not None:
+            fn, out, absent = agg
+            met = met.select(*names, f"{col}.*")
+            found = met.groupBy(*names).agg(fn.alias(col))
+        else:
+            order = F.array_sort(F.collect_list(F.struct("__o", col)))
+            found = met.groupBy(*names).agg(F.transform(order, lambda s: s[col]).alias(col))
+        back = [c.eqNullSafe(F.col(n)) for c, n in zip(cols, names, strict=True)]
+        self.df = self.df.join(found, reduce(and_, back), "left").drop(*names)
+        if agg is not None:
+            return Value(F.coalesce(F.col(col), F.lit(absent).cast(out)) if absent is not None else F.col(col), out)
+        return Value(F.col(col), T.ArrayType(kind), rows=True)
+
     def residual(self, found: Value, residual, scope) -> Value:
         if residual is None:
             return found

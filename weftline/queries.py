@@ -115,6 +115,16 @@ job("lookup_filtered", "SELECT c_custkey, coalesce(total, 0) AS total FROM (SELE
 _TOTAL = QUERIES["lookup_filtered"]
 QUERIES["lookup_filtered"] = lambda spark, sf_dir: _TOTAL(spark, sf_dir).withColumn("total", F.round("total", 2))
 job("lookup_theta", "SELECT o_orderkey, l_linenumber::BIGINT AS l_linenumber FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_shipdate >= o_orderdate", "orders", {"o_orderkey": "$.o_orderkey", "l_linenumber": ["$.o_orderkey", "&&.t.lineitem::l_orderkey", ["@gte", "$.l_shipdate", "$$.o_orderdate"], ":$.l_linenumber"]})
+_DAY = ["@and", ["@gte", "$.ts", ["@time_window", "1d", "$$.ts"]], ["@lt", "$.ts", "$$.ts"]]
+job(
+    "lookup_range",
+    """SELECT a.event_id, max(b.event_id) AS latest, coalesce(string_agg(b.event_id, ',' ORDER BY b.event_id), '') AS ids, round(coalesce(sum(b.value), 0), 4) AS total FROM events a
+    LEFT JOIN events b ON b.user_id = a.user_id AND b.ts >= date_trunc('day', a.ts) AND b.ts < a.ts GROUP BY 1""",
+    "events",
+    {"event_id": "$.event_id", "latest": ["$.user_id", "&.t.events::user_id", _DAY, [":@max", "$.event_id"]], "ids": ["$.user_id", "&.t.events::user_id", _DAY, [":@join", ["@sort", "$.event_id"], ","]], "total": ["$.user_id", "&.t.events::user_id", _DAY, [":@sum", "$.*", "value"]]},
+)
+_RANGE = QUERIES["lookup_range"]
+QUERIES["lookup_range"] = lambda spark, sf_dir: _RANGE(spark, sf_dir).withColumn("total", F.round("total", 4))
 job("lookup_semi", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", "customer", {"c_custkey": "$.c_custkey"}, predicate=["@gt", ["$.c_custkey", "&.t.orders::o_custkey", [":@sum", "$.*", "o_totalprice"]], 0])
 job("lookup_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", "customer", {"c_custkey": "$.c_custkey"}, predicate=["@eq", ["$.c_custkey", "&.t.orders::o_custkey", [":@sum", "$.*", "o_totalprice"]], 0])
 job("lookup_inner", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey", "orders", {"o_orderkey": "$.o_orderkey", "c_name": ["$.o_custkey", "&.t.customer::c_custkey", ":$.c_name"]}, options=_ONE, intercept=["@not", ["@is_null", "$.c_name"]])
