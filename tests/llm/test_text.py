@@ -90,15 +90,19 @@ def test_token_at(spark, tmp_path):
 
 def test_template_automata_equal_regular_expressions():
     rnd = random.Random(5)
-    words = sorted({w for t in licences.TEMPLATES.values() for w in re.sub("<<.*?>>", " ", t).split()})[:40] + ["x"]
-    for label, template in licences.TEMPLATES.items():
+    more = {"first": '<<var;name="x";match=".+">> a b', "either": '<<var;match="a b|a c|d">> e <<var;original="f g">> h', "some": 'a <<var;match=".{1,2}">> b <<beginOptional;name="o">>c<<endOptional>>', "long": 'a <<var;match=".{0,5000}">> b'}
+    tokens = lambda t: [w.decode() for w in licences.words(re.sub("<<.*?>>", " ", t))]
+    words = sorted({w for t in licences.TEMPLATES.values() for w in tokens(t)})[:40] + ["x", *"abcdefgh"]
+    for label, template in (licences.TEMPLATES | more).items():
         a, pattern = licences.compile_template(template), re.compile(licences.template_regex(template))
-        plain = re.sub("<<.*?>>", " ", template).split()
+        plain = tokens(template)
         for _ in range(60):
             text = [w for w in plain if rnd.random() > 0.03]
             if rnd.random() < 0.5:
                 text.insert(rnd.randrange(len(text) + 1), rnd.choice(words))
-            found = any(w.encode() in a.firsts and a.accepts([x.encode() for x in text], i) for i, w in enumerate(text))
+            if label in more:
+                text = [rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 12))]
+            found = any((a.any_first or w.encode() in a.firsts) and a.accepts([x.encode() for x in text], i) for i, w in enumerate(text))
             assert found == bool(pattern.search(" " + " ".join(text) + " ")), (label, text)
 
 
@@ -111,8 +115,23 @@ def test_licence_table(spark):
     assert got[4]["labels"] == "" and got[4]["score"] == 0
     assert (got[5]["n_words"], got[5]["first_word"]) == (0, None)
     assert licences.scan(edge_table(spark)).count() == len(EDGES)
-    with pytest.raises(ValueError):
-        licences.compile_template("a <<beginOptional>> b")
+    for wrong in ("a <<beginOptional>> b", "a <<endOptional>> b", '<<var;match=".+">>', "a <<other>> b", 'a <<var;match="[a-z]+">> b', "<<beginOptional>>a<<endOptional>>"):
+        with pytest.raises(ValueError):
+            licences.compile_template(wrong)
+
+
+def test_whole_licences(spark):
+    """Whole texts with another holder, another bullet and other line breaks; one that lacks a mandatory word is none."""
+    fill = lambda t, **names: re.sub(r'<<var;name="(\w+)";original="([^"]*)".*?>>', lambda m: names.get(m[1], m[2]), re.sub("<<(begin|end)Optional>>", "", t))
+    mit, bsd = licences.TEMPLATES["mit-text"], licences.TEMPLATES["bsd-text"]
+    texts = [
+        fill(mit, liable="Ann B. Example and others", copyright="2020 Ann"),
+        fill(mit).replace("without restriction", "with restriction"),
+        fill(bsd, bullet1="*", bullet2="*", bullet3="*", holder="Example Ltd.").replace("\n", "\n\n// "),
+        "x " * 50 + fill(licences.TEMPLATES["isc-text"], author="ANN") + " y",
+    ]
+    got = {r["doc_id"]: r["labels"].split(",") for r in licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [[label for label in got[i] if label.endswith("-text")] for i in range(4)] == [["mit-text"], [], ["bsd-text"], ["isc-text"]]
 
 
 def _auc(score, label):

@@ -1,8 +1,10 @@
 """Licence statements found by template markup compiled into token automata.
 
-A template is plain wording with two kinds of markup, as licence lists use:
+A template is wording with two kinds of markup, as licence lists use:
 ``<<beginOptional>> ... <<endOptional>>`` (may nest) for wording that may be
-left out, and ``<<var;max=N>>`` for up to N words of any wording.  A template
+left out, and ``<<var;name="..";original="..";match="..">>`` for wording that may be another.  ``match`` is ``.+`` or ``.*`` (any
+words), ``.{a,b}`` (any words, as many as b at most, at least one if a is not 0; without a limit past 64), or literal
+alternatives ``one|another``; without it only the original fits.  ``<<var;max=N>>`` is short for up to N words.  A template
 compiles to an automaton over words; a text is accepted where the automaton
 reaches its end, so all mandatory wording has to stand there exactly, in order
 and with nothing in between.
@@ -40,6 +42,19 @@ TEMPLATES = {
     "bsd-clauses": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "isc-grant": "permission to use copy modify and <<beginOptional>>or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted",
     "all-rights-reserved": "<<beginOptional>>copyright <<var;max=8>><<endOptional>> all rights reserved",
+    "mit-text": """<<beginOptional>>MIT License<<endOptional>> <<beginOptional>>Copyright <<var;name="copyright";original="(c) year holder";match=".{0,40}">><<endOptional>>
+Permission is hereby granted, free of charge, to any person obtaining a copy of this <<var;name="work";original="software and associated documentation files";match="software and associated documentation files|software">> (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND <<var;name="infringement";original="NONINFRINGEMENT";match="noninfringement|non infringement">>. IN NO EVENT SHALL <<var;name="liable";original="THE AUTHORS OR COPYRIGHT HOLDERS";match=".+">> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "isc-text": """<<beginOptional>>ISC License<<endOptional>> <<beginOptional>>Copyright <<var;name="copyright";original="(c) year holder";match=".{0,40}">><<endOptional>>
+Permission to use, copy, modify, <<var;name="and";original="and/or";match="and|and or">> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND <<var;name="author";original="THE AUTHOR";match=".{1,40}">> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;name="liable";original="THE AUTHOR";match=".{1,40}">> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "bsd-text": """<<beginOptional>>Copyright <<var;name="copyright";original="(c) year holder";match=".{0,40}">><<endOptional>>
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+<<var;name="bullet1";original="1.";match=".{0,1}">> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+<<var;name="bullet2";original="2.";match=".{0,1}">> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+<<beginOptional>><<var;name="bullet3";original="3.";match=".{0,1}">> Neither the name of <<var;name="holder";original="the copyright holder";match=".+">> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.<<endOptional>>
+THIS SOFTWARE IS PROVIDED BY <<var;name="provider";original="THE COPYRIGHT HOLDERS AND CONTRIBUTORS";match=".+">> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var;name="liable";original="THE COPYRIGHT HOLDER OR CONTRIBUTORS";match=".+">> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
 }
 
 _TABLE = bytes((c + 32 if 65 <= c <= 90 else c) if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -78,8 +93,7 @@ class Automaton:
     def finish(self) -> Automaton:
         self.closures = [frozenset(self.closure({s})) for s in range(len(self.step))]
         self.firsts = {w for s in self.closures[0] for w in self.step[s]}
-        if any(self.free[s] is not None for s in self.closures[0]):
-            raise ValueError("a template starts with a word")
+        self.any_first = any(self.free[s] is not None for s in self.closures[0])
         self.last = len(self.step) - 1
         return self
 
@@ -101,27 +115,92 @@ class Automaton:
         return False
 
 
-def compile_template(template: str) -> Automaton:
-    a, opened, mandatory = Automaton(), [], []
-    here = 0
+@dataclass
+class Mark:
+    """A piece of a template: wording, the begin or end of an optional part, or a variable of ``least`` to ``most`` words or of alternatives."""
+
+    kind: str
+    words: list[str] = field(default_factory=list)
+    least: int = 0
+    most: int | None = None
+    options: list[list[str]] | None = None
+
+
+#: A variable of more words than this has no limit.
+LONGEST = 64
+
+
+def _variable(text: str) -> Mark:
+    given = {k: quoted or bare for k, quoted, bare in re.findall(r';(\w+)=(?:"([^"]*)"|([^;]*))', text)}
+    plain = lambda x: [w.decode() for w in words(x)]
+    if "max" in given:
+        return Mark("var", most=int(given["max"]))
+    match = given.get("match", given.get("original"))
+    if match in (".+", ".*"):
+        return Mark("var", least=int(match == ".+"))
+    if (m := re.fullmatch(r"\.\{(\d+),(\d*)\}", match or "")) is not None:
+        return Mark("var", least=min(int(m[1]), 1), most=int(m[2]) if m[2] and int(m[2]) <= LONGEST else None)
+    literal = match is not None and ("match" not in given or not re.search(r"[\\\[\]{}*+?^$.()]", match))
+    if not literal:
+        raise ValueError(f"unknown markup {text!r}")
+    return Mark("var", options=[plain(x) for x in (match.split("|") if "match" in given else [match])])
+
+
+def marks(template: str) -> list[Mark]:
+    out, depth = [], 0
     for m in _MARKUP.finditer(template):
         mark, word = m.groups()
         if word is not None:
+            out.append(Mark("word", [w.decode() for w in words(word)]))
+        elif (name := mark.partition(";")[0]) in ("beginOptional", "endOptional"):
+            depth += 1 if name == "beginOptional" else -1
+            out.append(Mark(name))
+        elif name == "var":
+            out.append(_variable(mark))
+        else:
+            raise ValueError(f"unknown markup {mark!r}")
+        if depth < 0:
+            break
+    if depth or not any(m.kind == "word" and m.words for m in out):
+        raise ValueError("a template closes its optional parts and has mandatory wording")
+    return out
+
+
+def compile_template(template: str) -> Automaton:
+    a, opened, mandatory = Automaton(), [], []
+    here = 0
+
+    def chain(at: int, text: list[str]) -> int:
+        for w in text:
             new = a.add()
-            a.step[here][word.lower().encode()] = new
-            here = new
+            a.step[at][w.encode()] = new
+            at = new
+        return at
+
+    for m in marks(template):
+        if m.kind == "word":
+            here = chain(here, m.words)
             if not opened:
-                mandatory.append(word.lower().encode())
-        elif mark == "beginOptional":
+                mandatory += [w.encode() for w in m.words]
+        elif m.kind == "beginOptional":
             opened.append(here)
-        elif mark == "endOptional":
+        elif m.kind == "endOptional":
             new = a.add()
             a.skip[here].add(new)
             a.skip[opened.pop()].add(new)
             here = new
-        elif (v := re.fullmatch(r"var;max=(\d+)", mark)) is not None:
-            begun = [here]
-            for _ in range(int(v[1])):
+        elif m.options is not None:
+            ends = []
+            for text in m.options:  # each begins in a state of its own, as they may begin alike
+                first = a.add()
+                a.skip[here].add(first)
+                ends.append(chain(first, text))
+            here = a.add()
+            for s in ends:
+                a.skip[s].add(here)
+        else:
+            begun = [here] if m.least == 0 else []
+            for _ in range(max(m.least, m.most or 0)):
                 new = a.add()
                 a.free[here] = new
                 here = new
@@ -129,10 +208,13 @@ def compile_template(template: str) -> Automaton:
             new = a.add()
             for s in begun:
                 a.skip[s].add(new)
-            here = new
-        else:
-            raise ValueError(f"unknown markup {mark!r}")
-    if opened or not mandatory:
+            if m.most is None:
+                a.free[new] = new
+                here = a.add()
+                a.skip[new].add(here)
+            else:
+                here = new
+    if not mandatory:
         raise ValueError("a template closes its optional parts and has mandatory wording")
     a.mandatory, a.anchor = len(mandatory), max(mandatory, key=len)
     return a.finish()
@@ -141,12 +223,15 @@ def compile_template(template: str) -> Automaton:
 def template_regex(template: str) -> str:
     """The same wording as a regular expression over the words joined by one space, with a space at both ends."""
     out = []
-    for m in _MARKUP.finditer(template):
-        mark, word = m.groups()
-        if word is not None:
-            out.append(f"{word.lower()} ")
+    for m in marks(template):
+        if m.kind == "word":
+            out += [f"{w} " for w in m.words]
+        elif m.options is not None:
+            out.append("(?:" + "|".join("".join(f"{w} " for w in text) for text in m.options) + ")")
+        elif m.kind == "var":
+            out.append("(?:[^ ]+ ){%d,%s}" % (m.least, "" if m.most is None else m.most))
         else:
-            out.append({"beginOptional": "(?:", "endOptional": ")?"}.get(mark) or "(?:[^ ]+ ){0,%s}" % mark.partition("=")[2])
+            out.append({"beginOptional": "(?:", "endOptional": ")?"}[m.kind])
     return " " + "".join(out)
 
 
@@ -167,7 +252,7 @@ class Scanner:
                     base.add(label)
                     longest = max(longest, len(phrase))
         for label, a in self.templates:
-            if a.anchor in flat and any(w in a.firsts and a.accepts(found, i) for i, w in enumerate(found)):
+            if a.anchor in flat and any((a.any_first or w in a.firsts) and a.accepts(found, i) for i, w in enumerate(found)):
                 labels.add(label)
                 longest = max(longest, a.mandatory)
         both = ",".join(sorted(base | labels))
