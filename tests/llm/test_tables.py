@@ -1,17 +1,20 @@
 """Near duplicates, components, nearest neighbours, mixing, personal data and the pipeline, against brute force."""
 
 import hashlib
+import math
 import re
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from weftline.llm import imi, mixing, neardup, pii
 from weftline.llm.graphs import components
 from weftline.llm.hashing import shingles, weighted_jaccard
+from weftline.llm.queries import tokenizer_path
 
 
 def rows(df):
@@ -355,6 +358,25 @@ def test_pii_stays_in_the_jvm(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def brute_copies(docs, seed=7):
+    """How often each document comes: the Poisson distribution of its source's rate, inverted at its hashed point."""
+    size = {}
+    for _, source in docs:
+        size[source] = size.get(source, 0) + 1
+    total = sum(n**0.5 for n in size.values())
+    out = {}
+    for i, source in docs:
+        rate = size[source] ** 0.5 / total * len(docs) / size[source]
+        u = (int(hashlib.md5(f"{seed}|{i}|0".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        p, below, n = math.exp(-rate), math.exp(-rate), 0
+        while u >= below and n < 200:
+            n += 1
+            p *= rate / n
+            below += p
+        out[i] = n
+    return out
+
+
 def test_pipeline_against_its_parts(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -368,8 +390,17 @@ def test_pipeline_against_its_parts(spark):
             texts = {r["doc_id"]: r for r in out.collect()}
             assert all(r["n_chars"] == len(r["text"]) and not brute_spans(r["text"]) for r in texts.values())
             assert len(texts) == docs.count()
+        if name == "mixing":
+            copies = brute_copies([(r["doc_id"], r["source"]) for r in docs.collect()])
+            assert {r["doc_id"]: r["count"] for r in out.groupBy("doc_id").count().collect()} == {i: n for i, n in copies.items() if n}
         docs = out.cache()
-    assert corpus_pipeline.run(spark, sf).count() == docs.count()
+    library = Tokenizer.from_file(tokenizer_path())
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = []
+    for r in docs.collect():
+        ids = library.encode(r["text"], add_special_tokens=False).ids
+        want.append((r["doc_id"], len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)), ids))
+    assert rows(corpus_pipeline.run(spark, sf).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids")) == sorted(want, key=str)
 
 
 def test_pipeline_keeps_clean_rows_and_takes_odd_ones(spark):
