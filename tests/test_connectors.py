@@ -182,3 +182,14 @@ def test_rows_meet_a_whole_table(spark, monkeypatch, most):
     else:
         with pytest.raises(ValueError, match="too many"):
             plan("&.m.b")
+
+
+def test_a_registered_sink(spark):
+    from weftline.sinks import register_sink
+
+    taken = []
+    register_sink("bucket", lambda df, options, table, mode, keys: taken.append((options["at"], table, mode, keys, rows(df))) or {"stored": df.count()})
+    databases = [{"name": "b", "driver": "bucket", "at": "there"}]
+    status = Job.from_config(spark, {"databases": databases, "input": [{"a": 1}, {"a": 2}], "output": "&.b.t::a use UI", "schema": {"a": "$.a"}}).run()
+    assert taken == [("there", "t", "upsert", ["a"], [(1,), (2,)])]
+    assert status == {"mode": "upsert", "stored": 2}

@@ -42,3 +42,21 @@ def test_conditions_that_read_nothing_of_the_row(spark):
     schema = {"k": "$.k", "s": ["$.k", "&.m.r::k", ["@gt", "$.v", 4], [":@sum", "$.v"]]}
     got = sorted(tuple(r) for r in Job.from_config(spark, {"input": "&.m.l", "schema": schema}, catalog=catalog).plan().collect())
     assert got == [(1, 12), (2, 0), (3, 0)]
+
+
+def test_latest_earlier_rows_of_a_hot_key(spark, monkeypatch):
+    from weftline.operators import asof
+
+    rng = random.Random(2)
+    key = lambda: rng.choice([None, 1, 2, 2, 2, 2])
+    left = [(i, key(), rng.randrange(60)) for i in range(150)]
+    right = [(i, key(), rng.randrange(60)) for i in range(200)]
+    a, b = spark.createDataFrame(left, "i long, k long, t long").repartition(3), spark.createDataFrame(right, "j long, k long, t long")
+    want = []
+    for i, k, t in left:
+        before = [(u, j) for j, other, u in right if other == k and u < t]
+        want.append((i, max(before)[1] if before else None))
+    for hot in (asof.HOT, 20):
+        monkeypatch.setattr(asof, "HOT", hot)
+        got = asof.asof_join(a, b, ["k"], "t", "t", ["j"], ties=["j"]).select("i", "asof_j").collect()
+        assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)

@@ -9,6 +9,7 @@ _EXPORTS = {
     "run_all": "plans.job",
     "Catalog": "sources",
     "register_driver": "sources",
+    "register_sink": "sinks",
     "register_function": "functions",
     "register_udf": "functions",
     "register_fold": "functions.registry",

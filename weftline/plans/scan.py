@@ -65,13 +65,24 @@ def each(step: Callable[[Column, Column], Column], kind: T.DataType) -> Advance:
     return run
 
 
+def loosened(kind: T.DataType) -> T.DataType:
+    """The type with null allowed everywhere, as what columns say of null changes along a fold."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, loosened(f.dataType)) for f in kind])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(loosened(kind.elementType))
+    if isinstance(kind, T.MapType):
+        return T.MapType(kind.keyType, loosened(kind.valueType))
+    return kind
+
+
 def numbered(df: DataFrame, order: Column) -> tuple[DataFrame, Column]:
     """The rows and a whole number that does not fall along ``order``; where that is none itself, rows are sorted and numbered in a table of their own."""
     kind = df.select(order.alias("o")).schema["o"].dataType
     if kind == T.LongType():
         return df, F.coalesce(order, F.lit(-1))
-    if isinstance(kind, T.StructType) and kind[0].dataType == T.LongType():
-        return df, F.coalesce(order[kind[0].name], F.lit(-1))
+    if isinstance(kind, T.StructType) and kind.names == ["row", "at"] and kind["row"].dataType == T.LongType():  # rows that a yield has made
+        return df, F.coalesce(order["row"], F.lit(-1))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("__place", F.monotonically_increasing_id())
     return written(ranged, shared_folder(df.sparkSession)), F.col("__place")
@@ -84,7 +95,8 @@ def prefixes(df: DataFrame, order: Column, place: Column, one: Column, kind: T.D
     order; its blocks of 65,536 are summed up first, blocks of these next, and only those,
     one for each 2**32 places, meet in one array.  Then every block begins with what those before it do.
     """
-    rows = df.select(F.shiftright(place, 16).alias("__b"), order.alias(PLACE), one.alias("__f"), F.struct(*[F.col(f"`{n}`") for n in df.columns]).alias(ROW))
+    kind = loosened(kind)
+    rows = df.select(F.shiftright(place, 16).alias("__b"), order.alias(PLACE), one.cast(kind).alias("__f"), F.struct(*[F.col(f"`{n}`") for n in df.columns]).alias(ROW))
     listed = lambda t, key, *more: t.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*more))).alias(ROW + "s"))
     step = lambda acc, x: compose(acc, x["__f"]).cast(kind)
     start = identity.cast(kind)

@@ -519,10 +519,11 @@ def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     work = shared_folder(spark)
     out = tumbling(_streamed(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), "ts", "6 hours", ["event_type"], {"n": F.count(F.lit(1))}, late="400 days")
-    # the table of all windows so far, written by the executors after each batch
-    put = lambda batch, _: batch.write.mode("overwrite").parquet(f"{work}/windows")
-    out.writeStream.foreachBatch(put).outputMode("complete").option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{work}/windows").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    # only windows that a batch has changed come, and replace their rows; the watermark lets old windows go
+    catalog = Catalog(spark, [{"name": "f", "driver": "parquet", "path": work}])
+    put = lambda batch, _: write(catalog, "f.windows", batch, "upsert", ["window_start", "event_type"], [], None)
+    out.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return catalog.read("f.windows").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("udf_import", "SELECT p_partkey, CAST(p_size * 2 + 1 AS BIGINT) AS x FROM part")

@@ -20,6 +20,15 @@ from weftline.sources.drivers import JDBC, _path
 FORMATS = {"parquet": ".parquet", "json": ".json", "csv": ".csv", "textline": ""}
 
 
+#: Sinks by driver name: functions of (rows, options, table, mode, keys).
+SINKS: dict[str, Callable[[DataFrame, dict, str, str, list[str]], dict[str, Any] | None]] = {}
+
+
+def register_sink(driver: str, put: Callable[[DataFrame, dict, str, str, list[str]], dict[str, Any] | None]) -> None:
+    """Where rows of a driver's databases go: a function of (rows, options of the database, table, mode, keys); what it gives joins the status."""
+    SINKS[driver] = put
+
+
 def _flat(df: DataFrame) -> DataFrame:
     """Nested columns as JSON text, for formats without them."""
     return df.select(*[F.to_json(n).alias(n) if isinstance(df.schema[n].dataType, (T.StructType, T.ArrayType, T.MapType)) else F.col(f"`{n}`") for n in df.columns])
@@ -158,6 +167,8 @@ def _write(catalog, name: str, df: DataFrame, mode: str, keys: list[str], neutra
         if (left := df.count() - most) > 0:
             print(f"{left} more rows are not shown")
         return {"mode": mode}
+    if driver in SINKS:
+        return {"mode": mode} | (SINKS[driver](df, options, table, mode, keys) or {})
     if driver == "memory":
         before = catalog.memory.get(name)
         after = df.withColumn("_change", F.lit("insert")) if before is None else apply_mode(mode, before, df, keys, neutral, scope)
