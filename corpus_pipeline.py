@@ -15,11 +15,23 @@ from weftline.llm.common import documents, fresh, shared_folder, written
 from weftline.llm.queries import tokenizer_path
 
 
+#: Rows of an Arrow batch: whole documents are long, and a task holds a few batches at a time.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of at most BATCH_ROWS rows from here on, unless the session asks for fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))  # 0 and less: no bound
+    spark.conf.set(key, str(min(BATCH_ROWS, now) if now > 0 else BATCH_ROWS))
+
+
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; texts without letters, and null texts, go.
 
     The language column becomes the prediction; where nothing can be learned, it stays as it is.
     """
+    small_batches(spark)
     profiles = language.fit(docs)
     learned = any(profiles.values())
     (into,) = fresh(docs, "lang_pred")
@@ -30,6 +42,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of copies and near copies."""
+    small_batches(spark)
     return neardup.deduplicated(docs)
 
 
@@ -45,6 +58,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each row, their number, and digests of the ids and of their decoding."""
+    small_batches(spark)
     return bpe.digests(docs, tokenizer_path(), with_ids=True)
 
 
