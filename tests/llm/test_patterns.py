@@ -6,7 +6,6 @@ import random
 import re
 from zlib import crc32
 
-import duckdb
 import numpy as np
 import pytest
 
@@ -201,16 +200,3 @@ def test_decontamination_runs_no_python(spark):
     sf = "/root/testdata/sf0.001"
     for df in (queries.op12_decontaminate(spark, sf), *decontaminate.occurrences(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet"))):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().toString())
-
-
-@pytest.mark.parametrize("name", ["op11_centroids", "op12_decontaminate"])
-def test_sql(spark, name):
-    sf = "/root/testdata/sf0.001"
-    con = duckdb.connect()
-    for t in ("documents", "benchmark", "embeddings"):
-        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
-    made = con.execute(queries.oracle_sql()[name])
-    columns = [c[0] for c in made.description]
-    df = queries.queries()[name](spark, sf)
-    assert df.columns == columns
-    assert sorted((tuple(r) for r in df.collect()), key=str) == sorted(made.fetchall(), key=str)

@@ -436,7 +436,8 @@ def test_sql_of_the_queries(spark):
     from weftline.llm import queries
 
     con = duckdb.connect()
-    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    for table in ("documents", "embeddings", "benchmark"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '/root/testdata/sf0.001/{table}.parquet'")
     for name, sql in queries.oracle_sql().items():
         got = [r.asDict() for r in queries.queries()[name](spark, "/root/testdata/sf0.001").collect()]
         cur = con.sql(sql)
