@@ -7,11 +7,13 @@ import threading
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.plans.job import Job
 from weftline.sinks import write
 from weftline.sources import Catalog
-from weftline.sources.sqlite import write_sqlite
+from weftline.sources import sqlite as stores
+from weftline.sources.sqlite import SqliteWriter, Staged, write_sqlite
 from weftline.streaming import run_stream
 
 
@@ -132,6 +134,41 @@ def test_modes_change_only_what_differs(spark, tmp_path):
     assert all(now[k] == kept[k] for k in (1, 5, 6, 7, 8, 9))
 
 
+def committed(folder, monkeypatch, table, rows, staged, keys):
+    """Commits staged rows (columns, then _op) to a new table; gives its rows and the hundreds of SQLite's steps."""
+    folder.mkdir()
+    path, stage, steps = str(folder / "t.db"), str(folder / "stage"), []
+    with sqlite3.connect(path) as c:
+        c.execute(f"CREATE TABLE t ({table})")
+        c.executemany(f"INSERT INTO t VALUES ({', '.join('?' * len(rows[0]))})", rows)
+    with sqlite3.connect(stage) as c:
+        c.execute("CREATE TABLE rows (k, v, _op)")
+        c.executemany("INSERT INTO rows VALUES (?, ?, ?)", staged)
+    real = sqlite3.connect
+
+    def counting(*args, **more):
+        made = real(*args, **more)
+        made.set_progress_handler(lambda: steps.append(1), 100)
+        return made
+
+    monkeypatch.setattr(stores.sqlite3, "connect", counting)
+    SqliteWriter({"path": path, "table": "t", "keys": ",".join(keys)}, T.StructType().add("k", "long").add("v", "string").add("_op", "string"), False).commit([Staged(stage, len(staged))])
+    monkeypatch.undo()
+    with sqlite3.connect(path) as c:
+        return c.execute("SELECT k, v FROM t").fetchall(), len(steps)
+
+
+def test_steps_of_a_sync_grow_with_its_rows(tmp_path, monkeypatch):
+    """Every second row is deleted or replaced; four times the rows take four times the steps, with the square of the rows it was sixteen."""
+    taken = []
+    for n in (500, 2000):
+        staged = [(i, "new", None if i >= n else "delete" if i % 3 else "put") for i in range(0, n + 10, 2)]
+        got, steps = committed(tmp_path / str(n), monkeypatch, "k INTEGER, v TEXT", [(i, "old") for i in range(n)], staged, ["k"])
+        assert sorted(got) == sorted([(i, "old") for i in range(1, n, 2)] + [(k, v) for k, v, op in staged if op != "delete"])
+        taken.append(steps)
+    assert taken[1] < 6 * taken[0]
+
+
 def test_a_function_gets_the_request(spark):
     catalog, asked = Catalog(spark), []
 
