@@ -169,6 +169,19 @@ def test_steps_of_a_sync_grow_with_its_rows(tmp_path, monkeypatch):
     assert taken[1] < 6 * taken[0]
 
 
+def test_steps_of_an_update_of_several_keys_grow_with_its_rows(tmp_path, monkeypatch):
+    """Keys of two columns, nulls among them, compare as the table's columns do: here without regard to case."""
+    taken = []
+    for n in (400, 1600):
+        before = [(None if i == 8 else i // 2, "aB"[i % 2]) for i in range(n)]
+        staged = [(None if k is None else str(k), v.swapcase(), "put") for k, v in before[::4]]
+        got, steps = committed(tmp_path / str(n), monkeypatch, "k INTEGER, v TEXT COLLATE NOCASE", before, staged, ["k", "v"])
+        want = [r for i, r in enumerate(before) if i % 4] + [(k, "A") for k, _ in before[::4]]
+        assert sorted(got, key=str) == sorted(want, key=str)
+        taken.append(steps)
+    assert taken[1] < 6 * taken[0]
+
+
 def test_a_function_gets_the_request(spark):
     catalog, asked = Catalog(spark), []
 
