@@ -182,6 +182,17 @@ def test_steps_of_an_update_of_several_keys_grow_with_its_rows(tmp_path, monkeyp
     assert taken[1] < 6 * taken[0]
 
 
+def test_steps_of_an_upsert_grow_with_its_rows(tmp_path, monkeypatch):
+    """Every row of a table with twins is replaced once, as many are new."""
+    taken = []
+    for n in (400, 1600):
+        staged = [(i, "new", "put" if i < n else None) for i in range(2 * n)]
+        got, steps = committed(tmp_path / str(n), monkeypatch, "k INTEGER, v TEXT", [(i, v) for v in "xy" for i in range(n)], staged, ["k"])
+        assert sorted(got) == [(i, "new") for i in range(2 * n)]
+        taken.append(steps)
+    assert taken[1] < 6 * taken[0]
+
+
 def test_a_function_gets_the_request(spark):
     catalog, asked = Catalog(spark), []
 
