@@ -3,6 +3,8 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.functions import register_fold
 from weftline.plans import scan
@@ -172,3 +174,41 @@ def test_keys_out_of_turn(spark, chunk, named):
     got = h4v(df, "k", "v", *(["id"] if named else []), columns=["A", "B", "C"], order="at")
     want = wide_rows(rows) if named else [r[1:] for r in wide_rows([(0, *r[1:]) for r in rows])]
     assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def no_array_over(monkeypatch, most):
+    """From now on sorted lists of more rows fail."""
+    real = F.array_sort
+    monkeypatch.setattr(F, "array_sort", lambda c, *a: real(F.when(F.size(c) > most, F.raise_error(F.lit("a long array"))).otherwise(c), *a))
+
+
+def test_runs_of_ids_far_apart_meet_in_no_array(spark, monkeypatch):
+    """A wide row for each of 1,500 ids whose places lie far apart: only rows of one id are a list."""
+    from weftline.operators.shape import h4v
+
+    no_array_over(monkeypatch, 100)
+    rows = [(i, k, i * 10 + n, i * 10_000_000_000 + n) for i in range(1500) for n, k in enumerate("AABAB")]
+    df = spark.createDataFrame(rows, "id long, k string, v long, at long").repartition(4)
+    got = h4v(df, "k", "v", "id", columns=["A", "B", "C"], order="at")
+    want = [(i, *r) for i in range(1500) for r in ((i * 10, None, None), (i * 10 + 1, i * 10 + 2, None), (i * 10 + 3, i * 10 + 4, None))]
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_runs_go_on_over_partitions(spark):
+    """One id over all range partitions is one run; so is null, and an id that comes again begins a new one."""
+    from weftline.operators.shape import h4v
+
+    ids = [7] * 900 + [None] * 300 + [8] + [7] * 400
+    df = spark.createDataFrame([(n, i, f"k{n}", n) for n, i in enumerate(ids)], "at long, id long, k string, v long").repartition(5)
+    got = h4v(df, "k", "v", "id", columns=["k0", "k899", "k900", "k1199", "k1200", "k1201", "k1600"], order="at")
+    want = [(7, 0, 899, *[None] * 5), (None, None, None, 900, 1199, *[None] * 3), (8, *[None] * 4, 1200, None, None), (7, *[None] * 5, 1201, 1600)]
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_prefixes_of_places_far_apart_meet_in_no_array(spark, monkeypatch):
+    """3,600 rows over the 64 bits of a place, below zero too, are summed up in lists of at most 60."""
+    no_array_over(monkeypatch, 60)
+    places = [(a << 50) + (b << 34) for a in range(-30, 30) for b in range(60)]
+    df = spark.createDataFrame([(p, i) for i, p in enumerate(places)], "at long, v long").repartition(4)
+    got = scan.prefixes(df, F.col("at"), F.col("at"), F.col("v"), T.LongType(), F.lit(0).cast("long"), lambda f, g: f + g, "s")
+    assert sorted(tuple(r) for r in got.select("at", "s").collect()) == [(p, i * (i + 1) // 2) for i, p in enumerate(places)]
