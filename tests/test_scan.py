@@ -212,3 +212,33 @@ def test_prefixes_of_places_far_apart_meet_in_no_array(spark, monkeypatch):
     df = spark.createDataFrame([(p, i) for i, p in enumerate(places)], "at long, v long").repartition(4)
     got = scan.prefixes(df, F.col("at"), F.col("at"), F.col("v"), T.LongType(), F.lit(0).cast("long"), lambda f, g: f + g, "s")
     assert sorted(tuple(r) for r in got.select("at", "s").collect()) == [(p, i * (i + 1) // 2) for i, p in enumerate(places)]
+
+
+@pytest.mark.parametrize(
+    ("test", "keeps"),
+    [
+        (["@lte", "$.n", 3], lambda n, v: n <= 3),
+        (["@gt", 3, "$.n"], lambda n, v: n < 3),
+        (["@and", ["@gte", "$.v", 1], ["@eq", "$.n", 2]], lambda n, v: n == 2 and (v or 0) >= 1),
+        (["@and", ["@lt", "$.v", 4], ["@lte", "$.n", 2]], lambda n, v: n <= 2 and (v or 0) < 4),
+    ],
+)
+def test_first_places_of_a_key_are_kept_by_each_task(spark, test, keeps):
+    """Of one key with all rows, only those asked for are shuffled."""
+    rows = [(i, "all", None if i % 7 == 0 else i % 5) for i in range(400)]
+    catalog = Catalog(spark)
+    catalog.put("m.t", spark.createDataFrame(rows, "i long, k string, v long").repartition(4))
+    schema = {"i": "$.i", "v": "$.v", "n": ["#partition", "$.k", {"valuer": "$.v", "orders": [["v", True]]}, "$.v", ["@add", "$.context.current_index", 1]]}
+    got = Job.from_config(spark, {"input": "&.m.t", "schema": schema, "intercept": test, "options": {"sequence": "i"}}, catalog=catalog).plan()
+    assert "WindowGroupLimit" in got._jdf.queryExecution().optimizedPlan().toString()
+    placed = sorted(rows, key=lambda r: (-1 if r[2] is None else r[2], -r[0]), reverse=True)
+    assert sorted(tuple(r) for r in got.collect()) == sorted((i, v, n) for n, (i, _, v) in enumerate(placed, 1) if keeps(n, v))
+
+
+def test_a_bound_of_a_column_keeps_null(spark):
+    catalog = Catalog(spark)
+    catalog.put("m.t", spark.createDataFrame([(None,), (-2,), (0,), (2,), (3,), (4,)], "v long"))
+    for test, want in ((["@lte", "$.v", 3], {None, -2, 0, 2, 3}), (["@lt", "$.v", 3], {None, -2, 0, 2}), (["@gte", "$.v", 3], {3, 4}), (["@lte", "$.v", 0], {None, 0}), (["@or", ["@lte", "$.v", 2], ["@eq", "$.v", 4]], {None, -2, 0, 2, 4})):
+        out = Job.from_config(spark, {"input": "&.m.t", "schema": {"v": "$.v"}, "intercept": test}, catalog=catalog).plan()
+        plain = {r[0] for r in out.collect()}
+        assert plain == want, test
