@@ -193,6 +193,40 @@ def test_steps_of_an_upsert_grow_with_its_rows(tmp_path, monkeypatch):
     assert taken[1] < 6 * taken[0]
 
 
+def test_steps_of_an_update_grow_with_its_rows_whatever_is_known_of_the_table(tmp_path, monkeypatch):
+    """SQLite keeps the sizes of the last ANALYZE: here the table had one row; keys that are null have their own passes."""
+    taken = []
+    for n in (500, 2000):
+        path, stage = str(tmp_path / f"{n}.db"), str(tmp_path / f"{n}.stage")
+        old = [(i // 2, "ab"[i % 2]) for i in range(n)] + [(None, "a"), (5, None), (None, None), (None, None), (None, "kept"), (n, None)]
+        new = [(k, v) for k, v in old[:n:4]] + [(None, "a"), (5, None), (None, None)]
+        with sqlite3.connect(path) as c:
+            c.execute("CREATE TABLE t (k INTEGER, v TEXT, w TEXT)")
+            c.execute("INSERT INTO t VALUES (-1, 'a', 'old')")
+            c.execute("ANALYZE")
+            c.executemany("INSERT INTO t VALUES (?, ?, 'old')", old)
+        with sqlite3.connect(stage) as c:
+            c.execute("CREATE TABLE rows (k, v, w, _op)")
+            c.executemany("INSERT INTO rows VALUES (?, ?, 'new', 'put')", new)
+        real, steps = sqlite3.connect, []
+
+        def counting(*args, real=real, steps=steps, **more):
+            made = real(*args, **more)
+            made.set_progress_handler(lambda: steps.append(1), 100)
+            return made
+
+        monkeypatch.setattr(stores.sqlite3, "connect", counting)
+        schema = T.StructType().add("k", "long").add("v", "string").add("w", "string").add("_op", "string")
+        SqliteWriter({"path": path, "table": "t", "keys": "k,v"}, schema, False).commit([Staged(stage, len(new))])
+        monkeypatch.undo()
+        with sqlite3.connect(path) as c:
+            got = c.execute("SELECT k, v, w FROM t").fetchall()
+        want = [(-1, "a", "old"), *((k, v, "old") for k, v in old if (k, v) not in set(new)), *((k, v, "new") for k, v in new)]
+        assert sorted(got, key=str) == sorted(want, key=str)
+        taken.append(len(steps))
+    assert taken[1] < 6 * taken[0]
+
+
 def test_a_function_gets_the_request(spark):
     catalog, asked = Catalog(spark), []
 
