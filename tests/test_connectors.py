@@ -1,9 +1,12 @@
 """A queue against a small server, SQLite with filters and transactions, functions as tables."""
 
 import json
+import os
+import resource
 import socketserver
 import sqlite3
 import threading
+from contextlib import closing, nullcontext
 
 import pytest
 from pyspark.sql import functions as F
@@ -227,6 +230,34 @@ def test_steps_of_an_update_grow_with_its_rows_whatever_is_known_of_the_table(tm
     assert taken[1] < 6 * taken[0]
 
 
+@pytest.mark.parametrize("bad", [False, True])
+def test_an_upsert_of_more_tasks_than_files_may_be_open(tmp_path, bad):
+    """Rows of tasks follow each other; a row that the table refuses leaves it as it was, and no file is left."""
+    path, n = str(tmp_path / "t.db"), 80
+    with sqlite3.connect(path) as c:
+        c.execute("CREATE TABLE t (k INTEGER, v TEXT CHECK (v <> 'bad'))")
+        c.executemany("INSERT INTO t VALUES (?, 'old')", [(i,) for i in range(0, 3 * n, 2)])
+    staged = [Staged(str(tmp_path / f"stage-{p}"), 2) for p in range(n)]
+    for p, s in enumerate(staged):
+        with closing(sqlite3.connect(s.path)) as c, c:
+            c.execute("CREATE TABLE rows (k, v, _op)")
+            c.executemany("INSERT INTO rows VALUES (?, ?, ?)", [(2 * p, "new", "put"), (2 * p + 1, "bad" if bad and p == n - 1 else "new", None)])
+    schema = T.StructType().add("k", "long").add("v", "string").add("_op", "string")
+    writer = SqliteWriter({"path": path, "table": "t", "keys": "k"}, schema, False)
+    limits = resource.getrlimit(resource.RLIMIT_NOFILE)
+    resource.setrlimit(resource.RLIMIT_NOFILE, (max(map(int, os.listdir("/proc/self/fd"))) + 40, limits[1]))
+    try:
+        with pytest.raises(sqlite3.IntegrityError) if bad else nullcontext():
+            writer.commit([*staged, None])
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, limits)
+    with closing(sqlite3.connect(path)) as c:
+        got = c.execute("SELECT k, v FROM t ORDER BY rowid").fetchall()
+    old = [(i, "old") for i in range(0, 3 * n, 2)]
+    assert got == (old if bad else [r for r in old if r[0] >= 2 * n] + [(k, "new") for k in range(2 * n)])
+    assert [p.name for p in tmp_path.iterdir()] == ["t.db"]
+
+
 def test_a_function_gets_the_request(spark):
     catalog, asked = Catalog(spark), []
 
